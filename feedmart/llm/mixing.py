@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, filled, word_count
 
+#: So many random offsets are drawn for a source; the one whose mix comes nearest to the target is used.
+DRAWS = 16
 #: Ranks within one source and size are formed in so many slices of the id's
 #: hash, so that a source of any size is ranked by many tasks.
 SLICE_DIGITS = 3
@@ -20,8 +22,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     targets share ``share`` times all sizes by weight; none goes above ``most``
     times its source's size, what exceeds it is shared again by weight. That
     fixed point is ``least(most * size, level * weight)``: in order of
-    ``most * size / weight`` the first sources are full, and ``level`` spreads
-    what they leave over the others. One row per source, the only unpartitioned
+    ``most * size / weight`` the first sources are full, and the ``level`` of
+    the first source that is not spreads what they leave over the others. One row per source, the only unpartitioned
     windows here.
     """
     order = Window.orderBy((F.col("source") == ""), F.col("source"))
@@ -36,7 +38,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
         .withColumn("level", (F.col("total") - F.col("full_before")) / F.col("weight_left"))
     )
     fits = F.col("level") * F.col("weight") <= F.col("full")
-    s = s.withColumn("cut_level", F.min(F.when(fits, F.col("level"))).over(everything))
+    place = F.when(fits, F.struct((F.col("full") / F.col("weight")).alias("ratio"), "source"))
+    s = s.withColumn("cut_level", F.min_by("level", place).over(everything))
     target = F.when(F.col("cut_level").isNull(), F.col("full")).otherwise(F.least(F.col("full"), F.col("cut_level") * F.col("weight")))
     return s.select("source", "source_size", target.alias("target"))
 
@@ -57,10 +60,13 @@ def mix(
     Every document of a source has the same expected number of copies, its
     source's target over its size. Within a source the documents are put in
     order of size, then of the MD5 of their id; the expected copies are summed
-    up in that order, one offset per source (from the MD5 of seed and source)
-    is added, and a document is emitted once per integer crossed. As neighbours
-    in the order have like sizes, the words taken differ from the target by at
-    most about one largest document.
+    up in that order, one random offset per source is added, and a document is
+    emitted once per integer crossed. As neighbours in the order have like
+    sizes, the words taken differ from the target by at most about one largest
+    document; to come nearer in small sources the offset is the best of
+    ``DRAWS`` random ones (from the MD5 of seed, number and source). What an
+    offset takes is known from the counts per size alone, as the copies of
+    documents of one size add up to a difference of two floors.
 
     The place of a document in the order is the sum of three counts, each
     bounded whatever the source's size: sizes before its own, slices of its
@@ -86,26 +92,28 @@ def mix(
     steps = slices.groupBy("source", "size").agg(F.sum("n").alias("n"))
     earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    before = steps.select("source", "size", F.coalesce(F.sum("n").over(earlier("source").orderBy("size")), zero).alias("smaller"))
+    before = steps.select("source", "size", "n", F.coalesce(F.sum("n").over(earlier("source").orderBy("size")), zero).alias("smaller"))
     inside = slices.select("source", "size", "slice", F.coalesce(F.sum("n").over(earlier("source", "size").orderBy("slice")), zero).alias("sliced"))
     sources = steps.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("source")).cast("binary"))
-    targets = source_targets(sources, weights, share, most).select(
-        "source",
-        "source_size",
-        "target",
-        (F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)).alias("offset"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
+    targets = source_targets(sources, weights, share, most)
+    targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    floor_at = lambda place: F.floor(F.col("offset") + F.col("rate") * place.cast("double"))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col("source")).cast("binary"))
+    offset = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    drawn = before.join(targets, "source").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("offset", offset)
+    drawn = drawn.groupBy("source", "source_size", "target", "rate", "draw", "offset").agg(
+        F.sum((floor_at(F.col("smaller") + F.col("n")) - floor_at(F.col("smaller"))) * F.col("size")).alias("taken")
     )
+    chosen = drawn.groupBy("source", "source_size", "target", "rate").agg(F.min_by("offset", F.struct(F.abs(F.col("taken") - F.col("target")), "draw")).alias("offset"))
     places = (
-        inside.join(before, ["source", "size"])
-        .join(targets, "source")
+        inside.join(before.drop("n"), ["source", "size"])
+        .join(chosen, "source")
         .select("source", "size", "slice", (F.col("sliced") + F.col("smaller")).alias("ahead"), "source_size", "target", "rate", "offset")
     )
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("key", F.col("id").asc_nulls_last()))
     placed = rows.withColumn("rank", rank).join(places, ["source", "size", "slice"])
-    placed = placed.withColumn("place", (F.col("ahead") + F.col("rank")).cast("double"))
-    crossed = F.floor(F.col("offset") + F.col("rate") * F.col("place")) - F.floor(F.col("offset") + F.col("rate") * (F.col("place") - 1))
+    placed = placed.withColumn("place", F.col("ahead") + F.col("rank"))
+    crossed = floor_at(F.col("place")) - floor_at(F.col("place") - 1)
     return placed.withColumn("copies", crossed).select(
         F.col("id").alias("doc_id"),
         "size",

@@ -95,22 +95,28 @@ WITH d AS (
 ), l AS (
   SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
          coalesce(sum(full_size) OVER (ORDER BY full_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS full_before,
-         sum(weight) OVER (ORDER BY full_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+         sum(weight) OVER (ORDER BY full_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left,
+         row_number() OVER (ORDER BY full_size / weight, source) AS rn
   FROM f
 ), v AS (SELECT *, (total - full_before) / weight_left AS lev FROM l
-), c AS (SELECT *, min(CASE WHEN lev * weight <= full_size THEN lev END) OVER () AS cut_level FROM v
+), c AS (SELECT *, arg_min(lev, CASE WHEN lev * weight <= full_size THEN rn END) OVER () AS cut_level FROM v
 ), t AS (
-  SELECT source, source_size, CASE WHEN cut_level IS NULL THEN full_size ELSE least(full_size, cut_level * weight) END AS target,
-         CAST(('0x' || substr(md5('mix:' || source), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS shift
-  FROM c
+  SELECT source, source_size, CASE WHEN cut_level IS NULL THEN full_size ELSE least(full_size, cut_level * weight) END AS target FROM c
 ), r AS (
-  SELECT d.*, source_size, target, shift, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
          row_number() OVER (PARTITION BY d.source ORDER BY size, md5(CAST(doc_id AS VARCHAR)), doc_id)::DOUBLE AS place
   FROM d JOIN t ON d.source = t.source
+), u AS (
+  SELECT source, draw, CAST(('0x' || substr(md5('mix:' || draw || ':' || source), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS shift
+  FROM t, range(16) g(draw)
+), k AS (
+  SELECT r.source, draw, any_value(shift) AS shift, abs(sum((floor(shift + rate * place) - floor(shift + rate * (place - 1))) * size) - any_value(target)) AS off
+  FROM r JOIN u ON r.source = u.source GROUP BY r.source, draw
+), o AS (SELECT source, arg_min(shift, {'off': off, 'draw': draw}) AS shift FROM k GROUP BY source
 )
 SELECT doc_id, size, source_size, target,
        CAST(floor(shift + rate * place) - floor(shift + rate * (place - 1)) AS BIGINT) * size AS taken
-FROM r
+FROM r JOIN o ON r.source = o.source
 """
 
 
