@@ -10,6 +10,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import lexicons as L
 
@@ -55,13 +56,13 @@ def fold_accents(c: str | Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     """Full compatibility decomposition without marks, for text in which signs of several letters matter. Arrow."""
     return text.map(lambda t: None if t is None else re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """All HTML entities. Arrow."""
     return text.map(lambda t: None if t is None else html.unescape(t))

@@ -36,12 +36,13 @@ def tool_order() -> list[Column]:
     return [F.col("date").asc_nulls_last(), D.minute_of_day("time", 0).asc(), title_key().asc(), F.col("id").asc()]
 
 
-def tool_search(requests: DataFrame, events: DataFrame, today: date | str) -> DataFrame:
+def tool_search(requests: DataFrame, events: DataFrame, today: date | str, by_title: bool = True) -> DataFrame:
     """``request_id, rank`` and the tool's columns, up to each request's limit; requests whose days contradict each other give one row with ``error``.
 
     Requests have ``request_id, query, category, source, preset, start, end,
     limit``. They are joined to events by their conditions, and the limit per
-    request keeps a task from passing on more than it.
+    request keeps a task from passing on more than it. Without ``by_title``
+    rows of one minute come in the order of their ids.
     """
     req = requests.withColumn("_b", R.bounds(F.col("preset"), F.col("start"), F.col("end"), today)).withColumn("_limit", R.clamp_limit("limit"))
     req = req.select("request_id", F.col("query").alias("q_text"), F.col("category").alias("q_category"), F.col("source").alias("q_source"), "_b", "_limit")
@@ -54,7 +55,7 @@ def tool_search(requests: DataFrame, events: DataFrame, today: date | str) -> Da
         & F.coalesce(F.col("date") <= F.col("_b.last"), F.col("_b.last").isNull())
     )
     found = req.filter("not _b.invalid").join(events, on)
-    found = with_rank(found, ["request_id"], tool_order()).filter(F.col("rank") <= F.col("_limit"))
+    found = with_rank(found, ["request_id"], [c for i, c in enumerate(tool_order()) if by_title or i != 2]).filter(F.col("rank") <= F.col("_limit"))
     matched = F.get(F.filter("tags", lambda t: F.lower(t) == F.lower("q_category")), F.lit(0))
     shown = found.select("request_id", "rank", "id", "title", "date", "time", "location", "organizer", F.coalesce(matched, F.get("tags", F.lit(0))).alias("category"), matched.alias("matched_category"), "tags", "source", "url", F.lit(None).cast("string").alias("error"))
     bad = req.filter("_b.invalid").select("request_id", F.lit("startDate must be earlier than or equal to endDate").alias("error"))
