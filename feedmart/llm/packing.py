@@ -170,5 +170,5 @@ def pack(
         yield from got.to_batches()
 
     schema = ", ".join(f"{c} long" for c in named) + ", " + spec
-    last = left.withColumn("rank", F.col("rank").cast("long")).coalesce(1).mapInArrow(rest_bins, schema)
+    last = left.withColumn("rank", F.col("rank").cast("long")).repartition(1).mapInArrow(rest_bins, schema)
     return filled_bins.select(*named, F.col("sequence_id").cast("long").alias("sequence_id"), "offset").unionByName(last)
