@@ -8,12 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, filled
 
 _SPLIT = bytes(c if c >= 0x80 or chr(c).isalpha() or c == 0x27 else 0x20 for c in range(256))
+#: Weight of the dimension that stands for all other words of a text, against an idf. It tells a word in passing from one of many.
+REST = 0.6
 #: Besides itself, a word stands for its beginnings of these lengths, which its inflected forms share.
 PREFIXES = (4, 5, 6)
 
@@ -147,13 +149,17 @@ def term_counts(docs: DataFrame, terms: dict[str, int], carry: dict[str, str]) -
             found, counts = [], []
             for text in batch.column(len(carry)):
                 total: Counter[int] = Counter()
-                for word, n in Counter(words_of(text.as_py())).items():
+                words = Counter(words_of(text.as_py()))
+                for word, n in words.items():
                     if word not in known:
                         if len(known) >= 300_000:
                             known.clear()
                         known[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
                     for t in known[word]:
                         total[t] += n
+                if total:  # other words, to half a power of two, so that like texts share their search
+                    others = sum(words.values())
+                    total[len(terms)] = round(2 ** (round(2 * np.log2(others)) / 2))
                 own = sorted(total)
                 found.append(own)
                 counts.append([total[t] for t in own])
@@ -185,6 +191,11 @@ def select_terms(examples: DataFrame, least: int, chi2: float, most: int) -> lis
     return [r["term"] for r in chosen.orderBy(F.col("value").desc(), "term").limit(most).select("term").collect()]
 
 
+def text_key(text: str | Column) -> Column:
+    """MD5 of a text; null counts as empty."""
+    return F.md5(filled(text).cast("binary"))
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -195,10 +206,11 @@ def toxicity(
     folds: int = 4,
     max_examples: int = 8192,
     max_terms: int = 4096,
-    least: int = 4,
-    chi2: float = 25.0,
+    least: int = 6,
+    chi2: float = 40.0,
     k: int = 15,
     examples_from: DataFrame | None = None,
+    with_text_key: bool = False,
 ) -> DataFrame:
     """Scores every row's whole text against the nearest labelled examples.
 
@@ -207,7 +219,7 @@ def toxicity(
     hash of the id are the examples: a bounded sample, which makes the index
     and all that is broadcast bounded. Terms are words and their beginnings
     that the examples tie to toxic labels; their document frequencies count
-    all rows. The index gives exact cosines; the votes of the ``k`` nearest
+    all rows, and all other words of a text share one dimension. The index gives exact cosines; the votes of the ``k`` nearest
     are weighted by distance and calibrated on the examples, each scored
     without itself. Rows without any term get the toxic share of examples
     without any.
@@ -217,7 +229,9 @@ def toxicity(
     holds the labelled rows' texts where they are not in ``docs``.
 
     Returns ``doc_id, held_out, score, predicted, evidence`` per input row;
-    ``evidence`` lists up to three nearest examples. Null texts count as
+    ``evidence`` lists up to three nearest examples. ``with_text_key`` adds
+    ``text_key``, the MD5 of the text, under which a caller finds the row again
+    whatever its id. Null texts count as
     empty. Ids with several labels count as toxic if one is; null ids are
     scored and never learnt from. Without labels every score is 0.
     """
@@ -233,12 +247,15 @@ def toxicity(
     chosen = select_terms(examples, least, chi2, max_terms)
     terms = {t: i for i, t in enumerate(chosen)}
 
-    counted = cut(term_counts(rows.withColumn("held_out", held), terms, {"doc_id": "long", "held_out": "boolean"}))
+    carry = {"doc_id": "long", "held_out": "boolean"} | ({"text_key": "string"} if with_text_key else {})
+    keyed = rows.withColumns({"held_out": held, "text_key": text_key("text")})
+    counted = cut(term_counts(keyed, terms, carry))
     n = counted.count()
     frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # a row per chosen term
-    idf = np.full(len(terms), np.log(1.0 + n) + 1.0)
+    idf = np.full(len(terms) + 1, np.log(1.0 + n) + 1.0)
     for r in frequency:
         idf[r["term"]] = np.log((1.0 + n) / (1.0 + r["df"])) + 1.0
+    idf[len(terms)] = REST
     own = term_counts(examples, terms, {"doc_id": "long", "toxic": "int"}).orderBy("doc_id").collect()  # at most max_examples rows
     y = np.array([r["toxic"] for r in own], float)
     without = y[[not r["terms"] for r in own]] if own else y
@@ -253,15 +270,17 @@ def toxicity(
         model.steps = isotonic(np.array([*votes, 0.0, 1.0]), np.array([*model.labels, 0.0, 1.0]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    schema = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id long, cosine double, toxic int>>"
+    schema = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id long, cosine double, toxic int>>" + (", text_key string" if with_text_key else "")
     shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, k)
         for batch in batches:
-            found = [scorer.score(t.as_py(), c.as_py()) for t, c in zip(batch.column(2), batch.column(3), strict=True)]
+            found = [scorer.score(t.as_py(), c.as_py()) for t, c in zip(batch.column(len(carry)), batch.column(len(carry) + 1), strict=True)]
             scores = np.array([min(1.0, max(0.0, s)) for s, _ in found])
             evidence = [[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.3).astype(np.int32)), pa.array(evidence, shape)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.3).astype(np.int32)), pa.array(evidence, shape)]
+            names = ["doc_id", "held_out", "score", "predicted", "evidence"]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(2)] if with_text_key else [])], names=[*names, *(["text_key"] if with_text_key else [])])
 
     return counted.mapInArrow(run, schema)
