@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows of one block of a leaf, and queries of one block, scored together.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+#: Rows of one block of a leaf, and queries of one block, that meet in one group; queries scored together within it.
+BLOCK_ROWS, BLOCK_QUERIES, TOGETHER = 32_768, 1024, 64
 
 
 @dataclass
@@ -120,16 +120,19 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     trees: int = 8,
-    share: float = 0.12,
+    share: float = 0.13,
     leaf_rows: int = 1024,
+    max_depth: int = 4,
     max_sample: int = 16384,
 ) -> DataFrame:
     """The ``k`` rows with the largest inner product for each query, itself excluded.
 
     The forest's planes are fitted on a sample of at most ``max_sample``
     distinct vectors (those with the smallest hash), so what is broadcast is
-    bounded; every row is indexed in every tree. Leaves hold about
-    ``leaf_rows`` rows while the sample allows. A query visits leaves in the
+    bounded; every row is indexed in every tree. Trees are as deep as leaves of
+    ``leaf_rows`` rows need, ``max_depth`` at most: every visited leaf hands on
+    its best rows, so with deeper trees a query would hand on more of them the
+    more rows there are. A query visits leaves in the
     order of one priority queue over all trees until they hold about ``share``
     of all rows, counted with repetition; each visited leaf's rows are scored
     exactly, in double precision, and the best are kept. Unlike clustered data,
@@ -156,7 +159,7 @@ def nearest(
     lengths = [len(v) for v in sampled]
     dim = max(sorted(set(lengths)), key=lengths.count)
     sample = np.array([np.frombuffer(v, np.float64) for v in sampled if len(v) == dim])
-    depth = max(0, min(math.floor(math.log2(max(1, n) / leaf_rows)), int(math.log2(max(1, len(sample) // 8)))))
+    depth = max(0, min(max_depth, math.floor(math.log2(max(1, n) / leaf_rows)), int(math.log2(max(1, len(sample) // 8)))))
     visits = max(1, math.ceil(share * trees * 2**depth)) if depth else 1
     forest = rows.sparkSession.sparkContext.broadcast(fit_forest(sample, trees if depth else 1, depth, float(reach)))
     used = trees if depth else 1
@@ -196,14 +199,15 @@ def nearest(
         if left.num_rows and right.num_rows:
             q, e = _matrix(left["v"]), _matrix(right["v"])
             q_ids, e_ids = left["entry"].to_numpy(), right["entry"].to_numpy()
-            dots = q @ e.T
             best = min(k + 1, len(e_ids))
-            picked = np.argpartition(-dots, best - 1, axis=1)[:, :best] if best < len(e_ids) else np.tile(np.arange(len(e_ids)), (len(q_ids), 1))
-            for row, columns in enumerate(picked):
-                exact = (e[columns] * q[row]).sum(axis=1)  # each alone, so equal pairs score alike in every block
-                qs.append(np.full(len(columns), q_ids[row]))
-                es.append(e_ids[columns])
-                values.append(exact)
+            for at in range(0, len(q_ids), TOGETHER):
+                dots = q[at : at + TOGETHER] @ e.T
+                picked = np.argpartition(-dots, best - 1, axis=1)[:, :best] if best < len(e_ids) else np.tile(np.arange(len(e_ids)), (len(dots), 1))
+                for row, columns in enumerate(picked, at):
+                    exact = (e[columns] * q[row]).sum(axis=1)  # each alone, so equal pairs score alike in every block
+                    qs.append(np.full(len(columns), q_ids[row]))
+                    es.append(e_ids[columns])
+                    values.append(exact)
         join = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
         return pa.table({"query": join(qs, pa.int64()), "entry": join(es, pa.int64()), "score": join(values, pa.float64())})
 
