@@ -110,7 +110,7 @@ def ics_escape(c: str | Column) -> Column:
     """Text for an iCalendar property; backslash first."""
     c = F.replace(col(c), F.lit("\\"), F.lit("\\\\"))
     c = F.replace(F.replace(c, F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,"))
-    return F.regexp_replace(c, r"\r?\n", r"\\\\n")
+    return F.regexp_replace(c, r"\r?\n", r"\\n")
 
 
 def normalize_for_dedupe(c: str | Column) -> Column:
