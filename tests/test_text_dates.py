@@ -38,7 +38,7 @@ def test_html(spark):
     assert one(spark, X.strip_html(F.lit(html)), X.clean_title(F.lit(" – <i>A &amp; B</i>: "))) == ["5 < 6 & 7 > 2 ok", "A & B"]
     assert one(spark, X.sanitize_plain_text(F.lit("caf&eacute; <b>x</b>"), full=True)) == ["café x"]
     assert one(spark, X.decode_ics(F.lit(r"a\, b\n<b>c</b>\; d"))) == ["a, b c ; d"]
-    assert one(spark, X.ics_escape(F.lit("a;b,c\\d\ne"))) == ["a\;b\\,c\\\\d\\ne"]
+    assert one(spark, X.ics_escape(F.lit("a;b,c\\d\ne"))) == ["a\\;b\\,c\\\\d\\ne"]
 
 
 def test_keys_units_tags(spark):
