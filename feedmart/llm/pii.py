@@ -17,7 +17,7 @@ PATTERNS = {
     "phone": r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])",
-    "secret": r"(?:[tT]oken|TOKEN|[sS]ecret|SECRET|[pP]assword|PASSWORD|[aA]pi_?[kK]ey|API_?KEY) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9+/_-]{8,128}",
+    "secret": r"(?:[tT]oken|TOKEN|[sS]ecret|SECRET|[pP]assword|PASSWORD|[aA]pi_?[kK]ey|API_?KEY) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9+/_-]{8,}+",
     "person": rf"(?=[MHFSг])(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())

@@ -106,6 +106,20 @@ def test_surrogates(spark):
     assert P.surrogates(df.limit(0), "k").count() == 0
 
 
+def test_long_secrets_go_whole(spark):
+    """No part of a long key stays, and keys that agree in their first 128 characters stay distinct."""
+    rng = random.Random(9)
+    head = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNP23456789+/_-") for _ in range(400))
+    keys = [head, head[:128] + head[:200], head[:128] + head[200:], "0123456789abcdef" * 40]
+    rows = [(i, f"api_key = '{k}' ends here") for i, k in enumerate(keys)]
+    got = {r.doc_id: r for r in P.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    values = [re.fullmatch(r"api_key = '([^']*)' ends here", got[i].text)[1] for i in range(len(keys))]
+    for i, (key, value) in enumerate(zip(keys, values, strict=True)):
+        assert len(value) == len(key) and got[i].n_mentions == 1 and got[i].mentions[0].length == len(key) + len("api_key = '")
+        assert not any(key[at : at + 16] in got[i].text for at in range(len(key) - 15))
+    assert len(set(values)) == len(keys)
+
+
 def test_surrogates_stay_distinct(spark):
     """More entities than one attempt tells apart: addresses and short names collide and are given anew."""
     names = [(f"last latin", f"n{i}") for i in range(3000)]
