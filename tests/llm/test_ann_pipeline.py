@@ -67,3 +67,33 @@ def test_pipeline(spark):
     copies = {i: ids(after[4]).count(i) for i in set(ids(after[4]))}
     packed = after[5].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert {r.doc_id: r.n for r in packed} == {r.doc_id: copies[r.doc_id] * r.t for r in packed} and {r.doc_id for r in packed} == set(copies)
+
+
+def _groups(texts: dict[int, str]) -> dict[int, int]:
+    """Smallest id of each text's component, by all pairs of five-word shingle sets."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    low = {i: i for i in sets}
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    while any(low[i] != low[j] for i, j in pairs):
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
+def test_near_stage_equals_brute_force(spark):
+    """Copies with a few changed words, chains of them and one large group, against Jaccard over all pairs."""
+    rng = np.random.default_rng(3)
+    texts: dict[int, str] = {}
+    for base in range(40):
+        words = rng.integers(0, 5000, int(rng.integers(4, 160))).tolist()
+        for _ in range(60 if base == 0 else int(rng.integers(1, 8))):
+            texts[len(texts)] = " ".join(f"w{w}" for w in words)
+            words = [*words]
+            for _ in range(int(rng.integers(0, 4))):
+                words[int(rng.integers(0, len(words)))] = int(rng.integers(0, 5000))
+    texts = {i: t for i, t in texts.items() if t not in [texts[j] for j in range(i)]}
+    low = _groups(texts)
+    assert 40 < len(set(low.values())) < len(texts)
+    docs = spark.createDataFrame([(i, t, "c") for i, t in texts.items()], "doc_id long, text string, source string")
+    out = corpus_pipeline.remove_near_copies(spark, docs.repartition(3), SF)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(low.values()))
