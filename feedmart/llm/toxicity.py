@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,74 @@ class BlockMaxIndex:
         return best
 
 
+def hashes_of(words: Counter[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
+
+
+class WholeIndex:
+    """Exact top-k cosine over all words of the examples' texts, with votes.
+
+    Document frequencies are those of the examples; a word that no example
+    holds has the greatest idf and counts in a text's norm. Nearly every text
+    shares common words with most examples, so bounds would rule out next to
+    nothing: postings are summed up in full, by arrays. Words are known by
+    64-bit hashes, which keeps the index small on the driver.
+    """
+
+    def __init__(self, ids: list[int], labels: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        """``sizes`` has each example's number of distinct words, ``words`` (hashes) and ``counts`` have those of all in a row."""
+        self.ids, self.labels, self.n, self.steps = ids, labels, len(ids), None
+        self.words, terms = np.unique(words, return_inverse=True)
+        examples = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        weights = 1.0 + np.log(counts)
+        df = np.bincount(terms, minlength=len(self.words))
+        self.idf = np.log((1.0 + self.n) / (1.0 + np.append(df, 0))) + 1.0  # the last is that of unknown words
+        weights *= self.idf[terms]
+        weights /= np.sqrt(np.bincount(examples, weights * weights, self.n))[examples]
+        order = np.argsort(terms, kind="stable")
+        self.examples, self.weights = examples[order], weights[order]
+        self.starts = np.concatenate(([0], np.cumsum(df)))
+        self.share = float(labels.mean()) if self.n else 0.0
+
+    def search(self, words: Counter[bytes], k: int, without: int | None = None) -> list[tuple[float, int]]:
+        """(cosine, example), best first, ties to the smaller example; only examples that share a word. The id ``without`` is left out."""
+        if not words or not self.n:
+            return []
+        unknown = len(self.words)
+        hashes = hashes_of(words)
+        terms = np.searchsorted(self.words, hashes)
+        terms = np.where(self.words[np.minimum(terms, unknown - 1)] == hashes, terms, unknown) if unknown else np.zeros(len(hashes), np.int64)
+        query = (1.0 + np.log(np.array([*words.values()], float))) * self.idf[terms]
+        query /= np.sqrt((query * query).sum())
+        query, terms = query[terms < unknown], terms[terms < unknown]
+        sizes = self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(self.starts[terms] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        scores = np.round(np.bincount(self.examples[at], self.weights[at] * np.repeat(query, sizes), self.n), 12)
+        if without is not None:
+            scores[np.searchsorted(self.ids, without)] = 0.0
+        least = np.partition(scores, -k)[-k] if k < self.n else 0.0
+        found = np.flatnonzero((scores >= least) & (scores > 0))
+        return [(float(scores[e]), int(e)) for e in found[np.lexsort((found, -scores[found]))][:k]]
+
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        return vote(near, self.labels, self.share)
+
+    def score(self, words: Counter[bytes], k: int) -> tuple[float, list[tuple[int, float, int]]]:
+        """Score and evidence: (example id, cosine, label) of the nearest."""
+        near = self.search(words, k)
+        voted = self.vote(near)
+        return (voted if self.steps is None else float(np.interp(voted, *self.steps))), [(self.ids[e], c, int(self.labels[e])) for c, e in near[:3]]
+
+
+def vote(near: list[tuple[float, int]], labels: np.ndarray, bare: float) -> float:
+    """Weighted share of toxic neighbours, with one neighbour at the greatest distance that votes ``bare``."""
+    total, toxic = 1.0, bare
+    for cosine, example in near:
+        weight = 1.0 / (0.05 + 1.0 - min(1.0, cosine))
+        total, toxic = total + weight, toxic + weight * labels[example]
+    return toxic / total
+
+
 @dataclass
 class Model:
     """Terms with their numbers, idf by number, the examples' ids, labels and vectors, and the calibration's steps."""
@@ -101,29 +170,23 @@ class Scorer:
         self.model, self.k, self.index, self.seen = model, k, BlockMaxIndex(model.vectors), {}
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Weighted share of toxic neighbours, with one neighbour at the greatest distance that votes as a document without terms."""
-        total, toxic = 1.0, self.model.bare
-        for cosine, example in near:
-            weight = 1.0 / (0.05 + 1.0 - min(1.0, cosine))
-            total, toxic = total + weight, toxic + weight * self.model.labels[example]
-        return toxic / total
+        """The vote in which the neighbour at the greatest distance votes as a document without terms."""
+        return vote(near, self.model.labels, self.model.bare)
 
     def calibrated(self, vote: float) -> float:
         if self.model.steps is None:
             return vote
         return float(np.interp(vote, *self.model.steps))
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float, int]]]:
-        """Score and evidence: (example id, cosine, label) of the nearest."""
+    def score(self, terms: list[int], counts: list[int]) -> float:
         if not terms:
-            return self.model.bare, []
+            return self.model.bare
         key = (tuple(terms), tuple(counts))
         if key not in self.seen:
             if len(self.seen) >= 200_000:
                 self.seen.clear()
             near = self.index.search(self.model.vector(terms, counts), self.k)
-            evidence = [(self.model.ids[e], c, int(self.model.labels[e])) for c, e in near[:3]]
-            self.seen[key] = self.calibrated(self.vote(near)), evidence
+            self.seen[key] = self.calibrated(self.vote(near))
         return self.seen[key]
 
 
@@ -139,14 +202,46 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def term_counts(docs: DataFrame, terms: dict[str, int], carry: dict[str, str]) -> DataFrame:
-    """``terms`` and ``counts`` (arrays) of each row's ``text``, beside the columns of ``carry`` (name to type)."""
-    names = [*carry, "terms", "counts"]
+_EVIDENCE = "array<struct<doc_id long, cosine double, toxic int>>"
+_SHAPE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+
+
+def whole_index(examples: DataFrame, k: int) -> WholeIndex:
+    """The index over the examples' whole texts, calibrated on the examples, each scored without itself."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [Counter(words_of(t.as_py())) for t in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array([hashes_of(c) for c in own], pa.list_(pa.int64())), pa.array([[*c.values()] for c in own], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "words", "counts"])
+
+    rows = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    own = rows.mapInArrow(split, "doc_id long, toxic int, words array<long>, counts array<int>").toArrow().sort_by("doc_id")  # at most max_examples rows
+    flat = lambda name: np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in own[name].chunks)])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy() for c in own["words"].chunks)]).astype(np.int64)
+    index = WholeIndex(own["doc_id"].to_pylist(), np.array(own["toxic"].to_pylist(), float), sizes, flat("words"), flat("counts"))
+    if index.n >= 50:
+        shared = examples.sparkSession.sparkContext.broadcast(index)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shared.value.vote(shared.value.search(Counter(words_of(t.as_py())), k, i)) for i, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["toxic", "vote"])
+
+        voted = rows.mapInArrow(votes, "toxic int, vote double").orderBy("vote", "toxic").toArrow()
+        index.steps = isotonic(np.array([*voted["vote"].to_pylist(), 0.0, 1.0]), np.array([*voted["toxic"].to_pylist(), 0.0, 1.0]))
+    return index
+
+
+def term_counts(docs: DataFrame, terms: dict[str, int], carry: dict[str, str], whole: WholeIndex | None = None, k: int = 15) -> DataFrame:
+    """``terms`` and ``counts`` (arrays) of each row's ``text``, beside the columns of ``carry`` (name to type); with ``whole`` also the score and evidence of the whole text."""
+    names = [*carry, "terms", "counts", *(["whole", "evidence"] if whole else [])]
+    shared = docs.sparkSession.sparkContext.broadcast(whole) if whole else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
-            found, counts = [], []
+            found, counts, scores, evidence = [], [], [], []
             for text in batch.column(len(carry)):
                 total: Counter[int] = Counter()
                 words = Counter(words_of(text.as_py()))
@@ -157,15 +252,19 @@ def term_counts(docs: DataFrame, terms: dict[str, int], carry: dict[str, str]) -
                         known[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
                     for t in known[word]:
                         total[t] += n
-                if total:  # other words, to half a power of two, so that like texts share their search
-                    others = sum(words.values())
-                    total[len(terms)] = round(2 ** (round(2 * np.log2(others)) / 2))
+                if total:
+                    total[len(terms)] = sum(words.values())
+                if shared is not None:
+                    score, near = shared.value.score(words, k)
+                    scores.append(score)
+                    evidence.append([{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in near])
                 own = sorted(total)
                 found.append(own)
                 counts.append([total[t] for t in own])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=names)
+            more = [] if shared is None else [pa.array(scores, pa.float64()), pa.array(evidence, _SHAPE)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), *more], names=names)
 
-    schema = ", ".join(f"{c} {t}" for c, t in carry.items()) + ", terms array<int>, counts array<int>"
+    schema = ", ".join(f"{c} {t}" for c, t in carry.items()) + ", terms array<int>, counts array<int>" + (f", whole double, evidence {_EVIDENCE}" if whole else "")
     return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
@@ -217,19 +316,21 @@ def toxicity(
     Labelled rows whose CRC32 of the id modulo ``folds`` is ``held_out`` are
     never learnt from. Of the others the ``max_examples`` with the smallest
     hash of the id are the examples: a bounded sample, which makes the index
-    and all that is broadcast bounded. Terms are words and their beginnings
-    that the examples tie to toxic labels; their document frequencies count
-    all rows, and all other words of a text share one dimension. The index gives exact cosines; the votes of the ``k`` nearest
-    are weighted by distance and calibrated on the examples, each scored
-    without itself. Rows without any term get the toxic share of examples
-    without any.
+    and all that is broadcast bounded. Every text is searched twice, and the score is
+    the mean of both: once by the TF-IDF cosine of all its words (``WholeIndex``),
+    and once over terms alone, words and their beginnings that the examples
+    tie to toxic labels; these terms' document frequencies count all rows, and
+    all other words of a text share one dimension. Both cosines are exact; the
+    votes of the ``k`` nearest are weighted by distance and calibrated on the
+    examples, each scored without itself. In the search over terms, rows
+    without any get the toxic share of examples without any.
 
     Two passes over the texts at most: one for the examples' terms, one that
-    leaves each row's few counts; scoring reads only these. ``examples_from``
+    searches whole texts and leaves each row's few counts of terms. ``examples_from``
     holds the labelled rows' texts where they are not in ``docs``.
 
     Returns ``doc_id, held_out, score, predicted, evidence`` per input row;
-    ``evidence`` lists up to three nearest examples. ``with_text_key`` adds
+    ``evidence`` lists up to three nearest examples by all words. ``with_text_key`` adds
     ``text_key``, the MD5 of the text, under which a caller finds the row again
     whatever its id. Null texts count as
     empty. Ids with several labels count as toxic if one is; null ids are
@@ -249,7 +350,7 @@ def toxicity(
 
     carry = {"doc_id": "long", "held_out": "boolean"} | ({"text_key": "string"} if with_text_key else {})
     keyed = rows.withColumns({"held_out": held, "text_key": text_key("text")})
-    counted = cut(term_counts(keyed, terms, carry))
+    counted = cut(term_counts(keyed, terms, carry, whole_index(examples, k), k))
     n = counted.count()
     frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # a row per chosen term
     idf = np.full(len(terms) + 1, np.log(1.0 + n) + 1.0)
@@ -270,16 +371,14 @@ def toxicity(
         model.steps = isotonic(np.array([*votes, 0.0, 1.0]), np.array([*model.labels, 0.0, 1.0]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    schema = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id long, cosine double, toxic int>>" + (", text_key string" if with_text_key else "")
-    shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+    schema = f"doc_id long, held_out boolean, score double, predicted int, evidence {_EVIDENCE}" + (", text_key string" if with_text_key else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, k)
+        scorer, at = Scorer(shared.value, k), len(carry)
         for batch in batches:
-            found = [scorer.score(t.as_py(), c.as_py()) for t, c in zip(batch.column(len(carry)), batch.column(len(carry) + 1), strict=True)]
-            scores = np.array([min(1.0, max(0.0, s)) for s, _ in found])
-            evidence = [[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in e] for _, e in found]
-            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.3).astype(np.int32)), pa.array(evidence, shape)]
+            found = [(w + scorer.score(t.as_py(), c.as_py())) / 2 for t, c, w in zip(batch.column(at), batch.column(at + 1), batch.column(at + 2).to_pylist(), strict=True)]
+            scores = np.array([min(1.0, max(0.0, s)) for s in found])
+            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.3).astype(np.int32)), batch.column(at + 3)]
             names = ["doc_id", "held_out", "score", "predicted", "evidence"]
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column(2)] if with_text_key else [])], names=[*names, *(["text_key"] if with_text_key else [])])
 

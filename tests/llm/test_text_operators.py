@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -164,3 +165,23 @@ def test_toxicity_held_out(spark):
     assert used and not used & held_ids
     bare = T.toxicity(docs, labels.limit(0)).agg(F.max("score")).first()[0]
     assert bare == 0.0 and T.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_whole_text_finds_copies_without_terms(spark):
+    """A toxic example whose words are in no other one has no term of its own, yet its copy is found; cosines are those of all words."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(400)], k=40)) + (" vileness scumbag" if i % 10 == 0 else "")) for i in range(600)]
+    odd = " ".join(f"zz{chr(97 + j)}qu{chr(97 + j)}" for j in range(20))
+    rows += [(900, odd), (901, odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows if i < 600] + [(900, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in T.toxicity(docs, labels, folds=7, held_out=9).collect()}
+    assert got[901].predicted == 1 and [(e.doc_id, e.cosine, e.toxic) for e in got[901].evidence[:1]] == [(900, 1.0, 1)]
+    assert all(r.evidence for r in got.values())
+    texts = {i: T.Counter(T.words_of(t)) for i, t in rows if i < 600 or i == 900}
+    df = T.Counter(w for c in texts.values() for w in c)
+    unit = lambda c: (lambda v: {w: x / sum(y * y for y in v.values()) ** 0.5 for w, x in v.items()})({w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in c.items()})
+    vectors = {i: unit(c) for i, c in texts.items()}
+    for i in range(0, 600, 60):
+        want = sorted(((-round(sum(x * v.get(w, 0.0) for w, x in vectors[i].items()), 9), e) for e, v in vectors.items()))[:3]
+        assert [round(e.cosine, 9) for e in got[i].evidence] == [-c for c, _ in want]
