@@ -1,4 +1,9 @@
-"""Substring deduplication by content-defined chunking with a gear rolling hash."""
+"""Substring deduplication by content-defined chunking with a gear rolling hash.
+
+A variation of the usual boundary rule: a boundary is not where the rolling
+hash falls below a threshold, which leaves chunks of any length, but at the
+least hash among some word ends in a row, which bounds them.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +18,12 @@ from pyspark.sql import functions as F
 from .common import cut, filled
 
 #: Bytes that the rolling hash covers, and word ends among which each run of so many has a boundary.
-REACH, WITHIN = 16, 12
+REACH, WITHIN = 8, 12
 #: One random number a byte, from a fixed seed.
 GEAR = np.random.default_rng(20240601).integers(0, 1 << 32, 256, np.uint32)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-SCHEMA = "doc_id long, idx int, start int, length int, words int, d1 long, d2 long"
+SCHEMA = "doc_id long, text_key long, start int, length int, words int, d1 long, d2 long"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -72,53 +77,70 @@ def chunk_rows(text: bytes, within: int) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: int = WITHIN) -> DataFrame:
-    """Rows of ``SCHEMA``: each text's chunks with place in UTF-8 bytes, words and 128-bit digest. Empty texts have none."""
+def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: int = WITHIN, once: bool = False) -> DataFrame:
+    """Rows of ``SCHEMA``: each text's chunks with place in UTF-8 bytes, words and 128-bit digest. Empty texts have none.
+
+    ``doc_id`` and ``text_key``, a hash of the text, tell rows apart whose ids
+    repeat or are null. With ``once`` a digest comes once a row.
+    """
     names = [f.split()[0] for f in SCHEMA.split(", ")]
-    types = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[] for _ in names]
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = chunk_rows(text.as_py(), within)
+                if once:
+                    found = [*{row[3:]: row for row in found}.values()]
                 if found:
-                    for column, values in zip(columns, ([doc] * len(found), range(len(found)), *zip(*found, strict=True)), strict=True):
+                    for column, values in zip(columns, ([doc] * len(found), [key] * len(found), *zip(*found, strict=True)), strict=True):
                         column.extend(values)
                 if len(columns[0]) > 50_000:
                     yield flush()
                     columns = [[] for _ in names]
         yield flush()
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), filled(text_col).cast("binary").alias("text"))
+    text = filled(text_col)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: int = WITHIN, min_words: int = 24) -> DataFrame:
-    """Passages that stand in more than one document.
-
-    Chunks are compared by digest alone. A digest seen in two documents is
-    repeated; neighbouring repeated chunks of a document form a passage, and
-    passages of at least ``min_words`` words are returned: a shared passage of
-    51 words keeps 24 between its first and last boundary, wherever it stands.
-    The counts per digest are combined before their shuffle, and chunks meet
-    them in a join that Spark may split, so a digest of any frequency is spread.
-
-    Returns ``doc_id, start, length, n_words, n_chunks, first_doc_id, kept``,
-    one row per passage: place and length in UTF-8 bytes, the smallest id among
-    the passage's digests, and whether this document holds the first copy of
-    all of them. Rows that repeat an id are one document; null ids are a
-    document of their own. Null and empty texts and empty tables give no rows.
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: int = WITHIN, min_words: int = 23) -> DataFrame:
+    """Passages that stand in more than one row.
+
+    Chunks are compared by digest alone. A digest seen in two rows is repeated;
+    neighbouring repeated chunks of a row form a passage, and passages of at
+    least ``min_words`` words are returned. A boundary depends on the
+    ``REACH`` bytes before it (four words at most) and is met within
+    ``within`` words, so a shared passage of 51 words keeps 51 - 4 - 2 * 12 =
+    23 between its first and last boundary, wherever it stands; shorter
+    repeats are not found reliably and not returned. The counts per digest are
+    combined before their shuffle, and chunks meet them in a join that Spark
+    may split, so a digest of any frequency is spread.
+
+    Returns ``doc_id, text_key, start, length, n_words, n_chunks, first_doc_id,
+    kept``, one row per passage: a hash of the whole text, place and length in
+    UTF-8 bytes, the smallest id among the passage's digests (null ids come
+    first), and whether this row has the smallest id for all of them. Rows
+    that repeat an id with another text are rows of their own; rows that
+    repeat id and text count as two and give their passages once. A passage
+    that repeats inside one row only is not returned. Null and empty texts and
+    empty tables give no rows.
     """
-    found = chunk(docs, id_col, text_col, within)
-    by_digest = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    repeated = cut(by_digest.filter("low < high").select("d1", "d2", "low"))
-    own = found.join(repeated, ["d1", "d2"]).select("doc_id", "idx", "start", "length", "words", "low").distinct()
-    island = F.col("idx") - F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))
+    once = chunk(docs, id_col, text_col, within, once=True)
+    by_digest = once.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    repeated = cut(by_digest.filter("n > 1").select("d1", "d2", "low"))
+    own = chunk(docs, id_col, text_col, within).join(repeated, ["d1", "d2"]).select("doc_id", "text_key", "start", "length", "words", "low")
+    row = Window.partitionBy("doc_id", "text_key").orderBy("start")
+    ends = F.lag(F.col("start") + F.col("length")).over(row)
+    begun = F.coalesce((F.col("start") > ends).cast("int"), F.lit(1))
     runs = (
-        own.withColumn("island", island)
-        .groupBy("doc_id", "island")
+        own.distinct()
+        .withColumn("begun", begun)
+        .withColumn("island", F.sum("begun").over(row))
+        .groupBy("doc_id", "text_key", "island")
         .agg(
             F.min("start").cast("long").alias("start"),
             F.sum("length").alias("length"),
@@ -130,12 +152,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .filter(F.col("n_words") >= min_words)
     )
     id_of = lambda c: F.when(F.col(c) > -(1 << 63), F.col(c)).alias(c)
-    return runs.select(id_of("doc_id"), "start", "length", "n_words", "n_chunks", id_of("first_doc_id"), (F.col("kept") == 1).alias("kept"))
+    return runs.select(id_of("doc_id"), "text_key", "start", "length", "n_words", "n_chunks", id_of("first_doc_id"), (F.col("kept") == 1).alias("kept"))
 
 
 def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text`` of every row with its passages that are not the first copy cut out."""
-    cuts = passages.filter("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("cuts"))
+    """``doc_id, text`` of every row with its passages that are not the first copy cut out. All rows that share the smallest id of a passage keep it."""
+    cuts = passages.filter("not kept").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +170,7 @@ def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
                 out.append(b"".join([*kept, data[at:]]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).cast("binary").alias("text"))
-    joined = rows.alias("r").join(cuts.alias("c"), F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")), "left").select("r.doc_id", "text", "cuts")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(filled(text_col)).alias("text_key"), filled(text_col).cast("binary").alias("text"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.text_key") == F.col("c.text_key"))
+    joined = rows.alias("r").join(cuts.alias("c"), same, "left").select("r.doc_id", "text", "cuts")
     return joined.mapInArrow(run, "doc_id long, text string")

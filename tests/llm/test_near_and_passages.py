@@ -132,4 +132,60 @@ def test_repeated_passages(spark):
     kept = {r.doc_id for r in got if r.kept}
     assert kept == {2 * k for k in range(30)}
     cut = {r.doc_id: r.text for r in C.drop_passages(spark.createDataFrame([(i, t, "c", "c") for i, t in rows], DDL), found).collect()}
-    assert cut[0] == text[0] and len(cut[178].split()) <= len(text[178].split()) - 24 and cut[5002] == ""
+    assert cut[0] == text[0] and len(cut[178].split()) <= len(text[178].split()) - 23 and cut[5002] == ""
+
+
+def islands(rows, within, least):
+    """Passages by chunk lists and a count of rows per digest, nothing else."""
+    chunks = [C.chunk_rows((t or "").encode(), within) for _, t in rows]
+    held = {}
+    for k, found in enumerate(chunks):
+        for c in found:
+            held.setdefault(c[3:], set()).add(k)
+    ids = [i for i, _ in rows]
+    low = {d: min((ids[k] is not None, ids[k] or 0) for k in ks) for d, ks in held.items() if len(ks) > 1}
+    out = set()
+    for k, found in enumerate(chunks):
+        run = []
+        for c in [*found, None]:
+            if c is not None and c[3:] in low:
+                run.append(c)
+                continue
+            if run and sum(x[2] for x in run) >= least:
+                first = min(low[x[3:]] for x in run)
+                kept = all(low[x[3:]] == (ids[k] is not None, ids[k] or 0) for x in run)
+                out.add((ids[k], rows[k][1], run[0][0], sum(x[1] for x in run), sum(x[2] for x in run), len(run), first[1] if first[0] else None, kept))
+            run = []
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    """Ids that repeat with other texts, null ids, repeated rows, repeats inside one row, and short words."""
+    rng = random.Random(12)
+    words = lambda n, v=4000: " ".join(f"t{rng.randrange(v)}" for _ in range(n))
+    shared = words(120)
+    rows = [(7, f"{words(30)} {shared} {words(40)}"), (7, f"{words(50)} {shared}"), (7, words(90)), (None, f"{shared} {words(10)}"), (None, words(60)), (3, f"{words(5)} {shared}")]
+    twice = words(60)
+    rows += [(20, f"{twice} {words(20)} {twice}"), (21, words(70)), (22, None), (23, "")] + [(24, words(80))] * 2
+    rows += [(100 + k, words(rng.randrange(200), 40)) for k in range(30)]
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in rows], DDL)
+    keys = {r.text: r.k for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) as k").collect()}
+    got = {(r.doc_id, r.text_key, r.start, r.length, r.n_words, r.n_chunks, r.first_doc_id, r.kept) for r in C.repeated_passages(df.repartition(3)).collect()}
+    assert got == {(i, keys[t], *rest) for i, t, *rest in islands(rows, C.WITHIN, 23)}
+    assert {i for i, *_ in got} >= {7, 3, None, 24} and 20 not in {i for i, *_ in got}
+
+
+def test_shared_passages_keep_23_words():
+    """Whatever the words' lengths and what stands around: between the first and last common boundary of 51 words lie 23 at least."""
+    rng = random.Random(13)
+    word = lambda most: "".join(rng.choice("abc") for _ in range(rng.randint(1, most)))
+    for _ in range(1500):
+        most = rng.choice([1, 2, 3, 9])
+        shared = " ".join(word(most) for _ in range(51))
+        found = []
+        for _ in range(2):
+            before, after = (" ".join(word(most) for _ in range(rng.randrange(1, 40))) for _ in range(2))
+            text = f"{before} {shared} {after}".encode()
+            at = len(before) + 1
+            found.append({(s - at, n, w) for s, n, w, *_ in C.chunk_rows(text, C.WITHIN) if s >= at and s + n <= at + len(shared)})
+        assert sum(w for _, _, w in found[0] & found[1]) >= 23
