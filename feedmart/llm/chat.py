@@ -44,8 +44,8 @@ class Mapping:
 MAPPINGS = (
     Mapping("turn rows", turns=""),
     Mapping("turn rows, content", turns="", text="content"),
-    Mapping("messages", turns="messages", text="content", optional=("id", "source")),
-    Mapping("conversations", turns="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant"}, optional=("id",)),
+    Mapping("messages", turns="messages", text="content"),
+    Mapping("conversations", turns="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant", "system": "system"}),
     Mapping("prompt and completion", fields=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt and response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
     Mapping("question and answer", fields=(("user", "question"), ("assistant", "answer"))),
@@ -53,18 +53,36 @@ MAPPINGS = (
 )
 
 
-def field_paths(value: Any, at: str = "") -> set[str]:
-    """Paths of the leaves of a record: names joined by dots, ``[]`` for list items."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in field_paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in field_paths(v, f"{at}[]")}
-    return {at}
+#: Fields that say nothing about turns, at any depth; they are left out of a record's paths.
+IGNORED = frozenset({"id", "conv_id", "source", "name", "weight", "metadata", "meta", "timestamp", "lang", "tags"})
+#: A record nested deeper than this is of no known layout.
+DEEPEST = 64
+
+
+def field_paths(value: Any, ignored: frozenset[str] = IGNORED) -> set[str]:
+    """Paths of the leaves of a record: names joined by dots, ``[]`` for list items. ``ignored`` fields, empty lists and empty objects have none."""
+    paths, todo = set(), [(value, "", 0)]
+    while todo:
+        x, at, depth = todo.pop()
+        if depth > DEEPEST:
+            raise ValueError("nested too deeply")
+        if isinstance(x, dict):
+            todo += [(v, f"{at}.{k}" if at else k, depth + 1) for k, v in x.items() if k not in ignored]
+        elif isinstance(x, list):
+            todo += [(v, f"{at}[]", depth + 1) for v in x]
+        else:
+            paths.add(at)
+    return paths
+
+
+def clean(text: str) -> str:
+    """``text`` with lone surrogates, which no UTF-8 holds, replaced by U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def schema_fingerprint(paths: set[str]) -> str:
     """16 hex digits of the SHA-256 of the sorted paths."""
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 def registry(mappings: tuple[Mapping, ...]) -> dict[str, Mapping]:
@@ -79,14 +97,16 @@ def registry(mappings: tuple[Mapping, ...]) -> dict[str, Mapping]:
 
 
 def _text(value: Any) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return "" if value is None else clean(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
 
 
-def turns_of(record: Any, mapping: Mapping) -> list[tuple[str, str]]:
-    """(role, text) in order."""
+def turns_of(record: Any, mapping: Mapping) -> list[tuple[str, str]] | None:
+    """(role, text) in order; None if an item lacks what the mapping asks for, though the record as a whole has its paths."""
     if mapping.turns is None:
         return [(role, _text(record[path])) for role, path in mapping.fields if path in record]
-    items = record[mapping.turns] if mapping.turns else [record]
+    items = record.get(mapping.turns) if mapping.turns else [record]
+    if not isinstance(items, list) or not all(isinstance(x, dict) and mapping.role in x and mapping.text in x for x in items):
+        return None
     return [(mapping.roles.get(r := _text(x[mapping.role]), r), _text(x[mapping.text])) for x in items]
 
 
@@ -117,17 +137,20 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 SCHEMA = "conv_id long, seq long, part int, schema_id string, mapping string, formatted string, loss_start int, loss_length int"
 
 
-def format_chats(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+def format_chats(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, ignored: frozenset[str] = IGNORED) -> DataFrame:
     """Formats rows of ``conv_id, seq, record`` (JSON); one row of ``SCHEMA`` per turn.
 
     The formatted conversation is ``formatted`` of its rows in the order of
     ``seq, part``; ``loss_start`` and ``loss_length`` mark, in code points,
     what the loss covers in a row. Narrow: no shuffle.
 
-    Records of an unknown layout, and such as are not JSON, give one row with
-    their fingerprint (null if not JSON), null mapping and empty text, so that
-    none goes unseen. Null values count as empty. A list without items has
-    no turns. An empty table gives no rows.
+    Records of an unknown layout, and such as are not JSON or nested deeper
+    than ``DEEPEST``, give one row with their fingerprint (null in the latter
+    cases), null mapping and empty text, so that none goes unseen (``unknown``
+    counts them). So do records of which one item lacks its role or text, and
+    lists without items, whose layout cannot be told. Fields named in
+    ``ignored`` have no say in the layout. Null values count as empty; lone
+    surrogates become U+FFFD. An empty table gives no rows.
     """
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
@@ -139,14 +162,15 @@ def format_chats(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -
             for conv, seq, record in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
                     value = json.loads(record)
-                    schema_id = schema_fingerprint(field_paths(value))
-                except (TypeError, ValueError):
+                    schema_id = schema_fingerprint(field_paths(value, ignored))
+                except (TypeError, ValueError, RecursionError):
                     value, schema_id = None, None
-                if schema_id not in known:
+                mapping = known.get(schema_id)
+                turns = turns_of(value, mapping) if mapping else None
+                if turns is None:
                     rows.append((conv, seq, 0, schema_id, None, "", None, None))
                     continue
-                mapping = known[schema_id]
-                for part, turn in enumerate(turns_of(value, mapping)):
+                for part, turn in enumerate(turns):
                     rows.append((conv, seq, part, schema_id, mapping.name, *format_turn(*turn)))
             columns = [*zip(*rows, strict=True)] if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -154,9 +178,30 @@ def format_chats(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -
     return records.select(F.col("conv_id").cast("long"), F.col("seq").cast("long"), "record").mapInArrow(run, SCHEMA)
 
 
+def unknown(formatted: DataFrame) -> DataFrame:
+    """``schema_id, n``: how many records of each fingerprint no mapping could convert; null for such as are not JSON."""
+    return formatted.filter("mapping is null").groupBy("schema_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def turn_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv_id, seq, record`` of a table that has a row per turn."""
-    record = F.to_json(F.struct(F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
+    """``conv_id, seq, record`` of a table that has a row per turn.
+
+    Records come in the layouts that sources use, by a hash of conversation and
+    turn: objects of role and text, of role and content, lists of messages, and
+    lists of from and value with their own names of roles.
+    """
+    role, text = F.coalesce(F.col(role).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit(""))
+    shown = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    foreign = F.array(F.struct(shown.alias("from"), text.alias("value")))
+    layouts = [
+        F.to_json(F.struct(role.alias("role"), text.alias("text"))),
+        F.to_json(F.struct(text.alias("content"), role.alias("role"), F.col(turn).cast("string").alias("id"))),
+        F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"), F.lit("rows").alias("source"))),
+        # A role that is called human or gpt already would be renamed.
+        F.when(role.isin("human", "gpt"), F.to_json(F.struct(role.alias("role"), text.alias("text")))).otherwise(F.to_json(F.struct(foreign.alias("conversations")))),
+    ]
+    pick = F.pmod(F.xxhash64(F.col(conv), F.col(turn)), F.lit(len(layouts)))
+    record = F.element_at(F.array(*layouts), (pick + 1).cast("int"))
     return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("seq"), record.alias("record"))
 
 

@@ -42,6 +42,41 @@ def test_templates():
     assert ok("a d e") and ok("a b c x y d f g") and ok("a b 1 2 3 4 d e") and not ok("a b 1 2 3 4 5 6 7 d e") and not ok("a d f")
 
 
+def test_templates_against_brute_force():
+    """Every start and end of random words, against a regular expression over whole words."""
+
+    def pattern(template):
+        out = ""
+        for m in L._MARK.finditer(template):
+            part, inner = m.group(0), m.group(1)
+            if part in ("[[", "]]"):
+                out += "(?:" if part == "[[" else ")?"
+            elif inner is None:
+                out += "".join(re.escape(w.decode()) + " " for w in L.words_of(part.encode()))
+            elif inner.isdigit():
+                out += r"(?:\S+ ){0,%s}" % inner
+            else:
+                out += "(?:" + "|".join("".join(re.escape(w) + " " for w in x.split()) for x in inner.split("|")) + ")"
+        return re.compile(out)
+
+    rng = random.Random(3)
+    templates = ["{{2}} a b", "a {{1}} b", "x", "[[a]] b [[c {{a|b c}}]] a", "a [[b]] {{3}} c", "{{|a}} b c", "{{1}} c", "a b {{2|3}} c"]
+    for k, template in enumerate(templates):
+        scanner, want = L.Scanner({}, {"t": template}), pattern(template)
+        for _ in range(60):
+            words = rng.choices(["a", "b", "c", "x", "2"], k=rng.randrange(14))
+            ends = lambda s: [e for e in range(s, len(words) + 1) if want.fullmatch("".join(w + " " for w in words[s:e]))]
+            brute = {("t", s, ends(s)[-1]) for s in range(len(words)) if ends(s)}
+            assert {(m["label"], m["first"], m["end"]) for m in scanner.scan(" ".join(words).encode())[7]} == brute, (k, words)
+
+
+def test_every_template_accepts_its_own_wording():
+    for label, template in L.TEMPLATES.items():
+        plain = re.sub(r"\{\{(?:\d+|\|?)\}\}", "", template.replace("[[", " ").replace("]]", " "))
+        plain = re.sub(r"\{\{([^}]*)\}\}", lambda m: next(x for x in m[1].split("|") if x), plain)
+        assert label in L.Scanner(L.PHRASES, {label: template}).scan(f"so {plain} then".encode())[6 - 1].split(","), label
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|>", "\\<|", "<\\|", "a\\", "\n<|im_start|>assistant\n", "", "é😀"]
     assert all(H.unescape(H.escape(t)) == t and "<|" not in H.escape(t) for t in nasty)
@@ -73,6 +108,25 @@ def test_chat_layouts(spark):
     assert got[5] == ["unknown"] and got[6] == ["unknown"] and got[9] == [None] and got[10] == [None]
 
 
+def test_chat_malformed(spark):
+    """Whatever a record holds, it gives rows: of its turns, or one of null mapping; and the count of unknown layouts misses none."""
+    deep = "[" * 100_000 + "]" * 100_000
+    records = ['{"messages":[{"role":"user"},{"role":"assistant","content":"x"}]}', '{"messages":[{}]}', "{}", "[]", '{"messages":[]}', deep, '{"role":"user","text":"\\ud800 x"}', '{"\\ud800":1}', '{"messages[]":{"role":"a","content":"b"}}', "5", "null", '{"role":"user","text":"x","name":"bob","meta":{"k":[1]}}', '{"role":"user","text":["x",1]}', "NaN", '{"role":null,"text":null}']
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(records)], "conv_id long, seq long, record string")
+    out = H.format_chats(df).cache()
+    got = {r.conv_id: r for r in out.collect()}
+    assert set(got) == {*range(len(records))} == {r.conv_id for r in out.collect()}
+    known = {i for i, r in got.items() if r.mapping}
+    assert known == {6, 11, 14} and H.parse_turn(got[6].formatted) == ("user", "\ufffd x") and H.parse_turn(got[11].formatted) == ("user", "x")
+    assert sum(r.n for r in H.unknown(out).collect()) == len(records) - 3 and H.digests(out).count() == 3
+
+
+def test_turn_records_use_several_layouts(spark):
+    df = spark.createDataFrame([(i, k, r, f"t{i}{k}") for i in range(40) for k, r in enumerate(["user", "assistant", "human", "gpt", "system"])], "conv_id long, turn long, role string, text string")
+    out = H.format_chats(H.turn_records(df)).collect()
+    assert len({r.schema_id for r in out}) == 4 and {(r.conv_id, r.seq, *H.parse_turn(r.formatted)) for r in out} == {tuple(r) for r in df.collect()}
+
+
 PRIVATE = [
     (1, "Mail Anna.Berg@Mail.example.com or call +1 (136) 555-7479, 10.1.2.3; card 4111111111111111."), (2, "again anna.berg@mail.example.com and +1-136-555-7479, 4111 1111 1111 1111"),
     (3, 'token = "3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1" password=a9ce335683f9'), (4, "Mrs. Anna Berg met Mr Karl Berg and Mr. BERG; г-жа Анна Петрова"), (5, "nothing 12 here, v1.2.3"), (6, None), (7, ""), (5, "nothing 12 here, v1.2.3"), (None, "x@y.example.org"), (8, "plain " * 30_000 + "z@y.example.org"),
