@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, filled, word_count
 
-#: So many random offsets are drawn for a source; the one whose mix comes nearest to the target is used.
-DRAWS = 16
+#: Sizes of one source are summed up in so many to a block, and then the blocks.
+SIZE_BLOCK = 1024
 #: Ranks within one source and size are formed in so many slices of the id's
 #: hash, so that a source of any size is ranked by many tasks.
 SLICE_DIGITS = 3
@@ -59,25 +59,27 @@ def mix(
 
     Every document of a source has the same expected number of copies, its
     source's target over its size. Within a source the documents are put in
-    order of size, then of the MD5 of their id; the expected copies are summed
+    order of size, then of the MD5 of their id and text; the expected copies are summed
     up in that order, one random offset per source is added, and a document is
     emitted once per integer crossed. As neighbours in the order have like
-    sizes, the words taken differ from the target by at most about one largest
-    document; to come nearer in small sources the offset is the best of
-    ``DRAWS`` random ones (from the MD5 of seed, number and source). What an
-    offset takes is known from the counts per size alone, as the copies of
-    documents of one size add up to a difference of two floors.
+    sizes, what one document takes above its share the next ones take below
+    theirs: summed by parts, the words taken differ from the target by at most
+    the size of the source's largest document, whatever the offset (from the
+    MD5 of seed and source). Nothing is chosen after looking at the outcome, so
+    every document's expected copies are exactly the rate.
 
-    The place of a document in the order is the sum of three counts, each
-    bounded whatever the source's size: sizes before its own, slices of its
-    size before its own, and its rank in the slice.
+    The place of a document in the order is a sum of counts, each bounded
+    whatever the source's size: blocks of sizes before its own, sizes before
+    its own in the block, slices of its size before its own, and its rank in
+    the slice.
 
     Returns ``doc_id, size, source_size, target, copies, taken`` per row (with
     ``row``, the whole input row, if ``keep_row``). Null texts have size 0;
     null is a source of its own; rows that repeat an id are documents of their
     own. A source of size 0 has target 0 and is not taken.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    content = F.md5(filled(text_col).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), content).cast("binary"))
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_row else []
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -92,22 +94,25 @@ def mix(
     steps = slices.groupBy("source", "size").agg(F.sum("n").alias("n"))
     earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    before = steps.select("source", "size", "n", F.coalesce(F.sum("n").over(earlier("source").orderBy("size")), zero).alias("smaller"))
+    steps = steps.withColumn("block", F.floor(F.col("size") / SIZE_BLOCK))
+    blocks = steps.groupBy("source", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("source", "block", F.coalesce(F.sum("n").over(earlier("source").orderBy("block")), zero).alias("blocked"))
+    before = steps.select("source", "block", "size", F.coalesce(F.sum("n").over(earlier("source", "block").orderBy("size")), zero).alias("smaller"))
+    before = before.join(blocks, ["source", "block"]).select("source", "size", (F.col("smaller") + F.col("blocked")).alias("smaller"))
     inside = slices.select("source", "size", "slice", F.coalesce(F.sum("n").over(earlier("source", "size").orderBy("slice")), zero).alias("sliced"))
     sources = steps.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = source_targets(sources, weights, share, most)
-    targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    floor_at = lambda place: F.floor(F.col("offset") + F.col("rate") * place.cast("double"))
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col("source")).cast("binary"))
-    offset = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    drawn = before.join(targets, "source").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("offset", offset)
-    drawn = drawn.groupBy("source", "source_size", "target", "rate", "draw", "offset").agg(
-        F.sum((floor_at(F.col("smaller") + F.col("n")) - floor_at(F.col("smaller"))) * F.col("size")).alias("taken")
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("source")).cast("binary"))
+    targets = targets.withColumns(
+        {
+            "rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0),
+            "offset": F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(2.0**32),
+        }
     )
-    chosen = drawn.groupBy("source", "source_size", "target", "rate").agg(F.min_by("offset", F.struct(F.abs(F.col("taken") - F.col("target")), "draw")).alias("offset"))
+    floor_at = lambda place: F.floor(F.col("offset") + F.col("rate") * place.cast("double"))
     places = (
-        inside.join(before.drop("n"), ["source", "size"])
-        .join(chosen, "source")
+        inside.join(before, ["source", "size"])
+        .join(targets, "source")
         .select("source", "size", "slice", (F.col("sliced") + F.col("smaller")).alias("ahead"), "source_size", "target", "rate", "offset")
     )
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("key", F.col("id").asc_nulls_last()))

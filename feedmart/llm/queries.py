@@ -86,7 +86,8 @@ WINDOW same AS (PARTITION BY norm)
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce('=' || source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, coalesce('=' || source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source = '', source) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight
@@ -104,19 +105,12 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN cut_level IS NULL THEN full_size ELSE least(full_size, cut_level * weight) END AS target FROM c
 ), r AS (
   SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY d.source ORDER BY size, md5(CAST(doc_id AS VARCHAR)), doc_id)::DOUBLE AS place
+         row_number() OVER (PARTITION BY d.source ORDER BY size, key, doc_id)::DOUBLE AS place
   FROM d JOIN t ON d.source = t.source
-), u AS (
-  SELECT source, draw, CAST(('0x' || substr(md5('mix:' || draw || ':' || source), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS shift
-  FROM t, range(16) g(draw)
-), k AS (
-  SELECT r.source, draw, any_value(shift) AS shift, abs(sum((floor(shift + rate * place) - floor(shift + rate * (place - 1))) * size) - any_value(target)) AS off
-  FROM r JOIN u ON r.source = u.source GROUP BY r.source, draw
-), o AS (SELECT source, arg_min(shift, {'off': off, 'draw': draw}) AS shift FROM k GROUP BY source
 )
 SELECT doc_id, size, source_size, target,
        CAST(floor(shift + rate * place) - floor(shift + rate * (place - 1)) AS BIGINT) * size AS taken
-FROM r JOIN o ON r.source = o.source
+FROM (SELECT *, CAST(('0x' || substr(md5('mix:' || source), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS shift FROM r)
 """
 
 
