@@ -14,84 +14,122 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows of one block of a leaf, and queries of one block, that meet in one group; queries scored together within it.
-BLOCK_ROWS, BLOCK_QUERIES, TOGETHER = 32_768, 1024, 64
+#: Rows of one block of a tree's leaves, and queries of one block, that meet in one group.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2048
+#: Queries, at most, whose true neighbours are found by brute force to set how many leaves a search visits.
+PROBES = 128
 
 
 @dataclass
 class Forest:
-    """Complete trees: node k of a tree has children 2k+1 and 2k+2; ``planes[tree, node]`` and ``cuts[tree, node]``."""
+    """Complete trees: node k of a tree has children 2k+1 and 2k+2. A tree has one random direction a level, ``planes[tree, level]``, and ``cuts[tree, node]``."""
 
     planes: np.ndarray
     cuts: np.ndarray
     depth: int
     reach: float  # length that the added component fills up to
 
-    def lifted(self, x: np.ndarray) -> np.ndarray:
-        """Vectors with a component that makes them equally long, so that the largest inner product is the nearest one."""
-        rest = np.sqrt(np.maximum(0.0, self.reach**2 - (x * x).sum(axis=1)))
-        return np.hstack((x, rest[:, None]))
+    def values(self, x: np.ndarray, added: bool = True) -> np.ndarray:
+        """Rows projected on each tree's directions: [row, tree, level].
+
+        A component is added to rows that makes them equally long, so that the
+        largest inner product is the nearest one; queries have zero there.
+        """
+        out = np.einsum("nd,tkd->ntk", x, self.planes[:, :, :-1], optimize=True)
+        if added:
+            rest = np.sqrt(np.maximum(0.0, self.reach**2 - (x * x).sum(axis=1)))
+            out += rest[:, None, None] * self.planes[None, :, :, -1]
+        return out
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each row in each tree."""
-        lifted, trees = self.lifted(x), len(self.planes)
-        out = np.zeros((len(x), trees), np.int64)
-        for t in range(trees):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                side = (lifted * self.planes[t, node]).sum(axis=1) > self.cuts[t, node]
-                node = 2 * node + 1 + side
-            out[:, t] = node
+        """Leaf of each row in each tree, counted from 0."""
+        values, out = self.values(x), np.zeros((len(x), len(self.planes)), np.int64)
+        for t in range(len(self.planes)):
+            for level in range(self.depth):
+                out[:, t] = 2 * out[:, t] + (values[:, t, level] > self.cuts[t, 2**level - 1 + out[:, t]])
         return out
 
-    def search(self, query: np.ndarray, visits: int) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of one priority queue over all trees: each node waits with the least margin on its way."""
-        lifted = np.append(query, 0.0)
-        margins = self.planes @ lifted - self.cuts
-        first = 2**self.depth - 1
-        queue = [(-math.inf, t, 0) for t in range(len(self.planes))]
-        heapq.heapify(queue)
-        found: list[tuple[int, int]] = []
+    def bounds(self, query: np.ndarray) -> np.ndarray:
+        """[tree, leaf]: the largest margin by which a way to the leaf lies on the other side of a cut than the query."""
+        values = self.values(query[None, :], added=False)[0]
+        bound = np.full((len(self.planes), 1), -math.inf)
+        for level in range(self.depth):
+            margin = values[:, level, None] - self.cuts[:, 2**level - 1 : 2 ** (level + 1) - 1]
+            bound = np.stack((np.maximum(bound, margin), np.maximum(bound, -margin)), axis=2).reshape(len(bound), -1)
+        return bound
+
+    def search(self, query: np.ndarray, visits: int) -> np.ndarray:
+        """Numbers ``tree * leaves + leaf`` of the first leaves that a priority queue over all trees gives, smallest bound first.
+
+        The queue holds a node under its bound; a child's bound is never below
+        its parent's, so the order in which leaves leave the queue is that of
+        the leaves' own bounds (``queue_order`` says it as a queue).
+        """
+        bound = self.bounds(query).ravel()
+        if visits >= len(bound):
+            return np.arange(len(bound))
+        first = np.argpartition(bound, visits - 1)[:visits]
+        return np.sort(first)
+
+    def queue_order(self, query: np.ndarray, visits: int) -> list[int]:
+        """The same by one shared priority queue, node by node."""
+        values = self.values(query[None, :], added=False)[0]
+        queue = [(-math.inf, 0, t, 0) for t in range(len(self.planes))]
+        found: list[int] = []
         while queue and len(found) < visits:
-            bound, t, node = heapq.heappop(queue)
-            if node >= first:
-                found.append((t, node))
+            bound, level, t, node = heapq.heappop(queue)
+            if level == self.depth:
+                found.append(t * 2**self.depth + node)
                 continue
-            m = margins[t, node]
-            heapq.heappush(queue, (max(bound, -m), t, 2 * node + 2))
-            heapq.heappush(queue, (max(bound, m), t, 2 * node + 1))
+            m = values[t, level] - self.cuts[t, 2**level - 1 + node]
+            heapq.heappush(queue, (max(bound, m), level + 1, t, 2 * node))
+            heapq.heappush(queue, (max(bound, -m), level + 1, t, 2 * node + 1))
         return found
 
 
 def fit_forest(sample: np.ndarray, trees: int, depth: int, reach: float, seed: int = 7) -> Forest:
-    """Random unit planes, cut at the median of the sampled rows that reach the node."""
+    """Random unit directions, cut at the median of the sampled rows that reach the node."""
     rng = np.random.default_rng(seed)
-    nodes, dim = 2**depth - 1, sample.shape[1] + 1
-    planes = rng.standard_normal((trees, nodes, dim))
+    planes = rng.standard_normal((trees, depth, sample.shape[1] + 1))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True)
-    forest = Forest(planes, np.zeros((trees, nodes)), depth, reach)
-    lifted = forest.lifted(sample)
+    forest = Forest(planes, np.zeros((trees, 2**depth - 1)), depth, reach)
+    values = forest.values(sample)
     for t in range(trees):
-        at = {0: np.arange(len(sample))}
-        for node in range(nodes):
-            rows = at.pop(node, np.empty(0, np.int64))
-            value = lifted[rows] @ planes[t, node]
-            forest.cuts[t, node] = np.median(value) if len(rows) else 0.0
-            side = value > forest.cuts[t, node]
-            at[2 * node + 1], at[2 * node + 2] = rows[~side], rows[side]
+        groups = [np.arange(len(sample))]
+        for level in range(depth):
+            below = []
+            for k, rows in enumerate(groups):
+                v = values[rows, t, level]
+                at = float(np.median(v)) if len(rows) else 0.0
+                forest.cuts[t, 2**level - 1 + k] = at
+                below += [rows[v <= at], rows[v > at]]
+            groups = below
     return forest
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of packed doubles as a matrix."""
-    return np.array([np.frombuffer(v.as_py(), np.float64) for v in column]) if len(column) else np.empty((0, 0))
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of packed doubles as a matrix; shorter vectors end in zeros."""
+    out = np.zeros((len(column), dim))
+    for k, v in enumerate(column):
+        x = np.frombuffer(v.as_buffer(), np.float64)
+        out[k, : len(x)] = x
+    return out
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Indexes of the k largest scores, ties to the smaller id; all that tie at the cut are looked at."""
+    if k < len(scores):
+        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
 def usable_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v`` (packed doubles), ``norm`` of vectors that take part.
 
     Null, empty and zero vectors and such with null or non-finite components
-    take no part, nor do those of another length than most of the sample.
+    take no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,35 +151,77 @@ def usable_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return chosen.filter("vec_id is not null and vector is not null").mapInArrow(run, "vec_id long, v binary, norm double")
 
 
+def probe_leaves(entries: DataFrame, dim: int, k: int, forest: Forest, recall: float) -> int:
+    """The fewest visits with which a bounded number of queries find the share ``recall`` of their true ``k`` neighbours.
+
+    The probes are the entries with the smallest hash; their neighbours come
+    from one pass over all entries that keeps ``k`` a task.
+    """
+    probes = entries.orderBy(F.xxhash64("v", F.lit(1)), "entry").limit(PROBES).select("entry", "v").collect()
+    own, q = np.array([r["entry"] for r in probes]), _matrix(pa.array([bytes(r["v"]) for r in probes], pa.binary()), dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[float, int, bytes]]] = [[] for _ in own]
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column(0).to_numpy()
+                dots = q @ _matrix(batch.column(1), dim).T
+                for p in range(len(own)):
+                    dots[p, ids == own[p]] = -math.inf
+                    found = _best(dots[p], ids, k)
+                    held[p] = sorted([*held[p], *((-dots[p, i], int(ids[i]), batch.column(1)[int(i)].as_py()) for i in found)])[:k]
+        rows = [(p, s, i, v) for p, found in enumerate(held) for s, i, v in found if s < math.inf]
+        columns = [*zip(*rows, strict=True)] if rows else [()] * 4
+        types = [pa.int64(), pa.float64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["p", "down", "entry", "v"])
+
+    near = entries.select("entry", "v").mapInArrow(run, "p long, down double, entry long, v binary")
+    place = F.row_number().over(Window.partitionBy("p").orderBy("down", "entry"))
+    near = near.withColumn("n", place).filter(F.col("n") <= k).select("p", "v").toArrow()  # PROBES * k rows at most
+    visits = []
+    p_of, leaves = near["p"].to_numpy(), forest.leaves(_matrix(near["v"].combine_chunks(), dim)) if near.num_rows else np.empty((0, 1), np.int64)
+    for p in range(len(own)):
+        bound = forest.bounds(q[p])
+        rank = np.empty(bound.size, np.int64)
+        rank[np.argsort(bound.ravel(), kind="stable")] = np.arange(1, bound.size + 1)
+        rank = rank.reshape(bound.shape)
+        visits += [int(rank[np.arange(len(bound)), at].min()) for at in leaves[p_of == p]]
+    return sorted(visits)[max(0, math.ceil(recall * len(visits)) - 1)] if visits else 1
+
+
 def nearest(
     rows: DataFrame,
     queries: DataFrame,
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    trees: int = 8,
-    share: float = 0.13,
-    leaf_rows: int = 1024,
-    max_depth: int = 4,
-    max_sample: int = 16384,
+    trees: int = 16,
+    leaf_rows: int = 32,
+    recall: float = 0.95,
+    max_sample: int = 65_536,
 ) -> DataFrame:
     """The ``k`` rows with the largest inner product for each query, itself excluded.
 
-    The forest's planes are fitted on a sample of at most ``max_sample``
-    distinct vectors (those with the smallest hash), so what is broadcast is
-    bounded; every row is indexed in every tree. Trees are as deep as leaves of
-    ``leaf_rows`` rows need, ``max_depth`` at most: every visited leaf hands on
-    its best rows, so with deeper trees a query would hand on more of them the
-    more rows there are. A query visits leaves in the
-    order of one priority queue over all trees until they hold about ``share``
-    of all rows, counted with repetition; each visited leaf's rows are scored
-    exactly, in double precision, and the best are kept. Unlike clustered data,
-    directionless vectors need a large share for high recall.
+    The forest is fitted on a sample of at most ``max_sample`` distinct vectors
+    (those with the smallest hash); every row is indexed in every tree. Trees
+    are as deep as leaves of ``leaf_rows`` rows need at any number of rows, as
+    far as the sample leaves eight rows to a leaf. A query visits leaves in the
+    order of one priority queue over all trees; how many is set by
+    ``probe_leaves`` so that ``recall`` of the true neighbours are met. The
+    rows of visited leaves are scored exactly, in double precision. Directions
+    of vectors without structure tell little, so there a high recall needs a
+    large share of all rows, which falls slowly as rows grow (figures in the
+    README).
+
+    A tree's leaves are dealt out by runs of neighbours, about ``BLOCK_ROWS``
+    rows each; a query goes once to each run that holds leaves for it and
+    brings back one list of the best ``k + 1``, in which all ties at the cut
+    were looked at. Runs and queries beyond the block sizes are split.
 
     Equal vectors are one entry of the index with their ``k + 1`` smallest
     ids, and equal queries are searched once, so copies neither fill leaves nor
-    crowd out anything. Leaves are scored in blocks of bounded rows and
-    queries.
+    crowd out anything. Vectors of different lengths are compared as if the
+    shorter ended in zeros; memory goes by the longest.
 
     Returns ``query_id, rank, vec_id, score``; ties go to the smaller id; fewer
     rows where there are fewer candidates found. See ``usable_vectors`` for
@@ -151,74 +231,84 @@ def nearest(
     few = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = vectors.withColumn("n", few).filter(F.col("n") <= k + 1).groupBy("v", "norm").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = cut(entries.select(F.element_at("ids", 1).alias("entry"), "v", "norm", "ids"))
-    n, reach = entries.agg(F.count(F.lit(1)), F.max("norm")).first()
-    empty = "query_id long, rank int, vec_id long, score double"
+    n, reach, dim = entries.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.length("v") / 8)).first()
     if not n:
-        return rows.sparkSession.createDataFrame([], empty)
-    sampled = [r["v"] for r in entries.orderBy(F.xxhash64("v"), "entry").limit(max_sample).select("v").collect()]
-    lengths = [len(v) for v in sampled]
-    dim = max(sorted(set(lengths)), key=lengths.count)
-    sample = np.array([np.frombuffer(v, np.float64) for v in sampled if len(v) == dim])
-    depth = max(0, min(max_depth, math.floor(math.log2(max(1, n) / leaf_rows)), int(math.log2(max(1, len(sample) // 8)))))
-    visits = max(1, math.ceil(share * trees * 2**depth)) if depth else 1
-    forest = rows.sparkSession.sparkContext.broadcast(fit_forest(sample, trees if depth else 1, depth, float(reach)))
-    used = trees if depth else 1
-    row_blocks = max(1, math.ceil(n / 2**depth / BLOCK_ROWS))
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = int(dim)
+    sampled = entries.orderBy(F.xxhash64("v"), "entry").limit(max_sample).select("v").toArrow()
+    sample = _matrix(sampled["v"].combine_chunks(), dim)
+    depth = max(0, min(math.floor(math.log2(n / leaf_rows)), math.floor(math.log2(max(1, len(sample) / 8)))))
+    fitted = fit_forest(sample, trees if depth else 1, depth, float(reach))
+    visits, leaves = probe_leaves(entries, dim, k, fitted, recall), 2**depth
+    forest, used = rows.sparkSession.sparkContext.broadcast(fitted), len(fitted.planes)
+    runs = min(leaves, 2 ** max(2, math.ceil(math.log2(n / BLOCK_ROWS))))  # runs of leaves in a tree
+    per_run, row_blocks = leaves // runs, max(1, math.ceil(n / runs / BLOCK_ROWS))
     asked = queries.select(F.col(id_col).cast("long").alias("query_id")).dropna().distinct()
-    asked = asked.join(vectors.filter(F.length("v") == dim).select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+    asked = asked.join(vectors.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
     heads = cut(asked.join(entries.select("v", "entry"), "v").select("query_id", "entry"))
     wanted = cut(heads.select("entry").distinct().join(entries.select("entry", "v"), "entry"))
-    many = wanted.count()
-    query_blocks = max(1, math.ceil(many * visits / (used * 2**depth) / BLOCK_QUERIES))
+    query_blocks = max(1, math.ceil(wanted.count() / BLOCK_QUERIES))
+    shape = {"tree": pa.int64(), "run": pa.int64(), "rb": pa.int64(), "qb": pa.int64(), "leaf": pa.int64(), "leaves": pa.list_(pa.int64()), "entry": pa.int64(), "v": pa.binary()}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
-            leaves = forest.value.leaves(x)
+            ids, leaf, m = batch.column(0).to_numpy(), forest.value.leaves(_matrix(batch.column(1), dim)), batch.num_rows
             for t in range(used):
                 for b in range(query_blocks):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(leaves[:, t]), pa.array(ids % row_blocks), pa.array(np.full(len(x), b)), batch.column(0), batch.column(1)], names=["tree", "leaf", "rb", "qb", "entry", "v"])
+                    columns = [np.full(m, t), leaf[:, t] // per_run, ids % row_blocks, np.full(m, b), leaf[:, t]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(m, shape["leaves"]), batch.column(0), batch.column(1)], names=[*shape])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for entry, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = forest.value.search(np.frombuffer(packed.as_py(), np.float64), visits)
-                t, leaf = (np.repeat(np.array(c, np.int64), row_blocks) for c in zip(*found, strict=True))
-                size = len(t)
-                block = entry % query_blocks
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(leaf), pa.array(np.tile(np.arange(row_blocks), len(found))), pa.array(np.full(size, block)), pa.array(np.full(size, entry)), pa.array([packed.as_py()] * size, pa.binary())], names=["tree", "leaf", "rb", "qb", "entry", "v"])
+            out: list[tuple] = []
+            for entry, packed, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _matrix(batch.column(1), dim), strict=True):
+                found = forest.value.search(x, visits)
+                groups = found // leaves * runs + found % leaves // per_run
+                for at in np.split(np.arange(len(found)), np.flatnonzero(np.diff(groups)) + 1):
+                    t, run = divmod(int(groups[at[0]]), runs)
+                    own = (found[at] % leaves).tolist()
+                    out += [(t, run, rb, entry % query_blocks, None, own, entry, packed) for rb in range(row_blocks)]
+            columns = [*zip(*out, strict=True)] if out else [()] * len(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape.values(), strict=True)], names=[*shape])
 
-    shape = "tree long, leaf long, rb long, qb long, entry long, v binary"
-    members = entries.filter(F.length("v") == dim).select("entry", "v").mapInArrow(index, shape)
-    seekers = wanted.repartition(32, "entry").select("entry", "v").mapInArrow(visit, shape)
+    ddl = "tree long, run long, rb long, qb long, leaf long, leaves array<long>, entry long, v binary"
+    members = entries.select("entry", "v").mapInArrow(index, ddl)
+    seekers = wanted.repartition(32, "entry").select("entry", "v").mapInArrow(visit, ddl)
+    lists = {"query": pa.int64(), "entries": pa.list_(pa.int64()), "scores": pa.list_(pa.float64())}
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        qs, es, values = [], [], []
+        out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            q, e = _matrix(left["v"]), _matrix(right["v"])
-            q_ids, e_ids = left["entry"].to_numpy(), right["entry"].to_numpy()
-            best = min(k + 1, len(e_ids))
-            for at in range(0, len(q_ids), TOGETHER):
-                dots = q[at : at + TOGETHER] @ e.T
-                picked = np.argpartition(-dots, best - 1, axis=1)[:, :best] if best < len(e_ids) else np.tile(np.arange(len(e_ids)), (len(dots), 1))
-                for row, columns in enumerate(picked, at):
-                    exact = (e[columns] * q[row]).sum(axis=1)  # each alone, so equal pairs score alike in every block
-                    qs.append(np.full(len(columns), q_ids[row]))
-                    es.append(e_ids[columns])
-                    values.append(exact)
-        join = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
-        return pa.table({"query": join(qs, pa.int64()), "entry": join(es, pa.int64()), "score": join(values, pa.float64())})
-
-    keys = ["tree", "leaf", "rb", "qb"]
-    scored = seekers.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(score, "query long, entry long, score double")
+            right = right.sort_by("leaf")
+            x, ids, leaf = _matrix(right["v"].combine_chunks(), dim), right["entry"].to_numpy(), right["leaf"].to_numpy()
+            for query, own, q in zip(left["entry"].to_pylist(), left["leaves"], _matrix(left["v"].combine_chunks(), dim), strict=True):
+                wanted_leaves = own.values.to_numpy()
+                starts, ends = np.searchsorted(leaf, wanted_leaves), np.searchsorted(leaf, wanted_leaves, side="right")
+                sizes = ends - starts
+                at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                if not len(at):
+                    continue
+                # Products alone may differ in the last digits by how rows are blocked: all near the cut are scored again, each alone.
+                rough = x[at] @ q
+                if k + 1 < len(at):
+                    at = at[rough >= np.partition(rough, -k - 1)[-k - 1] - 1e-9 * (1.0 + abs(rough).max())]
+                exact = (x[at] * q).sum(axis=1)
+                best = _best(exact, ids[at], k + 1)
+                out.append((query, ids[at][best], exact[best]))
+        columns = [*zip(*out, strict=True)] if out else [()] * 3
+        return pa.table({name: pa.array(c, t) for (name, t), c in zip(lists.items(), columns, strict=True)})
+
+    keys = ["tree", "run", "rb", "qb"]
+    scored = seekers.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(score, "query long, entries array<long>, scores array<double>")
+    scored = scored.select("query", F.explode(F.arrays_zip("entries", "scores")).alias("x")).select("query", F.col("x.entries").alias("entry"), F.col("x.scores").alias("score"))
     top = Window.partitionBy("query").orderBy(F.col("score").desc(), "entry")
     scored = scored.distinct().withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + 1).select("query", "entry", "score")
     scored = scored.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
     placed = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("n") <= k + 1)
-    lists = placed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))).alias("found"))
-    out = heads.join(cut(lists), F.col("entry") == F.col("query")).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    found = placed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))).alias("found"))
+    out = heads.join(cut(found), F.col("entry") == F.col("query")).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     return out.select("query_id", F.posexplode("found").alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.down")).alias("score")
     )

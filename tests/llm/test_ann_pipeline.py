@@ -19,7 +19,7 @@ def test_forest_recall(spark):
     """On directionless vectors, the worst case, at least nine tenths of the nearest are found."""
     x = np.random.default_rng(1).standard_normal((6000, 24)).astype(np.float32) * np.linspace(0.5, 1.5, 6000)[:, None].astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, score int")
-    got = A.nearest(df, df.filter("vec_id % 100 = 0"), k=20, leaf_rows=256).collect()
+    got = A.nearest(df, df.filter("vec_id % 100 = 0"), k=20).collect()  # the registered setting
     y = x.astype(np.float64)
     hit = 0
     for q in range(0, 6000, 100):
@@ -34,6 +34,43 @@ def test_forest_recall(spark):
     assert hit >= 0.9 * 60 * 20
 
 
+def test_queue_and_depth():
+    """The leaves of a search are those that the priority queue gives, and the share of rows that it takes falls as rows grow."""
+    rng, shares = np.random.default_rng(2), []
+    for n in (1000, 16_000):
+        x = rng.standard_normal((n, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forest = A.fit_forest(x, 8, int(np.log2(n / 32)), 1.0)
+        leaves, needed = forest.leaves(x), []
+        assert leaves.max() == 2**forest.depth - 1 and np.bincount(leaves[:, 0]).max() <= 40
+        for q in x[:20]:
+            order = forest.queue_order(q, 60)
+            assert sorted(order) == forest.search(q, 60).tolist()
+            rank = np.empty((8, 2**forest.depth), int)
+            rank.ravel()[np.argsort(forest.bounds(q).ravel(), kind="stable")] = np.arange(rank.size)
+            best = rank[np.arange(8), leaves].min(axis=1)
+            cut = np.sort(best[np.argsort(-(x @ q))[1:21]])[17]
+            needed.append((best <= cut).mean())
+        shares.append(np.mean(needed))
+    assert shares[1] < 0.8 * shares[0]
+
+
+def test_lengths_and_ties(spark):
+    """A shorter vector counts as ended by zeros; of vectors with equal products the smaller ids come first, in leaves of any size."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, float(rng.integers(0, 2)), *(0.25 * rng.integers(-8, 9, 2)).tolist()]) for i in range(900)] + [(900, [2.0]), (901, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    x = np.array([v + [0.0] * (4 - len(v)) for _, v in rows])
+    got: dict[int, list] = {}
+    for r in A.nearest(df, df.filter("vec_id % 100 < 2 and vec_id >= 800"), k=10, recall=1.0, leaf_rows=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert set(got) == {800, 801, 900, 901}
+    for q, found in got.items():
+        dots = x @ x[q]
+        assert found[0][0] == max(np.delete(dots, q)) and found == sorted(found, key=lambda r: (-r[0], r[1]))
+    assert [v for _, v in got[900]] == [i for i in range(900)][:9] + [9]
+
+
 def test_copies_and_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(40, [0.0, 1.0]), (41, None), (42, [0.0, 0.0]), (43, [float("nan"), 1.0]), (44, [None, 1.0]), (45, []), (46, [0.5, 0.5]), (46, [0.5, 0.5]), (None, [1.0, 1.0])]
     df = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<double>, rank string")
