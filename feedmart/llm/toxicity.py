@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from .common import cut, filled
 
 _SPLIT = bytes(c if c >= 0x80 or chr(c).isalpha() or c == 0x27 else 0x20 for c in range(256))
-#: Weight of the dimension that stands for all other words of a text, against an idf. It tells a word in passing from one of many.
-REST = 0.6
-#: Besides itself, a word stands for its beginnings of these lengths, which its inflected forms share.
-PREFIXES = (4, 5, 6)
+#: Share of a word's weight that its tie to the label adds, times the square of the tie's z-score. Chosen on folds of the training rows.
+TIE = 1.0
+#: Parts into which the examples are split to calibrate: each part is voted on by the others.
+PARTS = 4
 
 
 def words_of(text: str) -> list[bytes]:
@@ -26,268 +26,248 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SPLIT).split()
 
 
-def terms_of(word: bytes) -> list[str]:
-    """The word, and its beginnings marked by a star."""
-    w = word.decode("utf-8", "replace")
-    return [w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n)]
+def word_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's distinct words, and how often each occurs."""
+    own = Counter(words_of(text))
+    return np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)).view(np.int64), np.fromiter(own.values(), np.int64, len(own))
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors.
-
-    Postings of a term are kept by blocks of ``block`` examples with the
-    largest weight in each. A query bounds every block by its weights times
-    these maxima, visits blocks in falling order of the bound and stops when
-    the bound is below the k-th score found.
-    """
-
-    def __init__(self, vectors: list[dict[int, float]], block: int = 64):
-        self.n, self.block = len(vectors), block
-        blocks = max(1, -(-self.n // block))
-        gathered: dict[int, list[tuple[int, float]]] = {}
-        for example, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                gathered.setdefault(term, []).append((example, weight))
-        self.maxima: dict[int, np.ndarray] = {}
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for term, found in gathered.items():
-            ids, weights = np.array([e for e, _ in found]), np.array([w for _, w in found])
-            top = np.zeros(blocks)
-            np.maximum.at(top, ids // block, weights)
-            self.maxima[term] = top
-            self.postings[term] = ids, weights, np.searchsorted(ids, np.arange(blocks + 1) * block)
-
-    def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """(cosine, example), best first, ties to the smaller example; only examples that share a term."""
-        known = [(t, w) for t, w in query.items() if t in self.maxima]
-        if not known:
-            return []
-        bound = sum(w * self.maxima[t] for t, w in known)
-        best: list[tuple[float, int]] = []
-        for at in np.lexsort((np.arange(len(bound)), -bound)).tolist():
-            if bound[at] <= 0 or (len(best) == k and bound[at] < best[-1][0] - 1e-12):
-                break
-            scores = np.zeros(self.block)
-            for t, w in known:
-                ids, weights, starts = self.postings[t]
-                part = slice(starts[at], starts[at + 1])
-                scores[ids[part] - at * self.block] += w * weights[part]
-            hit = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((float(round(scores[i], 12)), int(at * self.block + i)) for i in hit)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-
-def hashes_of(words: Counter[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
-
-
-class WholeIndex:
-    """Exact top-k cosine over all words of the examples' texts, with votes.
-
-    Document frequencies are those of the examples; a word that no example
-    holds has the greatest idf and counts in a text's norm. Nearly every text
-    shares common words with most examples, so bounds would rule out next to
-    nothing: postings are summed up in full, by arrays. Words are known by
-    64-bit hashes, which keeps the index small on the driver.
+    """Exact top-k inner products over sparse vectors.
+
+    Examples are laid out by ``layout``, likely neighbours together, and cut
+    into blocks of ``block``. The longest posting lists, of the ``common``
+    commonest terms, are written out as a matrix with a place for every
+    example, and summed up for many queries at once. All other postings are
+    kept by block, with the largest weight of each block that holds the term.
+    A block's bound is its largest sum over common terms, which is exact, and
+    the query's other weights times these maxima. Blocks are visited in falling
+    order of the bound until none reaches the k-th score found.
     """
 
-    def __init__(self, ids: list[int], labels: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray):
-        """``sizes`` has each example's number of distinct words, ``words`` (hashes) and ``counts`` have those of all in a row."""
-        self.ids, self.labels, self.n, self.steps = ids, labels, len(ids), None
-        self.words, terms = np.unique(words, return_inverse=True)
-        examples = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        weights = 1.0 + np.log(counts)
-        df = np.bincount(terms, minlength=len(self.words))
-        self.idf = np.log((1.0 + self.n) / (1.0 + np.append(df, 0))) + 1.0  # the last is that of unknown words
-        weights *= self.idf[terms]
-        weights /= np.sqrt(np.bincount(examples, weights * weights, self.n))[examples]
-        order = np.argsort(terms, kind="stable")
-        self.examples, self.weights = examples[order], weights[order]
-        self.starts = np.concatenate(([0], np.cumsum(df)))
-        self.share = float(labels.mean()) if self.n else 0.0
-
-    def search(self, words: Counter[bytes], k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example), best first, ties to the smaller example; only examples that share a word. The id ``without`` is left out."""
-        if not words or not self.n:
-            return []
-        unknown = len(self.words)
-        hashes = hashes_of(words)
-        terms = np.searchsorted(self.words, hashes)
-        terms = np.where(self.words[np.minimum(terms, unknown - 1)] == hashes, terms, unknown) if unknown else np.zeros(len(hashes), np.int64)
-        query = (1.0 + np.log(np.array([*words.values()], float))) * self.idf[terms]
-        query /= np.sqrt((query * query).sum())
-        query, terms = query[terms < unknown], terms[terms < unknown]
-        sizes = self.starts[terms + 1] - self.starts[terms]
-        at = np.repeat(self.starts[terms] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        scores = np.round(np.bincount(self.examples[at], self.weights[at] * np.repeat(query, sizes), self.n), 12)
-        if without is not None:
-            scores[np.searchsorted(self.ids, without)] = 0.0
-        least = np.partition(scores, -k)[-k] if k < self.n else 0.0
-        found = np.flatnonzero((scores >= least) & (scores > 0))
-        return [(float(scores[e]), int(e)) for e in found[np.lexsort((found, -scores[found]))][:k]]
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        return vote(near, self.labels, self.share)
-
-    def score(self, words: Counter[bytes], k: int) -> tuple[float, list[tuple[int, float, int]]]:
-        """Score and evidence: (example id, cosine, label) of the nearest."""
-        near = self.search(words, k)
-        voted = self.vote(near)
-        return (voted if self.steps is None else float(np.interp(voted, *self.steps))), [(self.ids[e], c, int(self.labels[e])) for c, e in near[:3]]
+    def __init__(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, layout: np.ndarray, n_terms: int, block: int = 64, common: int = 512):
+        """``sizes`` has each example's number of terms, ``terms`` and ``weights`` have those of all in a row; ``layout`` the examples in their order."""
+        self.n, self.block, self.layout = len(sizes), block, layout
+        self.blocks = max(1, -(-self.n // block))
+        place = np.empty(self.n, np.int64)
+        place[layout] = np.arange(self.n)
+        at = place[np.repeat(np.arange(self.n), sizes)]
+        often = np.argsort(-np.bincount(terms, minlength=n_terms), kind="stable")[:common]
+        self.column = np.full(n_terms, -1)
+        self.column[often] = np.arange(len(often))
+        own = self.column[terms]
+        self.matrix = np.zeros((self.blocks * block, len(often)))
+        self.matrix[at[own >= 0], own[own >= 0]] = weights[own >= 0]
+        at, terms, weights = at[own < 0], terms[own < 0], weights[own < 0]
+        order = np.lexsort((at, terms))
+        self.places, self.weights, terms = at[order], weights[order], terms[order]
+        pair = terms * self.blocks + self.places // block
+        starts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.empty(0, np.int64)
+        self.pair_blocks = self.places[starts] // block
+        self.pair_maxima = np.maximum.reduceat(self.weights, starts) if len(pair) else np.empty(0)
+        self.term_starts = np.searchsorted(terms[starts], np.arange(n_terms + 1))
+        self.pair_starts = np.append(starts, len(pair))
+
+    @staticmethod
+    def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All positions of the spans in a row, and the span of each."""
+        sizes = ends - starts
+        span = np.repeat(np.arange(len(sizes)), sizes)
+        return np.arange(len(span)) + (starts - (np.cumsum(sizes) - sizes))[span], span
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights): (score, example), best first, ties to the smaller example; only examples that share a term."""
+        out = []
+        for begin in range(0, len(queries), 64):
+            some = queries[begin : begin + 64]
+            q = np.zeros((len(some), self.matrix.shape[1]))
+            for row, (terms, weights) in zip(q, some, strict=True):
+                own = self.column[terms]
+                row[own[own >= 0]] = weights[own >= 0]
+            sums = q @ self.matrix.T
+            tops = sums.reshape(len(some), self.blocks, self.block).max(axis=2)
+            for base, top, (terms, weights) in zip(sums, tops, some, strict=True):
+                rare = self.column[terms] < 0
+                out.append(self._finish(base, top, terms[rare], weights[rare], k))
+        return out
+
+    def _finish(self, scores: np.ndarray, top: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """Adds the other terms where bounds ask for it, and picks the best. ``scores`` has the sums over common terms."""
+        pairs, of = self._spans(self.term_starts[terms], self.term_starts[terms + 1])
+        blocks, own = self.pair_blocks[pairs], weights[of]
+        bound = top + np.bincount(blocks, own * self.pair_maxima[pairs], self.blocks)
+        visited, least = np.zeros(self.blocks, bool), 1e-12
+        chosen = np.zeros(self.blocks, bool)
+        chosen[np.argpartition(-bound, min(8, self.blocks - 1))[:8]] = True
+        chosen &= bound > least
+        while chosen.any():
+            picked = chosen[blocks]
+            postings, of_pair = self._spans(self.pair_starts[pairs[picked]], self.pair_starts[pairs[picked] + 1])
+            np.add.at(scores, self.places[postings], self.weights[postings] * own[picked][of_pair])
+            visited |= chosen
+            found = scores.reshape(self.blocks, self.block)[visited].ravel()
+            if k <= len(found):
+                least = max(least, np.partition(found, -k)[-k] - 1e-9)
+            chosen = ~visited & (bound >= least)
+        at = np.flatnonzero((scores >= least) & np.repeat(visited, self.block))
+        found = np.round(scores[at], 12)
+        examples = self.layout[at]
+        return [(float(found[i]), int(examples[i])) for i in np.lexsort((examples, -found))][:k]
 
 
-def vote(near: list[tuple[float, int]], labels: np.ndarray, bare: float) -> float:
-    """Weighted share of toxic neighbours, with one neighbour at the greatest distance that votes ``bare``."""
-    total, toxic = 1.0, bare
-    for cosine, example in near:
-        weight = 1.0 / (0.05 + 1.0 - min(1.0, cosine))
-        total, toxic = total + weight, toxic + weight * labels[example]
-    return toxic / total
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising steps through (x, y) by pooling neighbours: first and last x of each pool with its mean, as points to interpolate between."""
+    order = np.argsort(x, kind="stable")
+    pools: list[tuple[float, float, float, float]] = []  # first x, last x, mean, number
+    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        pool = (a, a, b, 1.0)
+        while pools and (pools[-1][2] >= pool[2] or pools[-1][1] == pool[0]):
+            first, _, mean, n = pools.pop()
+            pool = (first, pool[1], (mean * n + pool[2] * pool[3]) / (n + pool[3]), n + pool[3])
+        pools.append(pool)
+    return np.array([e for p in pools for e in p[:2]]), np.array([p[2] for p in pools for _ in range(2)])
 
 
 @dataclass
-class Model:
-    """Terms with their numbers, idf by number, the examples' ids, labels and vectors, and the calibration's steps."""
+class Examples:
+    """Labelled examples in a row: ids, labels, each one's number of words, and these words (numbers in ``words``, sorted hashes) with their counts."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
-    ids: list[int]
+    ids: np.ndarray
     labels: np.ndarray
-    vectors: list[dict[int, float]]
-    bare: float
-    steps: tuple[np.ndarray, np.ndarray] | None = None
-
-    def vector(self, terms: list[int], counts: list[int]) -> dict[int, float]:
-        weights = {t: (1.0 + np.log(c)) * self.idf[t] for t, c in zip(terms, counts, strict=True)}
-        norm = np.sqrt(sum(w * w for w in weights.values()))
-        return {t: float(w / norm) for t, w in weights.items()} if norm else {}
+    sizes: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
 
+    def part(self, keep: np.ndarray) -> Examples:
+        inside = np.repeat(keep, self.sizes)
+        return Examples(self.ids[keep], self.labels[keep], self.sizes[keep], self.terms[inside], self.counts[inside], self.words)
 
-class Scorer:
-    """Votes of the nearest examples, weighted by distance and calibrated."""
 
-    def __init__(self, model: Model, k: int):
-        self.model, self.k, self.index, self.seen = model, k, BlockMaxIndex(model.vectors), {}
+class Model:
+    """Votes of the nearest examples by the cosine of TF-IDF vectors over all words.
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """The vote in which the neighbour at the greatest distance votes as a document without terms."""
-        return vote(near, self.model.labels, self.model.bare)
-
-    def calibrated(self, vote: float) -> float:
-        if self.model.steps is None:
-            return vote
-        return float(np.interp(vote, *self.model.steps))
-
-    def score(self, terms: list[int], counts: list[int]) -> float:
-        if not terms:
-            return self.model.bare
-        key = (tuple(terms), tuple(counts))
-        if key not in self.seen:
-            if len(self.seen) >= 200_000:
-                self.seen.clear()
-            near = self.index.search(self.model.vector(terms, counts), self.k)
-            self.seen[key] = self.calibrated(self.vote(near))
-        return self.seen[key]
+    A word's weight in a text is ``(1 + log count) * idf``, and the words that
+    toxic examples hold more often than others weigh more, by their z-score. A
+    word that no example holds has the greatest idf and counts in the norm.
+    """
 
+    def __init__(self, examples: Examples, idf: np.ndarray, k: int):
+        self.ids, self.labels, self.words, self.k = examples.ids, examples.labels, examples.words, k
+        n, bad = len(self.ids), float(self.labels.sum())
+        self.share = bad / n if n else 0.0
+        of = np.repeat(np.arange(n), examples.sizes)
+        held = np.bincount(examples.terms, minlength=len(self.words)) + 0.5
+        toxic = np.bincount(examples.terms, self.labels[of], len(self.words)) + 0.5
+        odds = np.log(toxic / (bad + 1.0) * (n - bad + 1.0) / (held - toxic + 0.5))
+        z = np.maximum(0.0, odds / np.sqrt(1.0 / toxic + 1.0 / (held - toxic + 0.5)))
+        self.weight = idf * np.append(1.0 + TIE * z * z, 1.0)  # the last is that of unknown words
+        weights = (1.0 + np.log(examples.counts)) * self.weight[examples.terms]
+        weights /= np.sqrt(np.bincount(of, weights * weights, n))[of]
+        # Examples of one label that agree in their weightiest common word lie together.
+        common = np.argsort(-held, kind="stable")[:64]
+        rank = np.full(len(self.words), len(common))
+        rank[common] = np.arange(len(common))
+        first = np.zeros((n, len(common) + 1))
+        first[of, rank[examples.terms]] = weights
+        first[:, -1] = 0.0
+        layout = np.lexsort((np.arange(n), first.argmax(axis=1), self.labels))
+        self.index = BlockMaxIndex(examples.sizes, examples.terms, weights, layout, len(self.words))
+        self.steps: tuple[np.ndarray, np.ndarray] | None = None
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known words and their weights in the unit vector of all words."""
+        unknown = len(self.words)
+        terms = np.searchsorted(self.words, hashes)
+        terms = np.where(self.words[np.minimum(terms, unknown - 1)] == hashes, terms, unknown) if unknown else np.full(len(hashes), unknown)
+        weights = (1.0 + np.log(counts)) * self.weight[terms]
+        weights /= np.sqrt((weights * weights).sum()) or 1.0
+        return terms[terms < unknown], weights[terms < unknown]
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps through (x, y) by pooling neighbours, as points to interpolate between."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        pools.append([float(a), float(b), 1.0])
-        while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
-            (a1, b1, n1), (a2, b2, n2) = pools[-2:]
-            pools[-2:] = [[(a1 * n1 + a2 * n2) / (n1 + n2), (b1 * n1 + b2 * n2) / (n1 + n2), n1 + n2]]
-    return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        """Share of toxic neighbours weighted by nearness, with one neighbour at the greatest distance that votes as all examples do."""
+        total, toxic = 1.0, self.share
+        for cosine, example in near:
+            weight = 1.0 / (0.05 + 1.0 - min(1.0, cosine))
+            total, toxic = total + weight, toxic + weight * self.labels[example]
+        return float(toxic / total)
+
+    def near(self, texts: list[str]) -> list[list[tuple[float, int]]]:
+        return self.index.search([self.vector(*word_counts(t)) for t in texts], self.k) if len(self.ids) else [[] for _ in texts]
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        """Calibrated score of each text, and evidence: (example id, cosine, label) of the three nearest."""
+        out = []
+        for near in self.near(texts):
+            voted = self.vote(near)
+            score = voted if self.steps is None else float(np.interp(voted, *self.steps))
+            out.append((min(1.0, max(0.0, score)), [(int(self.ids[e]), c, int(self.labels[e])) for c, e in near[:3]]))
+        return out
 
 
 _EVIDENCE = "array<struct<doc_id long, cosine double, toxic int>>"
 _SHAPE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
 
-def whole_index(examples: DataFrame, k: int) -> WholeIndex:
-    """The index over the examples' whole texts, calibrated on the examples, each scored without itself."""
+def gather_examples(examples: DataFrame) -> Examples:
+    """The examples' words by hash; a bounded number of rows, so they come to the driver."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [Counter(words_of(t.as_py())) for t in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array([hashes_of(c) for c in own], pa.list_(pa.int64())), pa.array([[*c.values()] for c in own], pa.list_(pa.int32()))]
+            own = [word_counts(t.as_py()) for t in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array([h for h, _ in own], pa.list_(pa.int64())), pa.array([c for _, c in own], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "words", "counts"])
 
     rows = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    own = rows.mapInArrow(split, "doc_id long, toxic int, words array<long>, counts array<int>").toArrow().sort_by("doc_id")  # at most max_examples rows
+    own = rows.mapInArrow(split, "doc_id long, toxic int, words array<long>, counts array<long>").toArrow().sort_by("doc_id")
     flat = lambda name: np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in own[name].chunks)])
     sizes = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy() for c in own["words"].chunks)]).astype(np.int64)
-    index = WholeIndex(own["doc_id"].to_pylist(), np.array(own["toxic"].to_pylist(), float), sizes, flat("words"), flat("counts"))
-    if index.n >= 50:
-        shared = examples.sparkSession.sparkContext.broadcast(index)
-
-        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [shared.value.vote(shared.value.search(Counter(words_of(t.as_py())), k, i)) for i, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["toxic", "vote"])
+    words, terms = np.unique(flat("words"), return_inverse=True)
+    return Examples(np.array(own["doc_id"].to_pylist(), np.int64), np.array(own["toxic"].to_pylist(), float), sizes, terms, flat("counts"), words)
 
-        voted = rows.mapInArrow(votes, "toxic int, vote double").orderBy("vote", "toxic").toArrow()
-        index.steps = isotonic(np.array([*voted["vote"].to_pylist(), 0.0, 1.0]), np.array([*voted["toxic"].to_pylist(), 0.0, 1.0]))
-    return index
 
-
-def term_counts(docs: DataFrame, terms: dict[str, int], carry: dict[str, str], whole: WholeIndex | None = None, k: int = 15) -> DataFrame:
-    """``terms`` and ``counts`` (arrays) of each row's ``text``, beside the columns of ``carry`` (name to type); with ``whole`` also the score and evidence of the whole text."""
-    names = [*carry, "terms", "counts", *(["whole", "evidence"] if whole else [])]
-    shared = docs.sparkSession.sparkContext.broadcast(whole) if whole else None
+def document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of all texts, and of those that hold each of the given words (sorted hashes). Tasks count on their own arrays."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[int, ...]] = {}
+        known, n = shared.value, 0
+        held = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            found, counts, scores, evidence = [], [], [], []
-            for text in batch.column(len(carry)):
-                total: Counter[int] = Counter()
-                words = Counter(words_of(text.as_py()))
-                for word, n in words.items():
-                    if word not in known:
-                        if len(known) >= 300_000:
-                            known.clear()
-                        known[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
-                    for t in known[word]:
-                        total[t] += n
-                if total:
-                    total[len(terms)] = sum(words.values())
-                if shared is not None:
-                    score, near = shared.value.score(words, k)
-                    scores.append(score)
-                    evidence.append([{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in near])
-                own = sorted(total)
-                found.append(own)
-                counts.append([total[t] for t in own])
-            more = [] if shared is None else [pa.array(scores, pa.float64()), pa.array(evidence, _SHAPE)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), *more], names=names)
-
-    schema = ", ".join(f"{c} {t}" for c, t in carry.items()) + ", terms array<int>, counts array<int>" + (f", whole double, evidence {_EVIDENCE}" if whole else "")
-    return docs.select(*carry, "text").mapInArrow(run, schema)
-
-
-def select_terms(examples: DataFrame, least: int, chi2: float, most: int) -> list[str]:
-    """Terms that toxic examples hold more often than the others, by chi-squared; at most ``most``, strongest first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n += batch.num_rows
+            for text in batch.column(0):
+                if len(known):
+                    hashes = np.fromiter(map(xxhash.xxh64_intdigest, set(words_of(text.as_py()))), np.uint64).view(np.int64)
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    held[at[known[at] == hashes]] += 1
+        held[-1] = n
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["term", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per word of the examples
+    df = np.zeros(len(words) + 1, np.int64)
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    return int(df[-1]), df[:-1]
+
+
+def calibrate(model: Model, examples: DataFrame, own: Examples, idf: np.ndarray) -> None:
+    """Steps from vote to score. Each part of the examples is voted on by a model of the other parts, ties of words to the label included."""
+    part = np.random.default_rng(5).permutation(len(own.ids)) % PARTS
+    others = [Model(own.part(part != p), idf, model.k) for p in range(PARTS)]
+    shared = examples.sparkSession.sparkContext.broadcast((others, dict(zip(own.ids.tolist(), part.tolist(), strict=True))))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, part_of = shared.value
         for batch in batches:
-            held: Counter[tuple[str, int]] = Counter()
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                held.update((t, toxic.as_py()) for t in {t for w in set(words_of(text.as_py())) for t in terms_of(w)})
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in held], pa.string()), pa.array([y for _, y in held], pa.int64()), pa.array([*held.values()], pa.int64())], names=["term", "toxic", "n"])
-
-    rows = examples.select("text", F.col("toxic").cast("long").alias("toxic"))
-    totals = rows.agg(F.count(F.lit(1)).alias("all"), F.sum("toxic").alias("bad")).first()
-    if not totals["bad"]:
-        return []
-    share = totals["bad"] / totals["all"]
-    held = rows.mapInArrow(run, "term string, toxic long, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum("n").alias("n"))
-    expected = F.col("n") * F.lit(share)
-    value = (F.col("bad") - expected) ** 2 / expected / F.lit(max(1e-9, 1 - share))
-    chosen = held.filter((F.col("bad") >= least) & (F.col("bad") > expected)).withColumn("value", value).filter(F.col("value") >= chi2)
-    return [r["term"] for r in chosen.orderBy(F.col("value").desc(), "term").limit(most).select("term").collect()]
+            parts, found = np.array([part_of[i] for i in batch.column(0).to_pylist()], int), np.zeros(batch.num_rows)
+            for p in np.unique(parts).tolist():
+                rows = np.flatnonzero(parts == p)
+                found[rows] = [models[p].vote(near) for near in models[p].near(batch.column(2).take(pa.array(rows)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["toxic", "vote"])
+
+    rows = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    voted = rows.mapInArrow(votes, "toxic int, vote double").orderBy("vote", "toxic").toArrow()
+    model.steps = isotonic(np.array([*voted["vote"].to_pylist(), 0.0, 1.0]), np.array([*voted["toxic"].to_pylist(), 0.0, 1.0]))
 
 
 def text_key(text: str | Column) -> Column:
@@ -303,12 +283,8 @@ def toxicity(
     label_col: str = "toxic",
     held_out: int = 2,
     folds: int = 4,
-    max_examples: int = 8192,
-    max_terms: int = 4096,
-    least: int = 6,
-    chi2: float = 40.0,
+    max_examples: int = 4096,
     k: int = 15,
-    examples_from: DataFrame | None = None,
     with_text_key: bool = False,
 ) -> DataFrame:
     """Scores every row's whole text against the nearest labelled examples.
@@ -316,70 +292,45 @@ def toxicity(
     Labelled rows whose CRC32 of the id modulo ``folds`` is ``held_out`` are
     never learnt from. Of the others the ``max_examples`` with the smallest
     hash of the id are the examples: a bounded sample, which makes the index
-    and all that is broadcast bounded. Every text is searched twice, and the score is
-    the mean of both: once by the TF-IDF cosine of all its words (``WholeIndex``),
-    and once over terms alone, words and their beginnings that the examples
-    tie to toxic labels; these terms' document frequencies count all rows, and
-    all other words of a text share one dimension. Both cosines are exact; the
-    votes of the ``k`` nearest are weighted by distance and calibrated on the
-    examples, each scored without itself. In the search over terms, rows
-    without any get the toxic share of examples without any.
-
-    Two passes over the texts at most: one for the examples' terms, one that
-    searches whole texts and leaves each row's few counts of terms. ``examples_from``
-    holds the labelled rows' texts where they are not in ``docs``.
+    and all that is broadcast bounded. Every text is searched by all its words
+    (``Model``) for the ``k`` examples of largest cosine, exactly, through a
+    block-max index; document frequencies count all rows. The votes of the
+    neighbours are weighted by distance and calibrated (``calibrate``).
+
+    Two passes over the texts: one counts documents per word, one searches.
 
     Returns ``doc_id, held_out, score, predicted, evidence`` per input row;
-    ``evidence`` lists up to three nearest examples by all words. ``with_text_key`` adds
+    ``evidence`` lists up to three nearest examples. ``with_text_key`` adds
     ``text_key``, the MD5 of the text, under which a caller finds the row again
-    whatever its id. Null texts count as
-    empty. Ids with several labels count as toxic if one is; null ids are
-    scored and never learnt from. Without labels every score is 0.
+    whatever its id. Null texts count as empty; a text without words has no
+    neighbours and gets the calibrated score of that. Ids with several labels
+    count as toxic if one is, ids with several texts by the greatest of them;
+    null ids are scored and never learnt from. Without labels every score is 0.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
-    texts = rows if examples_from is None else examples_from.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held)
-    marks = marks.join(texts.select("doc_id"), "doc_id", "left_semi")
+    marks = marks.join(rows.select("doc_id"), "doc_id", "left_semi")
     marks = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))  # two numbers a row: bounded, and small enough to broadcast
-    examples = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    examples = rows.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     examples = cut(examples.repartition(32, "doc_id"))
-    chosen = select_terms(examples, least, chi2, max_terms)
-    terms = {t: i for i, t in enumerate(chosen)}
-
-    carry = {"doc_id": "long", "held_out": "boolean"} | ({"text_key": "string"} if with_text_key else {})
-    keyed = rows.withColumns({"held_out": held, "text_key": text_key("text")})
-    counted = cut(term_counts(keyed, terms, carry, whole_index(examples, k), k))
-    n = counted.count()
-    frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()  # a row per chosen term
-    idf = np.full(len(terms) + 1, np.log(1.0 + n) + 1.0)
-    for r in frequency:
-        idf[r["term"]] = np.log((1.0 + n) / (1.0 + r["df"])) + 1.0
-    idf[len(terms)] = REST
-    own = term_counts(examples, terms, {"doc_id": "long", "toxic": "int"}).orderBy("doc_id").collect()  # at most max_examples rows
-    y = np.array([r["toxic"] for r in own], float)
-    without = y[[not r["terms"] for r in own]] if own else y
-    bare = float((without.sum() + 0.5) / (len(without) + 50.0)) if len(y) else 0.0
-    with_terms = [r for r in own if r["terms"]]
-    model = Model(terms, idf, [r["doc_id"] for r in with_terms], np.array([r["toxic"] for r in with_terms], float), [], bare)
-    model.vectors = [model.vector(r["terms"], r["counts"]) for r in with_terms]
-    if len(with_terms) >= 50:
-        trial, votes = Scorer(model, k), []
-        for e, vector in enumerate(model.vectors):
-            votes.append(trial.vote([x for x in trial.index.search(vector, k + 1) if x[1] != e][:k]))
-        model.steps = isotonic(np.array([*votes, 0.0, 1.0]), np.array([*model.labels, 0.0, 1.0]))
+    own = gather_examples(examples)
+    n, df = document_frequencies(rows, own.words)
+    idf = np.log((1.0 + n) / (1.0 + np.append(df, 0))) + 1.0
+    model = Model(own, idf, k)
+    calibrate(model, examples, own, idf)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    schema = f"doc_id long, held_out boolean, score double, predicted int, evidence {_EVIDENCE}" + (", text_key string" if with_text_key else "")
+    names = ["doc_id", "held_out", "score", "predicted", "evidence", *(["text_key"] if with_text_key else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, at = Scorer(shared.value, k), len(carry)
         for batch in batches:
-            found = [(w + scorer.score(t.as_py(), c.as_py())) / 2 for t, c, w in zip(batch.column(at), batch.column(at + 1), batch.column(at + 2).to_pylist(), strict=True)]
-            scores = np.array([min(1.0, max(0.0, s)) for s in found])
-            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.3).astype(np.int32)), batch.column(at + 3)]
-            names = ["doc_id", "held_out", "score", "predicted", "evidence"]
-            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(2)] if with_text_key else [])], names=[*names, *(["text_key"] if with_text_key else [])])
+            found = [x for at in range(0, batch.num_rows, 64) for x in shared.value.scores(batch.column(3).slice(at, 64).to_pylist())]
+            scores = np.array([s for s, _ in found], float)
+            evidence = pa.array([[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in near] for _, near in found], _SHAPE)
+            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.3).astype(np.int32)), evidence]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(2)] if with_text_key else [])], names=names)
 
-    return counted.mapInArrow(run, schema)
+    schema = f"doc_id long, held_out boolean, score double, predicted int, evidence {_EVIDENCE}" + (", text_key string" if with_text_key else "")
+    key = text_key("text") if with_text_key else F.lit("")
+    return rows.select("doc_id", held.alias("held_out"), key.alias("text_key"), "text").mapInArrow(run, schema)

@@ -8,6 +8,7 @@ import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from feedmart.llm import chat as H
@@ -183,15 +184,18 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_block_max_equals_brute_force():
-    rng = random.Random(6)
-    unit = lambda v: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()}
-    vectors = [unit({rng.randrange(30): rng.random() + 0.01 for _ in range(rng.randrange(1, 6))}) for _ in range(700)]
-    index = T.BlockMaxIndex(vectors, 16)
-    for q in vectors[::9] + [{99: 1.0}]:
-        brute = sorted(((round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), e) for e, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        want = [(s, e) for s, e in brute if s > 0][:15]
-        got = [(round(s, 9), e) for s, e in index.search(q, 15)]
-        assert [s for s, _ in got] == [s for s, _ in want]
+    rng = np.random.default_rng(6)
+    n, terms = 700, 60
+    dense = np.where(rng.random((n, terms)) < 0.08, rng.random((n, terms)) + 0.01, 0.0)
+    dense[650:] = dense[600:650]  # ties
+    at = np.nonzero(dense)
+    for block, common in ((16, 0), (16, 5), (64, 60), (1000, 5)):
+        index = T.BlockMaxIndex((dense > 0).sum(axis=1), at[1], dense[at], rng.permutation(n), terms, block, common)
+        queries = [(np.flatnonzero(q), q[q > 0]) for q in dense[::9]] + [(np.empty(0, np.int64), np.empty(0))]
+        for (t, w), got in zip(queries, index.search(queries, 15), strict=True):
+            brute = np.round(dense[:, t] @ w, 12) if len(t) else np.zeros(n)
+            want = [(float(brute[e]), int(e)) for e in np.lexsort((np.arange(n), -brute))[:15] if brute[e] > 0]
+            assert [e for _, e in got] == [e for _, e in want] and all(abs(a - b) < 1e-10 for (a, _), (b, _) in zip(got, want, strict=True))
 
 
 def test_toxicity_held_out(spark):
@@ -221,21 +225,66 @@ def test_toxicity_held_out(spark):
     assert bare == 0.0 and T.toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_whole_text_finds_copies_without_terms(spark):
-    """A toxic example whose words are in no other one has no term of its own, yet its copy is found; cosines are those of all words."""
+def brute_votes(examples, texts, n_all, df_all, k=15):
+    """Vote and nearest examples of each text, by dictionaries alone; ``examples`` has (id, label, words with counts)."""
+    n, bad = len(examples), sum(y for _, y, _ in examples)
+    held, toxic = T.Counter(), T.Counter()
+    for _, y, c in examples:
+        held.update(c.keys())
+        toxic.update(c.keys() if y else ())
+
+    def weight(w):
+        idf = math.log((1 + n_all) / (1 + (df_all[w] if w in held else 0))) + 1
+        if w not in held:
+            return idf
+        a, b = toxic[w] + 0.5, held[w] - toxic[w] + 0.5
+        z = max(0.0, math.log(a / (bad + 1) * (n - bad + 1) / b) / math.sqrt(1 / a + 1 / b))
+        return idf * (1 + z * z)
+
+    weights = {w: weight(w) for c in [*(c for _, _, c in examples), *texts] for w in c}
+    unit = lambda c: (lambda v: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()})({w: (1 + math.log(m)) * weights[w] for w, m in c.items()})
+    vectors = [(i, y, unit(c)) for i, y, c in examples]
+    out = []
+    for c in texts:
+        q = unit(c)
+        near = sorted((-round(sum(x * v[w] for w, x in q.items() if w in v), 9), i, y) for i, y, v in vectors)[:k]
+        near = [(-s, i, y) for s, i, y in near if s < 0]
+        votes = [(1 / (1.05 - min(1.0, s)), y) for s, _, y in near]
+        out.append(((bad / n + sum(v * y for v, y in votes)) / (1 + sum(v for v, _ in votes)), near))
+    return out
+
+
+def rising(x, y):
+    """Isotonic fit at each point by the min-max rule."""
+    order = np.argsort(x, kind="stable")
+    z = np.array(y, float)[order]
+    fit = np.array([max(min(z[i : j + 1].mean() for j in range(k, len(z))) for i in range(k + 1)) for k in range(len(z))])
+    return np.array(x)[order], fit
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Words, document frequencies over all rows, ties of words to the label, neighbours, votes and calibration, by plain Python."""
     rng = random.Random(11)
-    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(400)], k=40)) + (" vileness scumbag" if i % 10 == 0 else "")) for i in range(600)]
-    odd = " ".join(f"zz{chr(97 + j)}qu{chr(97 + j)}" for j in range(20))
-    rows += [(900, odd), (901, odd)]
+    rows = [(i, " ".join(rng.choices([f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(120)], k=rng.randrange(1, 25))) + (" vileness scumbag" if i % 7 == 0 and i % 3 else "")) for i in range(160)]
+    odd = " ".join(f"zz{chr(97 + j)}qu" for j in range(20))
+    rows += [(900, odd), (901, odd), (902, ""), (903, None), (904, "unseen words here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows if i < 600] + [(900, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i, _ in rows if i < 120] + [(900, 1)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in T.toxicity(docs, labels, folds=7, held_out=9).collect()}
-    assert got[901].predicted == 1 and [(e.doc_id, e.cosine, e.toxic) for e in got[901].evidence[:1]] == [(900, 1.0, 1)]
-    assert all(r.evidence for r in got.values())
-    texts = {i: T.Counter(T.words_of(t)) for i, t in rows if i < 600 or i == 900}
-    df = T.Counter(w for c in texts.values() for w in c)
-    unit = lambda c: (lambda v: {w: x / sum(y * y for y in v.values()) ** 0.5 for w, x in v.items()})({w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in c.items()})
-    vectors = {i: unit(c) for i, c in texts.items()}
-    for i in range(0, 600, 60):
-        want = sorted(((-round(sum(x * v.get(w, 0.0) for w, x in vectors[i].items()), 9), e) for e, v in vectors.items()))[:3]
-        assert [round(e.cosine, 9) for e in got[i].evidence] == [-c for c, _ in want]
+    counts = {i: T.Counter(T.words_of(t or "")) for i, t in rows}
+    df = T.Counter(w for c in counts.values() for w in c)
+    examples = [(i, int(i % 7 == 0) if i < 900 else 1, counts[i]) for i, _ in rows if i < 120 or i == 900]
+    votes = brute_votes(examples, [counts[i] for i, _ in rows], len(rows), df)
+    part = np.random.default_rng(5).permutation(len(examples)) % T.PARTS
+    x, y = [0.0, 1.0], [0.0, 1.0]
+    for p in range(T.PARTS):
+        inside = [e for e, q in zip(examples, part, strict=True) if q == p]
+        x += [v for v, _ in brute_votes([e for e, q in zip(examples, part, strict=True) if q != p], [c for _, _, c in inside], len(rows), df)]
+        y += [label for _, label, _ in inside]
+    order = sorted(range(2, len(x)), key=lambda i: (x[i], y[i])) + [0, 1]
+    xs, fit = rising([x[i] for i in order], [y[i] for i in order])
+    assert got[901].predicted == 1 and (got[901].evidence[0].doc_id, round(got[901].evidence[0].cosine, 9)) == (900, 1.0)
+    for (i, _), (vote, near) in zip(rows, votes, strict=True):
+        assert [(e.doc_id, round(e.cosine, 9), e.toxic) for e in got[i].evidence] == [(e, s, y) for s, e, y in near[:3]]
+        below, above = fit[xs <= vote + 1e-9][-1], fit[xs >= vote - 1e-9][0]
+        assert below - 1e-6 <= got[i].score <= above + 1e-6
