@@ -253,21 +253,22 @@ def document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[int, np.n
 def calibrate(model: Model, examples: DataFrame, own: Examples, idf: np.ndarray) -> None:
     """Steps from vote to score. Each part of the examples is voted on by a model of the other parts, ties of words to the label included."""
     part = np.random.default_rng(5).permutation(len(own.ids)) % PARTS
-    others = [Model(own.part(part != p), idf, model.k) for p in range(PARTS)]
-    shared = examples.sparkSession.sparkContext.broadcast((others, dict(zip(own.ids.tolist(), part.tolist(), strict=True))))
-
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, part_of = shared.value
-        for batch in batches:
-            parts, found = np.array([part_of[i] for i in batch.column(0).to_pylist()], int), np.zeros(batch.num_rows)
-            for p in np.unique(parts).tolist():
-                rows = np.flatnonzero(parts == p)
-                found[rows] = [models[p].vote(near) for near in models[p].near(batch.column(2).take(pa.array(rows)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["toxic", "vote"])
-
-    rows = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    voted = rows.mapInArrow(votes, "toxic int, vote double").orderBy("vote", "toxic").toArrow()
-    model.steps = isotonic(np.array([*voted["vote"].to_pylist(), 0.0, 1.0]), np.array([*voted["toxic"].to_pylist(), 0.0, 1.0]))
+    rows, votes, marks = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), [0.0, 1.0], [0.0, 1.0]
+    for p in range(PARTS):  # one model at a time is sent out
+        shared = examples.sparkSession.sparkContext.broadcast((Model(own.part(part != p), idf, model.k), own.ids[part == p]))
+
+        def vote(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            other, ids = shared.value
+            for batch in batches:
+                chosen = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), ids)))
+                found = [other.vote(near) for near in other.near(chosen.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([chosen.column(1), pa.array(found, pa.float64())], names=["toxic", "vote"])
+
+        voted = rows.mapInArrow(vote, "toxic int, vote double").toArrow()
+        votes, marks = [*voted["vote"].to_pylist(), *votes], [*voted["toxic"].to_pylist(), *marks]
+        shared.destroy()
+    order = np.lexsort((marks, votes))  # tasks may end in any order
+    model.steps = isotonic(np.array(votes)[order], np.array(marks, float)[order])
 
 
 def text_key(text: str | Column) -> Column:
