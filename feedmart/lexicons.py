@@ -82,6 +82,9 @@ STRICT_TOKENS = "basketball football baseball volleyball soccer tennis gymnastic
 AI_TOKENS = "ai artificial intelligence machine learn language model llm".split()
 AI_PATTERN = "ai|artificial intelligence|machine learning|language models?|llm"
 
+#: Greatest distance of a loose match, and rows that a loose pass gives. Fixed values.
+LOOSE, LOOSE_ROWS = 0.38, 100
+
 #: Weights of index fields and of what else raises a score. Fixed values.
 FIELD_WEIGHTS = {"t": 60.0, "g": 45.0, "o": 30.0, "l": 20.0, "d": 10.0}
 FIELD_ORDER = "tgold"
@@ -112,7 +115,7 @@ CATEGORY_PATTERNS = [
     ("Entrepreneurship", "startup|founder|venture|pitch|demo day|skydeck|entrepreneur|entrepreneurship|product management|innovation hub"),
     ("Sports", "cal games?|bears games?|cal bears|athletics|basketball|football|baseball|volleyball|soccer|swim meet|swim team|tennis|gymnastics|rowing|crew|sports"),
     ("Arts", "arts?|film screening|film|movie|concert|performance|theater|theatre|gallery|bampfa|dance|opera|recital|exhibition|exhibit|museum|poetry"),
-    ("Science & Tech", "science(?: *& *tech)?|tech(?:nology)?|ai|artificial intelligence|machine learning|language models?|llm|data science|hackathon|coding|computer science|eecs|engineering talk|robotics|biotech|genomics|tech talk"),
+    ("Science & Tech", r"science(?:\s*&\s*tech)?|tech(?:nology)?|ai|artificial intelligence|machine learning|language models?|llm|data science|hackathon|coding|computer science|eecs|engineering talk|robotics|biotech|genomics|tech talk"),
     ("Student Life", "student life|free food|student org|club|social|mixer|orientation|undergrad|grad student|tabling|info session|open house|coffee chat"),
     ("Academic", "academic|seminar|colloquium|lecture|symposium|dissertation defense|dissertation|thesis defense|guest speaker|research talk|keynote"),
 ]

@@ -73,7 +73,9 @@ def browse(requests: DataFrame, events: DataFrame, postings: DataFrame, today: d
 
     Requests have ``request_id, query, category, source, date_range, dismissed``.
     A chosen category or source that contradicts the query's dismisses the
-    query's. Queries of one letter show the pool in order of time.
+    query's, and restricts the events before they are searched, so a query is
+    relaxed where nothing of the chosen kind matches. Queries of one letter
+    show the pool in order of time.
     """
     req = requests.withColumn("_q", F.when(F.length(F.trim(F.coalesce("query", F.lit("")))) >= 2, F.col("query")).otherwise(""))
     chosen = lambda c: F.when(F.lower(F.coalesce(F.col(c), F.lit("all"))) != "all", F.col(c))
@@ -84,11 +86,10 @@ def browse(requests: DataFrame, events: DataFrame, postings: DataFrame, today: d
     clash = lambda own, mine, name: F.when(own.isNotNull() & F.col(mine).isNotNull() & (F.lower(own) != F.lower(mine)), F.concat(F.lit(f"{name}:"), own))
     req = req.withColumn("_dismissed", F.array_union(d, F.array_compact(F.array(clash(own_category, "_cat", "category"), clash(own_source, "_src", "source")))))
     dated = events.filter("date is not null")
-    results, info = search(req.select(F.col("request_id").alias("query_id"), F.col("_q").alias("query"), F.col("_dismissed").alias("dismissed")), dated, postings, today)
+    asked = req.select(F.col("request_id").alias("query_id"), F.col("_q").alias("query"), F.col("_dismissed").alias("dismissed"), F.col("_cat").alias("facet_category"), F.col("_src").alias("facet_source"))
+    results, info = search(asked, dated, postings, today)
     ranges = info.select(F.col("query_id").alias("request_id"), F.col("date_range").alias("_interpreted"), "relaxed", "interpretations")
-    pool = results.select(F.col("query_id").alias("request_id"), "id").join(dated, "id").join(req.select("request_id", "_cat", "_src"), "request_id")
-    fits = (F.col("_cat").isNull() | F.coalesce(F.lower(F.get("tags", F.lit(0))) == F.lower("_cat"), F.lit(False))) & (F.col("_src").isNull() | (F.col("source") == F.col("_src")))
-    pool = pool.filter(fits)
+    pool = results.select(F.col("query_id").alias("request_id"), "id").join(dated, "id")
     counts = pool.groupBy("request_id").agg(*[F.count_if(R.in_range(r, today, week_days=week_days)).alias(f"n_{r}") for r in RANGES])
     head = req.select("request_id", F.col("date_range").alias("_user"), "_dismissed").join(ranges, "request_id").join(counts, "request_id", "left").na.fill(0, [f"n_{r}" for r in RANGES])
     head = head.withColumn("asked", derive_range("_user", "_interpreted", "_dismissed", default))

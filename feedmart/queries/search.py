@@ -14,7 +14,9 @@ from ..plans import browse as B
 from ..plans import refresh as P
 from ..plans import search as S
 from ..plans.index import build_index, token_weights
+from ..plans.lineage import cut
 from .common import PUB, TODAY, published, query, sql_tokens, table
+from .search_sql import browse_sql, dismissed_ctes, plan_ctes, search_sql
 
 TITLES = sql_tokens("pub", "id", "title")
 
@@ -71,14 +73,27 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM s) WHERE rank <= 10"
 )
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.eval_golden(query_log(spark, sf_dir), _postings(spark, sf_dir), published(spark, sf_dir))
+    return P.eval_golden(query_log(spark, sf_dir), cut(_postings(spark, sf_dir)), published(spark, sf_dir))
 
 
-@query()
+#: What searches ask for before their words; the first conversation asks for nothing else.
+WISHES = ["", "this weekend", "tonight", "", "film", "morning", "online", "", "tomorrow evening", "free events"]
+WISH_LOG = (
+    "log AS (SELECT conv_id AS query_id, CASE WHEN conv_id = 0 THEN 'tonight' ELSE trim(['" + "', '".join(WISHES) + "'][conv_id % 10 + 1] || ' ' || array_to_string(string_split(arg_min(text, turn), ' ')[1:3], ' ')) END AS query "
+    "FROM conversations WHERE role = 'user' AND turn <= 1 GROUP BY conv_id)"
+)
+
+
+def wish_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wish = F.element_at(F.array(*[F.lit(w) for w in WISHES]), (F.col("query_id") % 10 + 1).cast("int"))
+    return query_log(spark, sf_dir).select("query_id", F.when(F.col("query_id") == 0, "tonight").otherwise(F.trim(F.concat(wish, F.lit(" "), "query"))).alias("query"))
+
+
+@query(search_sql(WISH_LOG, POST, 20))
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search: plans, index phase, loose phase, relaxation; the twenty best of each query."""
-    results, _ = S.search(query_log(spark, sf_dir), published(spark, sf_dir), _postings(spark, sf_dir), TODAY)
-    return results.filter("rank <= 20")
+    """The whole search: plans, pools, index phase, loose phase, relaxation; the twenty best of each query."""
+    results, info = S.search(wish_log(spark, sf_dir), published(spark, sf_dir), cut(_postings(spark, sf_dir)), TODAY, limit=20)
+    return results.join(info.select("query_id", "relaxed"), "query_id").select("query_id", "id", F.col("rank").cast("long").alias("rank"), "score", "relaxed")
 
 
 def _b(pattern: str) -> str:
@@ -105,12 +120,15 @@ def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("query_id", "date_range", "time_of_day", "category", F.coalesce(F.col("modality") == "online", F.lit(False)).alias("online"), "weekend")
 
 
-@query()
+@query(
+    f"WITH {MIXED.replace('mixed AS', 'log AS')}, {plan_ctes('log')}, {dismissed_ctes()} SELECT query_id, cleaned, array_to_string(keywords, ' ') AS keywords, array_to_string(expanded, ' ') AS expanded, date_range, category, intent_source FROM kept"
+)
 def query_plans_dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans whose category and source are dismissed, with keywords and expansion."""
     p = S.parse_queries(intent_log(spark, sf_dir))
     keys = F.filter(F.transform("interpretations", lambda i: i["key"]), lambda k: k.startswith("category:") | k.startswith("source:"))
-    return S.dismiss(p.withColumn("dismissed", keys)).select("query_id", "cleaned", "keywords", "expanded", "date_range", "category", "intent_source")
+    words = [F.array_join(c, " ").alias(c) for c in ("keywords", "expanded")]
+    return S.dismiss(p.withColumn("dismissed", keys)).select("query_id", "cleaned", *words, "date_range", "category", "intent_source")
 
 
 @query(
@@ -188,12 +206,20 @@ def tool_search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", F.col("rank").cast("long").alias("rank"), "id", "category", "error")
 
 
-@query()
+BROWSED = ["der", "", "les morning", "que", "this weekend la"]
+BROWSE_LOG = (
+    "log AS (SELECT n_nationkey AS query_id, ['" + "', '".join(BROWSED) + "'][n_nationkey % 5 + 1] AS query, ['en', NULL, 'FR', 'de'][n_nationkey % 4 + 1] AS facet_category, "
+    "CASE WHEN n_nationkey % 5 = 4 THEN 'src' || n_nationkey % 20 END AS facet_source FROM nation)"
+)
+
+
+@query(browse_sql(BROWSE_LOG, POST))
 def browse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with filters over the whole table, their range and fallback."""
-    req = tool_requests(spark, sf_dir).select(F.col("request_id"), F.concat_ws(" ", "query", F.lit("talk")).alias("query"), "category", "source", F.lit(None).cast("string").alias("date_range"), F.array().cast("array<string>").alias("dismissed"))
-    shown, head = B.browse(req, published(spark, sf_dir), _postings(spark, sf_dir), TODAY)
-    return shown.join(head.select("request_id", "shown", "fell_back"), "request_id")
+    """Requests with facets over the whole table, their range and fallback."""
+    text = F.element_at(F.array(*[F.lit(w) for w in BROWSED]), (F.col("request_id") % 5 + 1).cast("int"))
+    req = tool_requests(spark, sf_dir).select(F.col("request_id"), text.alias("query"), "category", "source", F.lit(None).cast("string").alias("date_range"), F.array().cast("array<string>").alias("dismissed"))
+    shown, head = B.browse(req, published(spark, sf_dir), cut(_postings(spark, sf_dir)), TODAY)
+    return shown.join(head.select("request_id", "shown", "fell_back"), "request_id").drop("ord")
 
 
 @query(f"WITH {PUB} SELECT id, contains(lower(location), 'hall') AS near FROM pub WHERE lang = 'en' OR lang = 'de'")
