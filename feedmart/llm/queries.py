@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import ann, chat, chunks, exact_dedup, licenses, mixing, packing, pii, simhash, toxicity
 from .common import table
 
-SURROGATE_KEY = "documents-1"
+#: Session setting that holds the key of surrogates, and what stands in where it is unset.
+SURROGATE_KEY, DEFAULT_KEY = "spark.feedmart.surrogateKey", "documents-1"
 
 
 def tokenizer_files() -> dict[str, str]:
@@ -21,7 +22,7 @@ def tokenizer_files() -> dict[str, str]:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return pii.surrogates(table(spark, sf_dir, "documents"), spark.conf.get(SURROGATE_KEY, DEFAULT_KEY))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

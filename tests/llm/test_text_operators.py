@@ -162,6 +162,30 @@ def test_surrogates(spark):
     assert P.surrogates(df.limit(0), "k").count() == 0
 
 
+def test_surrogates_of_all_kinds(spark):
+    """Scripts, unknown gender, names that recur alone, national numbers, accounts, capital hexadecimals."""
+    rows = [
+        (1, "Mr John Smith called. Smith left. John agreed, SMITH too; Smithson did not."), (2, "κυρία Άννα Παπά και κύριος Γιώργος Παπάς; ο Γιώργος"), (3, "Mr 王小明 spoke, then 王小明 left"), (4, "Dr. Ada Smith and Dr Ada"),
+        (5, "call (555) 123-4567 or 555-123-4567, id 555-12-3456, version 1.2.3-4"), (6, "pay DE89 3704 0044 0532 0130 00 or DE89370400440532013000 now"), (7, "secret: 3FDF5A35C7B8D733C0B5"), (8, "Smith alone, John alone"),
+    ]
+    got = {r.doc_id: r for r in P.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    text = lambda i: got[i].text
+    first, last = re.fullmatch(r"Mr ([A-Z][a-z]+nus) ([A-Z][a-z]+rel) called\. \2 left\. \1 agreed, [A-Z]+REL too; Smithson did not\.", text(1)).groups()
+    assert last.upper() in text(1) and text(8) == rows[7][1] and text(4).split()[2] == last and re.fullmatch(r"Dr\. ([A-Z][a-z]+ris) [A-Z][a-z]+rel and Dr [A-Z][a-z]+(?:ris|rel)", text(4))
+    assert not re.search("[A-Za-z]", text(2)) and "Παπ" not in text(2) and re.search(r"κύριος (\w+νος) \w+ρελ; ο \1$", text(2))
+    assert re.fullmatch(r"Mr (\w{1,4}) spoke, then \1 left", text(3)) and "王" not in text(3)
+    m = re.fullmatch(r"call \((\d{3})\) (\d{3})-(\d{4}) or (\d{3}-\d{3}-\d{4}), id (\d{3}-\d{2}-\d{4}), version 1\.2\.3-4", text(5))
+    assert "-".join(m.groups()[:3]) == m[4] != "555-123-4567" and m[5] != "555-12-3456"
+    a, b = re.fullmatch(r"pay ([A-Z0-9 ]+) or ([A-Z0-9]+) now", text(6)).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and len(a) == 27 and b.startswith("DE") and int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1
+    assert re.fullmatch("secret: [0-9A-F]{20}", text(7)) and text(7) != rows[6][1]
+    for i, given in rows:
+        at, out = 0, ""
+        for m in got[i].mentions:
+            out, at = out + given[at : m.start] + m.surrogate, m.start + m.length
+        assert out + given[at:] == text(i)
+
+
 def test_long_secrets_go_whole(spark):
     """No part of a long key stays, and keys that agree in their first 128 characters stay distinct."""
     rng = random.Random(9)
