@@ -218,7 +218,7 @@ def stable_event_key(source: str | Column, source_id: str | Column, rules: dict[
     return F.concat(source, F.lit("::"), out)
 
 
-def unit_from_slug(c: str | Column, units: dict[str, str]) -> Column:
+def unit_from_slug(c: str | Column, units: dict[str, str] = L.UNITS) -> Column:
     """Name of an organising unit from its slug: looked up, else up to four letters as capitals, else words with capitals."""
     c = col(c)
     known = F.try_element_at(F.create_map(*[F.lit(x) for pair in units.items() for x in pair]), F.lower(c)) if units else F.lit(None)
@@ -227,7 +227,7 @@ def unit_from_slug(c: str | Column, units: dict[str, str]) -> Column:
     return F.coalesce(known, F.when(c == "", "").when(short, F.upper(c)).otherwise(F.array_join(raised, " ")))
 
 
-def unit_from_url(c: str | Column, units: dict[str, str], generic: tuple[str, ...] = L.GENERIC_PATHS, default: str = L.DEFAULT_ORGANIZER) -> Column:
+def unit_from_url(c: str | Column, units: dict[str, str] = L.UNITS, generic: tuple[str, ...] = L.GENERIC_PATHS, default: str = L.DEFAULT_ORGANIZER) -> Column:
     """Struct of slug and unit: the first path segment names the unit unless it is generic."""
     path = F.coalesce(F.try_parse_url(col(c), F.lit("PATH")), F.lit(""))
     slug = F.coalesce(F.get(F.split(F.regexp_replace(path, "^/+", ""), "/"), F.lit(0)), F.lit(""))

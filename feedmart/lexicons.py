@@ -233,3 +233,52 @@ HOME_VENUES = [
     "berkeley", "uc berkeley", "cal ", "memorial stadium", "haas pavilion", "edwards stadium", "evans diamond", "hearst", "recreational sports facility", "rsf", "zellerbach", "wheeler",
     "dwinelle", "soda hall", "cory hall", "doe library", "moffitt", "bancroft", "sproul", "mlk student union", "california memorial", "greek theatre", "hearst greek",
 ]
+
+#: Organising units by the first part of an event's address. Fixed values.
+UNITS = {
+    "ac": "Arts + Culture at Berkeley", "africam": "African American Studies Department", "apasd": "Asian Pacific American Student Development", "are": "Agricultural & Resource Economics",
+    "arf": "Archaeological Research Facility", "art": "Department of Art Practice", "sports": "Cal Athletics", "bot": "UC Botanical Garden", "bph": "Berkeley Public Health", "brc": "Berkeley Retirement Center",
+    "bcsr": "Berkeley Center for the Study of Religion", "bs": "Buddhist Studies", "bsac": "Berkeley Sensor & Actuator Center", "ihouse": "International House", "calperfs": "Cal Performances",
+    "calparents": "Cal Parents", "ced": "College of Environmental Design", "cee": "Civil & Environmental Engineering", "serc": "Student Environmental Resource Center", "chem": "Department of Chemistry",
+    "cjs": "Center for Japanese Studies", "cks": "Center for Korean Studies", "clacs": "Center for Latin American and Caribbean Studies", "coe": "College of Engineering", "crb": "Center for Responsible Business",
+    "crg": "Center for Race and Gender", "csas": "Center for South Asia Studies", "cseas": "Center for Southeast Asia Studies", "cshe": "Center for Studies in Higher Education",
+    "csls": "Center for the Study of Law and Society", "educ": "Berkeley School of Education", "cdss": "College of Computing, Data Science, and Society", "econ": "Department of Economics",
+    "extension": "UC Berkeley Extension", "geneq": "Gender Equity Resource Center", "geog": "Geography Department", "hdi": "Helen Diller Institute", "hr": "Human Resources", "hrc": "Human Rights Center",
+    "ib": "Integrative Biology", "ieas": "Institute of East Asian Studies", "ies": "Institute of European Studies", "igs": "Institute of Governmental Studies", "ihd": "Institute of Human Development",
+    "ischool": "School of Information", "issi": "Institute for the Study of Societal Issues", "its": "Institute of Transportation Studies", "jsp": "Jurisprudence and Social Policy Program", "law": "Berkeley Law",
+    "lhs": "Lawrence Hall of Science", "ling": "Department of Linguistics", "mse": "Materials Science & Engineering", "pmb": "Plant & Microbial Biology", "publichealth": "School of Public Health",
+    "gspp": "Goldman School of Public Policy", "haas": "Berkeley Haas", "bampfa": "BAMPFA", "bio": "Berkeley International Office", "botanicalgarden": "UC Botanical Garden",
+    "bids": "Berkeley Institute for Data Science", "citris": "CITRIS", "cltc": "Center for Long-Term Cybersecurity", "simons": "Simons Institute", "scet": "Sutardja Center for Entrepreneurship & Technology",
+    "ssm": "Social Science Matrix", "sp": "Spanish and Portuguese", "tdps": "Theater, Dance, and Performance Studies", "ttp": "Technology Transfer Program",
+    "udar": "University Development and Alumni Relations", "uhs": "University Health Services", "blumcenter": "Blum Center", "ssl": "Space Sciences Laboratory", "rdi": "Berkeley RDI",
+    "cnr": "College of Natural Resources", "graddiv": "Graduate Division", "library": "UC Berkeley Library", "mcb": "Molecular & Cell Biology", "physics": "Department of Physics",
+    "math": "Department of Mathematics", "eecs": "EECS", "ce": "Civil & Environmental Engineering", "me": "Mechanical Engineering", "bioe": "Bioengineering",
+    "magnes": "Magnes Collection of Jewish Art & Life", "music": "Department of Music",
+}
+
+#: Calendars: id, slug, organizer, unit, address, category. Fixed values.
+CALENDARS = [
+    ("cal-4TEeXLXVUtUqg91", "berkeleygatewayaccelerator", "Berkeley Gateway Accelerator", "Berkeley Gateway Accelerator", "Berkeley, CA", "Entrepreneurship"),
+    ("cal-innEhgXVF8DutA2", "venture-accelerator", "Venture Accelerator", "Berkeley Venture Accelerator", "Berkeley, CA", "Entrepreneurship"),
+    ("cal-7lfE7NPvJ79Cogr", "club-ai", "Club AI at Berkeley", "Club AI", "UC Berkeley, Berkeley, CA", "Science & Tech"),
+    ("cal-NGX3EtNE8VjfQVv", "rdi_uc_berkeley", "Berkeley RDI", "Center for Responsible Decentralized Intelligence", "UC Berkeley, Berkeley, CA", "Science & Tech"),
+    ("cal-QzSyFbecenFng8a", "berkeley-skydeck", "Berkeley SkyDeck", "Berkeley SkyDeck Accelerator", "2054 University Ave, Berkeley, CA", "Entrepreneurship"),
+    ("cal-bHk5GbDeJ592eul", "babreserve", "Berkeley Blockchain Ecosystem", "Berkeley Blockchain", "UC Berkeley, Berkeley, CA", "Science & Tech"),
+    ("cal-zpmXtN6vl2q126O", "notionatberkeley", "Notion @ UC Berkeley", "Notion Campus Chapter", "UC Berkeley, Berkeley, CA", "Student Life"),
+    ("cal-0zC7mzBhjn1qZxF", "blueprintucberkeley", "Blueprint @ Berkeley", "Blueprint", "UC Berkeley, Berkeley, CA", "Student Life"),
+    ("cal-hBMWrE0GDEt47fE", "berkeleymdes", "Berkeley Master of Design", "UC Berkeley College of Environmental Design", "Wurster Hall, UC Berkeley, Berkeley, CA", "Arts"),
+    ("cal-5PR1bGQ6VjXuIIU", "berchainev", "BerChain", "BerChain Blockchain Community", "Berkeley, CA", "Science & Tech"),
+    ("cal-iqggsuizvbXSxoO", "deeptech", "Deep Tech Innovation Lab", "Berkeley Deep Tech Innovation Lab", "UC Berkeley, Berkeley, CA", "Science & Tech"),
+    ("cal-ECgZMptWPGOsxtE", "sbc", "Science of Blockchain Conference", "Stanford Center for Blockchain Research / Berkeley", "UC Berkeley, Berkeley, CA", "Science & Tech"),
+]
+
+#: Hosts of paged events: source, organizer, unit, address, category. Fixed values.
+HOSTS = [
+    ("haas", "Berkeley Haas", "Berkeley Haas School of Business", "2220 Piedmont Ave, Berkeley, CA 94720", "Entrepreneurship"),
+    ("berkeley_law", "Berkeley Law", "UC Berkeley School of Law", "215 Law Building, Berkeley, CA 94720", "Academic"),
+    ("begin", "Berkeley Gateway to Innovation", "BEGIN", "UC Berkeley, Berkeley, CA 94720", "Entrepreneurship"),
+]
+
+#: Kinds of talks that are for everyone, and the categories of talks. Fixed values.
+PUBLIC_TALKS = "theoretically speaking|public lecture|karp"
+TALK_CATEGORIES, PUBLIC_TALK_CATEGORIES = ["Science & Tech"], ["Science & Tech", "Academic"]

@@ -102,7 +102,7 @@ def dedupe(df: DataFrame, registry: DataFrame | None = None, source: str = "sour
     """(winners, one-row statistics): of rows with one key the highest priority, then source, then id. One aggregate, combined before the shuffle."""
     columns = df.columns
     if registry is not None:
-        df = df.join(F.broadcast(registry.select(F.col("name").alias("_name"), F.col("priority").alias("_priority"))), F.col(source) == F.col("_name"), "left").drop("_name")
+        df = df.join(registry.select(F.col("name").alias("_name"), F.col("priority").alias("_priority")), F.col(source) == F.col("_name"), "left").drop("_name")
         priority = F.coalesce("_priority", F.lit(0))
     else:
         priority = F.lit(0)
@@ -130,7 +130,7 @@ def facets(df: DataFrame, registry: DataFrame | None = None, source: str = "sour
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count")).select(F.lit("All").alias("value"), F.lit("All").alias("label"), "count", F.lit(-1).alias("ord"))
     if registry is None:
         return total.unionByName(counts.select(F.col(source).alias("value"), F.col(source).alias("label"), "count", F.lit(0).alias("ord")))
-    named = counts.join(F.broadcast(registry.select("name", "label", "ord")), F.col(source) == F.col("name"))
+    named = counts.join(registry.select("name", "label", "ord"), F.col(source) == F.col("name"))
     return total.unionByName(named.select(F.col("name").alias("value"), "label", "count", "ord"))
 
 

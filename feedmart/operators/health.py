@@ -26,7 +26,7 @@ def age_text(c: Column) -> Column:
 def mark_degraded(status: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``degraded`` and ``degraded_reason``: failed, or below its healthy count; sources that are not to be marked never are."""
     reg = registry.select(F.col("name").alias("_n"), "min_healthy", "degrade_on_failure", "allow_last_good", "critical")
-    df = status.join(F.broadcast(reg), F.col("name") == F.col("_n"), "left").drop("_n")
+    df = status.join(reg, F.col("name") == F.col("_n"), "left").drop("_n")
     low = F.col("ok") & (F.col("count") < F.col("min_healthy"))
     reason = F.when(~F.col("ok"), F.concat("name", F.lit(" failed: "), F.coalesce("error", F.lit("unknown error")))).otherwise(
         F.concat("name", F.lit(" returned "), F.col("count").cast("string"), F.lit(" events (below healthy threshold "), F.col("min_healthy").cast("string"), F.lit(")"))
@@ -66,7 +66,7 @@ def recover(fresh: DataFrame, last_good: DataFrame, status: DataFrame, today: da
         usable = drop_cancelled(last_good.filter(has_future(today)))
         restored = only_missing(for_sources(usable, status.filter(asked)), fresh)
     counts = restored.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("fallback_count"))
-    status = status.join(F.broadcast(counts), F.col("name") == F.col("_s"), "left").drop("_s")  # a row per source
+    status = status.join(counts, F.col("name") == F.col("_s"), "left").drop("_s")
     status = status.withColumn("fallback_count", F.coalesce("fallback_count", F.lit(0).cast("long"))).withColumn("fallback_used", F.col("fallback_count") > 0)
     status = status.withColumn("fallback_age_hours", F.when(F.col("fallback_used") | F.col("fallback_expired"), F.lit(age).cast("double")))
     expired = F.concat("name", F.lit(f" fallback expired ({age}h old, exceeding {max_age:g}h); last-good events dropped"))
@@ -118,7 +118,7 @@ def refuse_empty(published: DataFrame, status: DataFrame) -> str | None:
 def coverage_warnings(status: DataFrame, registry: DataFrame) -> DataFrame:
     """``name, message`` of good sources below their expected count."""
     reg = registry.select(F.col("name").alias("_n"), "expected_min")
-    low = status.join(F.broadcast(reg), F.col("name") == F.col("_n")).filter(F.col("ok") & (F.col("count") < F.col("expected_min")) & (F.col("expected_min") > 0))
+    low = status.join(reg, F.col("name") == F.col("_n")).filter(F.col("ok") & (F.col("count") < F.col("expected_min")) & (F.col("expected_min") > 0))
     return low.select("name", F.concat("name", F.lit(" returned "), F.col("count").cast("string"), F.lit(" events (expected >= "), F.col("expected_min").cast("string"), F.lit(")")).alias("message"))
 
 
@@ -204,13 +204,18 @@ def check_invariants(events: DataFrame, postings: DataFrame, total: int | None =
     rows = events.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(k) for k, c in bad.items()])
     placed = postings.groupBy("pos").agg(F.min("id").alias("id"), F.max("id").alias("other"))
     joined = placed.join(events.select("id", "date"), "id", "left")
-    day_before = F.lag("date").over(Window.partitionBy(F.floor(F.col("pos") / 100_000)).orderBy("pos"))
+    block = F.floor(F.col("pos") / 100_000)
+    day_before = F.lag("date").over(Window.partitionBy("_block").orderBy("pos"))
+    joined = joined.withColumn("_block", block)
+    # Days are compared inside blocks, and each block's first day with the last one before it: one row per block.
+    ends = joined.filter("date is not null").groupBy("_block").agg(F.min_by("date", "pos").alias("_first_day"), F.max_by("date", "pos").alias("_last_day"))
+    edges = ends.withColumn("_before", F.lag("_last_day").over(Window.orderBy("_block"))).agg(F.count_if(F.col("_before") > F.col("_first_day")).alias("_edges"))
     index = joined.withColumn("_before", day_before).agg(
         F.count_if(F.col("id") != F.col("other")).alias("position has one id"), F.count_if(F.col("date").isNull()).alias("position has a row"), F.count_if(F.col("_before") > F.col("date")).alias("chronological"),
         F.coalesce(F.max("pos"), F.lit(-1)).alias("_last"), F.coalesce(F.min("pos"), F.lit(0)).alias("_first"),
     )
     twice = postings.groupBy("field", "token", "pos").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("positions unique"))
-    one = ids.crossJoin(rows).crossJoin(index).crossJoin(twice)  # one row each
+    one = ids.crossJoin(rows).crossJoin(index).crossJoin(twice).crossJoin(edges).withColumn("chronological", F.col("chronological") + F.col("_edges"))  # one row each
     one = one.withColumn("positions in range", ((F.col("_last") >= F.col("_rows")) | (F.col("_first") < 0)).cast("long"))
     one = one.withColumn("total", (F.lit(total) != F.col("_rows")).cast("long") if total is not None else F.lit(0).cast("long"))
     names = ["unique ids", *bad, "position has one id", "position has a row", "chronological", "positions unique", "positions in range", "total"]

@@ -21,9 +21,13 @@ def title_key(c: str = "title") -> Column:
     return F.collate(F.col(c), "UNICODE")
 
 
-def publish_order() -> list[Column]:
+def publish_keys() -> list[Column]:
     """Day, minute with all-day first, title, id."""
-    return [F.col("date").asc_nulls_last(), D.minute_of_day("time", 0).asc(), title_key().asc(), F.col("id").asc()]
+    return [F.col("date"), D.minute_of_day("time", 0), title_key(), F.col("id")]
+
+
+def publish_order() -> list[Column]:
+    return [c.asc_nulls_last() for c in publish_keys()]
 
 
 def browse_order() -> list[Column]:
@@ -77,7 +81,8 @@ def browse(requests: DataFrame, events: DataFrame, postings: DataFrame, today: d
     relaxed where nothing of the chosen kind matches. Queries of one letter
     show the pool in order of time.
     """
-    req = requests.withColumn("_q", F.when(F.length(F.trim(F.coalesce("query", F.lit("")))) >= 2, F.col("query")).otherwise(""))
+    long_enough, short = R.split_short(requests)
+    req = long_enough.withColumn("_q", F.col("query")).unionByName(short.withColumn("_q", F.lit("")))
     chosen = lambda c: F.when(F.lower(F.coalesce(F.col(c), F.lit("all"))) != "all", F.col(c))
     d = F.coalesce("dismissed", F.array().cast("array<string>"))
     req = req.withColumn("_cat", chosen("category")).withColumn("_src", chosen("source"))

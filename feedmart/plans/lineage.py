@@ -1,15 +1,32 @@
-"""Cutting a plan's lineage."""
+"""Cutting a plan's lineage, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where it is unset a temporary folder stands in, on one machine only: executors of a cluster would not share it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared one."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes rows to the session's shared checkpoint folder and reads them back; sets a temporary one only where none is set."""
+    """Writes rows to the session's shared checkpoint folder and reads them back."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)

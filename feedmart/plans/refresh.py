@@ -13,7 +13,7 @@ from ..operators import groups as G
 from ..operators import health as H
 from ..operators import rows as R
 from ..sources import snapshot as S
-from .browse import publish_order
+from .browse import publish_keys
 from .index import build_index
 from .lineage import cut
 
@@ -66,19 +66,13 @@ def run_refresh(canonical: DataFrame, registry: DataFrame, prior: DataFrame, pri
     every, status = H.recover(published, prior, status, today, age)
     status, every = cut(status), cut(every)
     refused = H.refuse_empty(every, status) or H.quality_gate(status, strict).first()["reason"]
-    placed = G.with_position(every.withColumn("_o", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_plain_order())])), ["_o"]).drop("_o")
+    placed = G.with_position(every.withColumn("_o", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(publish_keys())])), ["_o"]).drop("_o")
     postings = build_index(placed, pos="pos")
     duplicates = dedupe_stats.first()["duplicates_removed"]
     report = H.status_report(status, every.count(), duplicates, str(now), refused if refused and refused.endswith(("failed", "events")) else None, bool(refused))
     return Refresh(placed.drop("pos"), postings, status, report, S.snapshot_meta(status, str(now)), rejects, refused)
 
 
-def _plain_order() -> list:
-    from ..functions import dates as D
-
-    return [F.col("date"), D.minute_of_day("time", 0), F.collate("title", "UNICODE"), F.col("id")]
-
-
 def publish_refresh(run: Refresh, path: str, run_id: str) -> str | None:
     """Publishes a run unless it was refused; its status is written either way."""
     S.write_status(run.report, f"{path}/status/{run_id}")

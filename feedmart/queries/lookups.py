@@ -9,7 +9,7 @@ from .. import lexicons as L
 from ..operators import joins as J
 from ..operators import rows as R
 from ..registry import DDL
-from .common import PUB, published, query, table
+from .common import PUB, published, query, sql_tokens, table
 
 WORDS = ["license", "the ", "que", "und", "version", "mit"]
 
@@ -37,7 +37,7 @@ def tool_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.to_tool_rows(published(spark, sf_dir), "FR").select("id", "category", "matched_category", "source")
 
 
-@query()
+@query(f"WITH {PUB} SELECT id, count(DISTINCT token) AS n_tokens FROM pub LEFT JOIN ({sql_tokens('(SELECT id, concat_ws(chr(32), title, organizer, description, location, lang) AS whole FROM pub)', 'id', 'whole')}) USING (id) GROUP BY id")
 def event_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct tokens of whole events."""
-    return published(spark, sf_dir).select("id", F.size(J.event_tokens()).alias("n_tokens"))
+    return published(spark, sf_dir).select("id", F.size(J.event_tokens()).cast("long").alias("n_tokens"))

@@ -133,16 +133,15 @@ def query_plans_dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {PUB}, {LOG}, q AS ({sql_tokens('log', 'query_id', 'query')}), v AS (SELECT DISTINCT token AS term FROM ({TITLES})) "
-    "SELECT query_id, token, term, levenshtein(token, term) / len(token) AS distance FROM q JOIN v ON left(token, 1) = left(term, 1) AND abs(len(token) - len(term)) <= 2 WHERE regexp_full_match(token || term, '[a-z0-9]+') AND levenshtein(token, term) <= CASE WHEN len(token) < 5 THEN 1 ELSE 2 END"
+    "SELECT query_id, token, term, levenshtein(a, b) / len(token) AS distance FROM (SELECT query_id, token, term, regexp_replace(token, '[^\\x00-\\x7F]', '~', 'g') AS a, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g') AS b FROM q JOIN v ON left(token, 1) = left(term, 1) AND abs(len(token) - len(term)) <= 2) WHERE levenshtein(a, b) <= CASE WHEN len(token) < 5 THEN 1 ELSE 2 END"
 )
 def fuzzy_title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # SQL counts edits in bytes, so plain words only.
-    plain = F.col("token").rlike("^[a-z0-9]+$")
-    return S.fuzzy_terms(X.token_rows(query_log(spark, sf_dir), ["query_id"], "query").filter(plain), X.token_rows(published(spark, sf_dir), ["id"], "title").filter(plain))
+    # SQL counts edits in bytes, so it reads letters of several bytes as one sign.
+    return S.fuzzy_terms(X.token_rows(query_log(spark, sf_dir), ["query_id"], "query"), X.token_rows(published(spark, sf_dir), ["id"], "title"))
 
 
 BROWSE_ORDER = "date, CASE WHEN mins = -1 THEN 1440 ELSE mins END, id"
-TOOL_ORDER = "date, CASE WHEN mins = -1 THEN 0 ELSE mins END, id"
+TOOL_ORDER = "date, CASE WHEN mins = -1 THEN 0 ELSE mins END, lpad(id, 9, '0'), id"
 
 
 @query(f"WITH {PUB} SELECT id, row_number() OVER (PARTITION BY date ORDER BY {BROWSE_ORDER}) AS ord FROM pub WHERE date BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 7 AND lower(lang) = 'en' AND source = 'src9'")
@@ -194,15 +193,13 @@ REQ = (
 
 
 @query(
-    f"WITH {PUB}, {REQ}, hit AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY {TOOL_ORDER}) AS rank, lim, lang FROM bound JOIN pub ON (q = '' OR contains(lower(concat_ws(' ', title, description, organizer, location, source, lang)), q)) "
+    f"WITH {PUB}, {REQ}, hit AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY {TOOL_ORDER}) AS rank, lim, lang FROM bound JOIN pub ON (q = '' OR contains(lower(concat_ws(' ', lpad(id, 9, '0'), description, organizer, location, source, lang)), q)) "
     "AND (cat IS NULL OR lower(cat) = lang) AND (src IS NULL OR src = source) AND (f IS NULL OR date >= f) AND (l IS NULL OR date <= l) WHERE NOT coalesce(f > l, false)) "
     "SELECT k AS request_id, rank, id, lang AS category, NULL::VARCHAR AS error FROM hit WHERE rank <= lim UNION ALL SELECT k, NULL, NULL, NULL, 'startDate must be earlier than or equal to endDate' FROM bound WHERE f > l"
 )
 def tool_search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Titles tie by id here, as SQL has no language order.
-    events = published(spark, sf_dir).withColumn("_title", F.col("title"))
-    req = tool_requests(spark, sf_dir)
-    out = B.tool_search(req, events, TODAY, by_title=False)
+    # Titles of digits, which every language orders alike.
+    out = B.tool_search(tool_requests(spark, sf_dir), published(spark, sf_dir).withColumn("title", F.lpad("id", 9, "0")), TODAY)
     return out.select("request_id", F.col("rank").cast("long").alias("rank"), "id", "category", "error")
 
 
@@ -242,13 +239,6 @@ def category_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.category_scores(df)
 
 
-@query()
-def category_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked tags of every row and the category inferred from them."""
-    df = published(spark, sf_dir).withColumn("categories", F.array(F.lit("Arts"))).withColumn("organizer", F.lit("Department of Music"))
-    return C.derive_tags(df).select("id", "tags", C.infer_category("tags").alias("category"))
-
-
 @query(
     "WITH log AS (SELECT conv_id % 50 AS user_id, string_split(text, ' ')[1] AS query, conv_id * 100 + turn AS ts FROM conversations WHERE role = 'user'), "
     "l AS (SELECT user_id, lower(query) AS low, max(ts) AS ts FROM log WHERE len(query) >= 2 GROUP BY ALL) SELECT * FROM (SELECT user_id, low, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, low) AS place FROM l) WHERE place <= 8"

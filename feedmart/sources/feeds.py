@@ -65,7 +65,7 @@ def read_tribe(df: DataFrame, payload: str = "payload", page: str = "page", host
         F.when(F.coalesce("is_virtual", F.lit(False)), "virtual").otherwise("in_person").alias("modality"),
     )
     if defaults is not None:  # a row per configured host
-        out = out.join(F.broadcast(defaults.withColumnRenamed("organizer", "_organizer")), host, "left").withColumn("organizer", F.coalesce(F.nullif("organizer", F.lit("")), "_organizer", F.lit(""))).drop("_organizer")
+        out = out.join(defaults.select(host, F.col("organizer").alias("_organizer"), "organizer_unit", "address", "category"), host, "left").withColumn("organizer", F.coalesce(F.nullif("organizer", F.lit("")), "_organizer", F.lit(""))).drop("_organizer")
     return out
 
 
@@ -77,7 +77,7 @@ def modality_of(location_type: str | Column) -> Column:
 def read_calendars(df: DataFrame, calendars: DataFrame, payload: str = "payload", key: str = "calendar") -> DataFrame:
     """Entries of several calendars with their dimension's organizer, category and address; addresses fall back from full to city to the calendar's."""
     rows = df.select(key, F.explode(json_or(payload, CALENDAR)["entries"]).alias("e")).select(key, "e.event.*")
-    rows = rows.join(F.broadcast(calendars), key, "left")  # a row per configured calendar
+    rows = rows.join(calendars.select(key, "organizer", "category", "default_address"), key, "left")  # Spark broadcasts it where it is small
     geo = lambda name: F.nullif(F.col(f"geo_address_info.{name}"), F.lit(""))
     return rows.select(
         key, F.col("api_id").alias("source_id"), X.clean_title("name").alias("title"), "start_at", "end_at", F.coalesce("timezone", F.lit(X.L.TIME_ZONE)).alias("timezone"), F.col("url").alias("slug"),
@@ -91,6 +91,23 @@ def slug_of(url: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(F.try_parse_url(X.col(url), F.lit("PATH")), F.lit("")), "^/+|/+$", ""), "/+", "-")
 
 
+def talk_categories(event_type: str | Column, workshop_type: str | Column) -> Column:
+    """Categories of a talk; one for everyone has one more."""
+    kinds = F.lower(F.concat_ws(" ", F.coalesce(X.col(event_type), F.lit("")), F.coalesce(X.col(workshop_type), F.lit(""))))
+    both = F.array(*[F.lit(c) for c in X.L.PUBLIC_TALK_CATEGORIES])
+    return F.when(kinds.rlike(X.L.PUBLIC_TALKS), both).otherwise(F.array(*[F.lit(c) for c in X.L.TALK_CATEGORIES]))
+
+
+def calendars_dim(spark: SparkSession) -> DataFrame:
+    """The configured calendars: ``calendar, slug, organizer, organizer_unit, default_address, category``."""
+    return spark.createDataFrame(X.L.CALENDARS, "calendar string, slug string, organizer string, organizer_unit string, default_address string, category string")
+
+
+def hosts_dim(spark: SparkSession) -> DataFrame:
+    """The configured hosts: ``host, organizer, organizer_unit, address, category``."""
+    return spark.createDataFrame(X.L.HOSTS, "host string, organizer string, organizer_unit string, address string, category string")
+
+
 def read_talks(df: DataFrame, payload: str = "payload") -> DataFrame:
     """A JSON list of talks: title, start and address are needed, cancelled titles are none; speakers and programme are the description."""
     rows = df.select(F.explode(F.from_json(F.concat(F.lit('{"a":'), payload, F.lit("}")), f"a {TALKS}")["a"]).alias("v")).select("v.*")
@@ -100,7 +117,8 @@ def read_talks(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
     return rows.select(
         F.concat(slug_of("url"), F.lit("::"), D.local_date(start).cast("string")).alias("source_id"), X.clean_title("title").alias("title"), start.alias("start_at"), D.with_utc_suffix("end").alias("end_at"),
-        F.concat_ws(" — ", F.nullif(F.trim("speakers"), F.lit("")), F.nullif(F.trim("program"), F.lit(""))).alias("description"), F.coalesce("location", F.lit("")).alias("venue"), F.col("url").alias("canonical_url"), problem.alias("problem"),
+        F.concat_ws(" — ", F.nullif(F.trim("speakers"), F.lit("")), F.nullif(F.trim("program"), F.lit(""))).alias("description"), F.coalesce("location", F.lit("")).alias("venue"), F.col("url").alias("canonical_url"),
+        talk_categories("event_type", "workshop_type").alias("categories"), problem.alias("problem"),
     )
 
 

@@ -59,7 +59,7 @@ def read_ics(spark: SparkSession, path: str) -> DataFrame:
     return parse_ics(read_payloads(spark, path))
 
 
-def calendar_rules(df: DataFrame, units: dict[str, str], base_url: str = "") -> DataFrame:
+def calendar_rules(df: DataFrame, units: dict[str, str] = X.L.UNITS, base_url: str = "") -> DataFrame:
     """Canonical columns of a calendar feed: id of the vendor or else the UID, address from the UID if none, unit from the address, flag where that is generic."""
     link = F.coalesce("url", F.concat(F.lit(base_url), "uid"))
     unit = X.unit_from_url(link, units)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +39,23 @@ def publish(tables: dict[str, DataFrame], path: str, run_id: str) -> str:
         fs, p = _fs(spark, folder)
         fs.delete(p, True)
         raise
-    fs, target = _fs(spark, f"{path}/CURRENT")
-    _, fresh = _fs(spark, f"{path}/CURRENT.{run_id}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(run_id.encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(fresh, target)
+    _swap(spark, f"{path}/CURRENT", f"{path}/CURRENT.{run_id}", run_id)
     return folder
 
 
+def _swap(spark: SparkSession, target: str, fresh: str, text: str) -> None:
+    """Writes ``fresh`` and renames it over ``target`` in one step: there is no moment without a pointer."""
+    fs, new = _fs(spark, fresh)
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, hadoop.Path(target), options)
+
+
 def current(spark: SparkSession, path: str) -> str | None:
     """Folder that the pointer names, or None."""
     if not exists(spark, f"{path}/CURRENT"):
@@ -142,6 +152,17 @@ def export_ics(df: DataFrame, tz: str = X.L.TIME_ZONE) -> DataFrame:
 
 
 def write_ics(entries: DataFrame, path: str) -> None:
-    """A calendar per task: frame and entries, as text."""
-    framed = entries.select(F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"), "vevent", F.lit("\r\nEND:VCALENDAR\r")).alias("value"))
-    framed.write.mode("overwrite").text(path)
+    """A calendar per task that has entries: one frame around all of them, as text with CRLF lines."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lambda values: pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
+        begun = False
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun = True
+                yield text(["BEGIN:VCALENDAR\r", "VERSION:2.0\r", "PRODID:-//events//EN\r"])
+            yield text([f"{v}\r" for v in batch.column(0).to_pylist()])
+        if begun:
+            yield text(["END:VCALENDAR\r"])
+
+    entries.select("vevent").mapInArrow(framed, "value string").write.mode("overwrite").text(path)
