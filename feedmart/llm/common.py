@@ -7,12 +7,11 @@ join or an aggregate.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut as _cut
+
 #: Characters that end a word of ``words_of``: blanks and ASCII control blanks.
 BLANKS = r"\x20\x09-\x0D"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,11 +40,8 @@ def word_count(text: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and reads them back.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where that is unset. The files survive the loss of executors.
+    The folder is the session's ``spark.checkpoint.dir``; a temporary one
+    stands in on one machine only, and on a cluster an unset one is an error.
+    The files survive the loss of executors.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"spark-{uuid.uuid4().hex[:8]}-"))
-    return df.checkpoint(eager=True)
+    return _cut(df)

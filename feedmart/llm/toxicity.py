@@ -60,13 +60,13 @@ class BlockMaxIndex:
         self.matrix[at[own >= 0], own[own >= 0]] = weights[own >= 0]
         at, terms, weights = at[own < 0], terms[own < 0], weights[own < 0]
         order = np.lexsort((at, terms))
-        self.places, self.weights, terms = at[order], weights[order], terms[order]
+        self.places, self.weights, terms = at[order].astype(np.int32), weights[order], terms[order]
         pair = terms * self.blocks + self.places // block
         starts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.empty(0, np.int64)
-        self.pair_blocks = self.places[starts] // block
+        self.pair_blocks = self.places[starts] // block  # 32 bits, as the model is sent to every task
         self.pair_maxima = np.maximum.reduceat(self.weights, starts) if len(pair) else np.empty(0)
         self.term_starts = np.searchsorted(terms[starts], np.arange(n_terms + 1))
-        self.pair_starts = np.append(starts, len(pair))
+        self.pair_starts = np.append(starts, len(pair)).astype(np.int32)
 
     @staticmethod
     def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,12 +250,12 @@ def document_frequencies(texts: DataFrame, words: np.ndarray) -> tuple[int, np.n
     return int(df[-1]), df[:-1]
 
 
-def calibrate(model: Model, examples: DataFrame, own: Examples, idf: np.ndarray) -> None:
+def calibration(examples: DataFrame, own: Examples, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Steps from vote to score. Each part of the examples is voted on by a model of the other parts, ties of words to the label included."""
     part = np.random.default_rng(5).permutation(len(own.ids)) % PARTS
     rows, votes, marks = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), [0.0, 1.0], [0.0, 1.0]
-    for p in range(PARTS):  # one model at a time is sent out
-        shared = examples.sparkSession.sparkContext.broadcast((Model(own.part(part != p), idf, model.k), own.ids[part == p]))
+    for p in range(PARTS):  # one model at a time is built and sent out
+        shared = examples.sparkSession.sparkContext.broadcast((Model(own.part(part != p), idf, k), own.ids[part == p]))
 
         def vote(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             other, ids = shared.value
@@ -268,7 +268,7 @@ def calibrate(model: Model, examples: DataFrame, own: Examples, idf: np.ndarray)
         votes, marks = [*voted["vote"].to_pylist(), *votes], [*voted["toxic"].to_pylist(), *marks]
         shared.destroy()
     order = np.lexsort((marks, votes))  # tasks may end in any order
-    model.steps = isotonic(np.array(votes)[order], np.array(marks, float)[order])
+    return isotonic(np.array(votes)[order], np.array(marks, float)[order])
 
 
 def text_key(text: str | Column) -> Column:
@@ -296,7 +296,7 @@ def toxicity(
     and all that is broadcast bounded. Every text is searched by all its words
     (``Model``) for the ``k`` examples of largest cosine, exactly, through a
     block-max index; document frequencies count all rows. The votes of the
-    neighbours are weighted by distance and calibrated (``calibrate``).
+    neighbours are weighted by distance and calibrated (``calibration``).
 
     Two passes over the texts: one counts documents per word, one searches.
 
@@ -319,8 +319,9 @@ def toxicity(
     own = gather_examples(examples)
     n, df = document_frequencies(rows, own.words)
     idf = np.log((1.0 + n) / (1.0 + np.append(df, 0))) + 1.0
+    steps = calibration(examples, own, idf, k)
     model = Model(own, idf, k)
-    calibrate(model, examples, own, idf)
+    model.steps = steps
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "held_out", "score", "predicted", "evidence", *(["text_key"] if with_text_key else [])]
 
