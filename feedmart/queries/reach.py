@@ -79,7 +79,7 @@ def stable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TAGS = ("fine art", "Sporting", "Computer Science", "Student group", "Entrepreneurs", "academic", "Food")
 CANONICAL = ("Arts", "Sports", "Science & Tech", "Student Life", "Entrepreneurship", "Academic", "Food")
-VENUES = ("The Berkely Art Museum and Pacific Film Archive", "BERKELEY ART MUSEUM & PACIFIC FILM ARCHIVE", "Hall 1")
+VENUES = ("Berkley Art Museum and Pacific Film Archive", "BERKEY ART MUSEUM & PACIFIC FILM ARCHIVE", "Hall 1")
 
 
 @query(f"SELECT doc_id, {sql_pick('doc_id', *CANONICAL)} AS tag, CASE WHEN doc_id % 3 = 2 THEN 'Hall 1' ELSE 'BAMPFA' END AS venue FROM documents")
