@@ -164,12 +164,9 @@ def tokenize(c: str | Column, full: bool = False) -> Column:
 def token_rows(df, keys: list[str], text: str, token: str = "token"):
     """Rows of ``keys, token``: the stems of a text column, one row per distinct stem of a row.
 
-    For whole corpora: words are exploded before they are stemmed, so the stem
-    is generated code over rows instead of an array expression.
+    Stems are made distinct inside their row, so that nothing is shuffled.
     """
-    exploded = df.select(*keys, F.explode(F.array_distinct(raw_words(text))).alias("_word"))
-    exploded = exploded.filter((F.length("_word") >= 2) & ~F.col("_word").isin(L.STOP_WORDS))
-    return exploded.select(*keys, stem("_word").alias(token)).filter(F.length(token) >= 2).distinct()
+    return df.select(*keys, F.explode(tokenize(text)).alias(token))
 
 
 def strip_first(c: str | Column, pattern: str) -> Column:

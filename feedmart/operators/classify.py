@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +14,16 @@ from ..functions import text as X
 def _keyword_hits(df: DataFrame, key: str) -> DataFrame:
     """``key, category, points``: occurrences of every keyword by itself, weighted by field.
 
-    Rows of field texts meet the fixed keyword list as an array, so the cost is
-    one scan of a text per keyword that it contains at all: a substring test
-    comes before the pattern.
+    A keyword stands between ASCII word edges, so its first word is one of the
+    text's: only keywords whose first word occurs are looked for by pattern.
     """
     words = [(c, w) for c, ws in L.KEYWORDS.items() for w in ws]
-    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w).alias("word"), F.lit(X.words(w.replace("-", r"\-"), "")).alias("pattern")) for c, w in words])
+    first = lambda w: re.split("[^a-z0-9_]+", w)[0]
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w).alias("word"), F.lit(first(w)).alias("first"), F.lit(X.words(w.replace("-", r"\-"), "")).alias("pattern")) for c, w in words])
+    firsts = F.array(*[F.lit(w) for w in sorted({first(w) for _, w in words})])
     fields = F.array(*[F.struct(F.lit(float(p)).alias("points"), F.lower(F.coalesce(F.col(f), F.lit(""))).alias("text")) for f, p in L.KEYWORD_WEIGHTS.items()])
-    stacked = df.select(key, F.explode(fields).alias("f")).filter(F.length("f.text") > 0)
-    hits = stacked.select(key, "f.points", "f.text", F.explode(F.filter(pairs, lambda p: F.col("f.text").contains(p["word"]))).alias("p"))
+    stacked = df.select(key, F.explode(fields).alias("f")).select(key, "f.points", "f.text").withColumn("words", F.array_intersect(F.split("text", "[^a-z0-9_]+"), firsts)).filter(F.size("words") > 0)
+    hits = stacked.select(key, "points", "text", F.explode(F.filter(pairs, lambda p: F.array_contains("words", p["first"]) & F.col("text").contains(p["word"]))).alias("p"))
     return hits.select(key, "p.category", (F.col("points") * F.regexp_count("text", F.col("p.pattern"))).alias("points"))
 
 

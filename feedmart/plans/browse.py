@@ -44,23 +44,24 @@ def tool_search(requests: DataFrame, events: DataFrame, today: date | str, by_ti
     """``request_id, rank`` and the tool's columns, up to each request's limit; requests whose days contradict each other give one row with ``error``.
 
     Requests have ``request_id, query, category, source, preset, start, end,
-    limit``. They are joined to events by their conditions, and the limit per
-    request keeps a task from passing on more than it. Without ``by_title``
-    rows of one minute come in the order of their ids.
+    limit``. Those with a source meet events by it, those with a category by
+    it; only such as have neither meet every event, as their text may stand
+    anywhere in a row. The limit per request keeps a task from passing on more
+    than it. Without ``by_title`` rows of one minute come in the order of their
+    ids.
     """
     req = requests.withColumn("_b", R.bounds(F.col("preset"), F.col("start"), F.col("end"), today)).withColumn("_limit", R.clamp_limit("limit"))
-    req = req.select("request_id", F.col("query").alias("q_text"), F.col("category").alias("q_category"), F.col("source").alias("q_source"), "_b", "_limit")
-    wanted = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    on = (
-        R.matches_text(F.col("q_text"))
-        & (~wanted("q_category") | R.has_tag(F.col("q_category")))
-        & (~wanted("q_source") | (F.col("source") == F.col("q_source")))
-        & F.coalesce(F.col("date") >= F.col("_b.first"), F.col("_b.first").isNull())
-        & F.coalesce(F.col("date") <= F.col("_b.last"), F.col("_b.last").isNull())
-    )
-    found = req.filter("not _b.invalid").join(events, on)
+    req = req.select("request_id", F.lower(F.coalesce("query", F.lit(""))).alias("q_text"), F.lower(F.coalesce("category", F.lit(""))).alias("q_category"), F.coalesce("source", F.lit("")).alias("q_source"), "_b", "_limit")
+    valid, texts = req.filter("not _b.invalid"), events.withColumn("_text", R.haystack())
+    days = F.coalesce(F.col("date") >= F.col("_b.first"), F.col("_b.first").isNull()) & F.coalesce(F.col("date") <= F.col("_b.last"), F.col("_b.last").isNull())
+    on = days & F.col("_text").contains(F.col("q_text"))
+    tagged = texts.withColumn("_tag", F.explode(F.array_distinct(F.transform("tags", lambda t: F.lower(t)))))
+    of_source = valid.filter("q_source <> ''").join(texts, (F.col("source") == F.col("q_source")) & on & ((F.col("q_category") == "") | R.has_tag(F.col("q_category"))))
+    of_category = valid.filter("q_source = '' and q_category <> ''").join(tagged, (F.col("_tag") == F.col("q_category")) & on).drop("_tag")
+    others = valid.filter("q_source = '' and q_category = ''").join(texts, on)
+    found = of_source.unionByName(of_category).unionByName(others)
     found = with_rank(found, ["request_id"], [c for i, c in enumerate(tool_order()) if by_title or i != 2]).filter(F.col("rank") <= F.col("_limit"))
-    matched = F.get(F.filter("tags", lambda t: F.lower(t) == F.lower("q_category")), F.lit(0))
+    matched = F.get(F.filter("tags", lambda t: F.lower(t) == F.col("q_category")), F.lit(0))
     shown = found.select("request_id", "rank", "id", "title", "date", "time", "location", "organizer", F.coalesce(matched, F.get("tags", F.lit(0))).alias("category"), matched.alias("matched_category"), "tags", "source", "url", F.lit(None).cast("string").alias("error"))
     bad = req.filter("_b.invalid").select("request_id", F.lit("startDate must be earlier than or equal to endDate").alias("error"))
     return shown.unionByName(bad, allowMissingColumns=True)
