@@ -12,10 +12,11 @@ def _least(links: DataFrame) -> DataFrame:
     """Each link with the least node that its first node is linked to, itself included.
 
     The minima are written first: a join whose sides are both plain shuffles
-    is one that Spark splits where a node is hot.
+    is one that Spark splits where a node is hot. It is a merge join even where
+    the minima are few, so that no round sends a table through the driver.
     """
     least = links.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u"), F.least("u", "low").alias("low"))
-    return links.join(cut(least), "u")
+    return links.join(cut(least).hint("merge"), "u")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
