@@ -38,6 +38,18 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def land(frames: dict[str, DataFrame], seen: str, addresses: dict[str, str]) -> DataFrame:
+    """Canonical rows of scanned sources: rows with a ``problem`` stay behind, those without an address of their own get the source's and their id."""
+    out = []
+    for name, df in frames.items():
+        rows = df.filter("problem is null") if "problem" in df.columns else df
+        own = F.concat(F.lit(addresses[name]), "source_id") if name in addresses else F.col("canonical_url")
+        link = F.coalesce(F.nullif("canonical_url", F.lit("")), own) if "canonical_url" in df.columns else own
+        rows = rows.withColumns({"canonical_url": link, "source_url": link, "last_seen_at": F.lit(seen), "ingest_seq": F.xxhash64("source_id")})
+        out.append(R.to_canonical(rows, name))
+    return union_sources(out)
+
+
 def run_refresh(canonical: DataFrame, registry: DataFrame, prior: DataFrame, prior_time: datetime | None, today: date | str, now: datetime, failed: DataFrame | None = None, strict: bool = False, cap: int = L.SOURCE_CAP) -> Refresh:
     """Validate, drop past, cap, collapse, dedupe, drop cancelled, recover, gate, order and index.
 

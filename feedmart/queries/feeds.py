@@ -86,13 +86,17 @@ def ical_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("SELECT CAST(e.doc_id AS VARCHAR) AS source_id, 'Doc ' || e.doc_id AS title, 'One & two' AS description, CASE e.doc_id % 3 WHEN 0 THEN 'Arts' WHEN 1 THEN 'Sports,Science & Tech' ELSE 'Student Life' END AS categories, CASE WHEN e.doc_id % 4 = 1 THEN 'not public' WHEN e.doc_id % 6 = 0 THEN 'no start' END AS problem FROM documents e")
-def odata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def odata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
     record = F.struct(k.cast("string").alias("id"), F.concat(F.lit("Doc "), k.cast("string")).alias("name"), F.when(k % 4 == 1, "Private").otherwise("Public").alias("visibility"), F.when(k % 6 == 0, "soon").otherwise("2024-02-01T18:00:00Z").alias("startsOn"), F.lit("<p>One &amp; two</p>").alias("description"), F.element_at(F.array(F.lit("Arts"), F.lit("Athletics"), F.lit("none")), (k % 3 + 1).cast("int")).alias("theme"), F.when(k % 3 == 1, F.array(F.lit("data science"), F.lit("sport club"))).otherwise(F.array().cast("array<string>")).alias("categoryNames"))
     pages = d.groupBy(page_of("doc_id")).agg(F.to_json(F.struct(F.collect_list(record).alias("value"))).alias("payload"))
-    return E.read_odata(pages).select("source_id", "title", "description", F.array_join("categories", ",").alias("categories"), "problem")
+    return E.read_odata(pages)
+
+
+@query("SELECT CAST(e.doc_id AS VARCHAR) AS source_id, 'Doc ' || e.doc_id AS title, 'One & two' AS description, CASE e.doc_id % 3 WHEN 0 THEN 'Arts' WHEN 1 THEN 'Sports,Science & Tech' ELSE 'Student Life' END AS categories, CASE WHEN e.doc_id % 4 = 1 THEN 'not public' WHEN e.doc_id % 6 = 0 THEN 'no start' END AS problem FROM documents e")
+def odata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odata_rows(spark, sf_dir).select("source_id", "title", "description", F.array_join("categories", ",").alias("categories"), "problem")
 
 
 @query("SELECT ['haas', 'berkeley_law', 'begin'][doc_id % 3 + 1] AS host, CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 2 = 0 THEN 'A & B' ELSE '' END AS venue, '2024-02-01T18:00:00Z' AS start_at, CASE WHEN doc_id % 4 = 0 THEN 'Unit' ELSE ['Berkeley Haas', 'Berkeley Law', 'Berkeley Gateway to Innovation'][doc_id % 3 + 1] END AS organizer, ['Entrepreneurship', 'Academic', 'Entrepreneurship'][doc_id % 3 + 1] AS category FROM documents WHERE doc_id % 5 <> 0")
@@ -115,12 +119,16 @@ def calendar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.read_calendars(pages, E.calendars_dim(spark)).select("calendar", "source_id", "modality", "address", "organizer", F.array_join("categories", ",").alias("category"))
 
 
-@query("SELECT 'talks-' || doc_id || '::2024-02-01' AS source_id, CASE WHEN doc_id % 8 = 0 THEN 'Cancelled: talk' ELSE 'Talk' END AS title, 'Ann — Series' AS description, CASE WHEN doc_id % 3 = 0 THEN 'Science & Tech,Academic' ELSE 'Science & Tech' END AS categories, CASE WHEN doc_id % 8 = 0 THEN 'cancelled' END AS problem FROM documents")
-def talk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def talk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     item = F.struct(F.lit("2024-02-01 20:00:00").alias("start"), F.when(k % 8 == 0, "Cancelled: talk").otherwise("Talk").alias("title"), F.concat(F.lit("https://example.org/talks/"), k.cast("string")).alias("url"), F.lit("Ann").alias("speakers"), F.lit("Series").alias("program"), F.when(k % 3 == 0, "Public Lecture").otherwise("Workshop").alias("event_type"))
     pages = table(spark, sf_dir, "documents").groupBy(page_of("doc_id")).agg(F.to_json(F.collect_list(item)).alias("payload"))
-    return E.read_talks(pages).select("source_id", "title", "description", F.array_join("categories", ",").alias("categories"), "problem")
+    return E.read_talks(pages)
+
+
+@query("SELECT 'talks-' || doc_id || '::2024-02-01' AS source_id, CASE WHEN doc_id % 8 = 0 THEN 'Cancelled: talk' ELSE 'Talk' END AS title, 'Ann — Series' AS description, CASE WHEN doc_id % 3 = 0 THEN 'Science & Tech,Academic' ELSE 'Science & Tech' END AS categories, CASE WHEN doc_id % 8 = 0 THEN 'cancelled' END AS problem FROM documents")
+def talk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return talk_rows(spark, sf_dir).select("source_id", "title", "description", F.array_join("categories", ",").alias("categories"), "problem")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 5 > 0 THEN '2024-04-17T17:30:00-07:00' END AS start_at, '2024-11-17T19:00:00-08:00' AS end_at, 'From $10' AS cost, CASE WHEN doc_id % 5 = 0 THEN 'no start' END AS problem, 'Hall' AS venue, 'music' AS genre, CASE WHEN doc_id % 2 = 0 THEN 'A long evening of chamber music and song.' ELSE '' END AS description FROM documents")

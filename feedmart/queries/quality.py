@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import health as H
 from ..plans import refresh as P
 from ..plans.index import build_index
-from ..registry import DDL
+from ..registry import DDL, registry_df
 from .common import TODAY, published, query, table
-from .refine import TYPES, occurrences
+from .feeds import odata_rows, talk_rows
+from .refine import BAD, LOCAL, TYPES, occurrences
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -148,12 +149,48 @@ def _refresh(spark: SparkSession, sf_dir: str) -> P.Refresh:
     return P.run_refresh(occurrences(spark, sf_dir), registry(spark), prior, None, TODAY, datetime(2024, 1, 10, 12))
 
 
-@query()
+#: The batch step by step: valid rows, upcoming ones, the cap, one row a series, one row a title and day.
+REFRESH = (
+    f"WITH v AS (SELECT event_id, user_id, event_type, ts, {LOCAL} AS d, {BAD} AS bad FROM events), "
+    f"fut AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM v WHERE NOT bad AND d >= DATE '{TODAY}'), "
+    "series AS (SELECT event_type, user_id || '-' || event_type AS sid, list_sort(list(DISTINCT d)) AS dates, arg_min(event_id, struct_pack(d := d, e := event_id)) AS first FROM fut WHERE rn <= 5000 GROUP BY event_type, user_id), "
+    "named AS (SELECT s.*, v.ts, v.d AS day, CASE WHEN first % 50 = 1 THEN 'Cancelled: visit' ELSE 'Visit ' || v.user_id END AS title FROM series s JOIN v ON v.event_id = s.first), "
+    f"win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, day ORDER BY list_position({TYPES!r}, event_type), event_type, sid) AS n FROM named) WHERE n = 1), "
+    "pub AS (SELECT * FROM win WHERE title NOT LIKE 'Cancelled:%') "
+)
+
+
+@query(
+    f"{REFRESH} SELECT event_type || '_' || sid AS id, title, CAST(day AS VARCHAR) AS date, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles', '%-I:%M %p') AS time, 'Student Life' AS tags, event_type AS source, "
+    "CASE WHEN len(dates) > 1 THEN CAST(dates[len(dates)] AS VARCHAR) END AS end_date, CASE WHEN len(dates) > 1 THEN len(dates) END AS n_dates FROM pub"
+)
 def refresh_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole batch over the event log: published rows in order."""
-    return _refresh(spark, sf_dir).events.select("id", "title", "date", "time", "tags", "source", "end_date", F.size("dates").alias("n_dates"))
+    """The whole batch over the event log: the published rows."""
+    out = _refresh(spark, sf_dir).events
+    day = lambda c: F.col(c).cast("string").alias(c)
+    return out.select("id", "title", day("date"), "time", F.array_join("tags", ",").alias("tags"), "source", day("end_date"), F.when(F.col("dates").isNotNull(), F.size("dates")).cast("long").alias("n_dates"))
 
 
-@query()
+@query(
+    f"{REFRESH}, m AS (SELECT event_type AS name, count(*) FILTER (NOT bad AND d >= DATE '{TODAY}') AS n, count(*) FILTER (NOT bad AND d < DATE '{TODAY}') AS past, count(*) FILTER (bad) AS invalid FROM v GROUP BY event_type), "
+    "r AS (SELECT *, nullif(concat_ws('; ', CASE WHEN name <> 'error' AND n < 50 THEN name || ' returned ' || n || ' events (below healthy threshold 50)' END, CASE WHEN n > 5000 THEN name || ' returned ' || n || ' events (capped at 5000)' END), '') AS reason FROM m) "
+    "SELECT '2024-01-10 12:00:00' AS generated_at, (SELECT count(*) FROM pub) AS total_events, (SELECT count(*) FROM named) - (SELECT count(*) FROM win) AS duplicates_removed, CAST(sum(past) AS BIGINT) AS past_events_filtered, CAST(sum(invalid) AS BIGINT) AS invalid_events_filtered, "
+    "FALSE AS fallback_used, count(reason) > 0 AS degraded, string_agg(reason, '; ' ORDER BY reason) AS degraded_reason, coalesce(string_agg(name, ',' ORDER BY name) FILTER (reason IS NOT NULL), '') AS degraded_sources, 0::BIGINT AS last_good_used FROM r"
+)
 def refresh_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _refresh(spark, sf_dir).report.drop("sources")
+    """The summary of the whole batch."""
+    report = _refresh(spark, sf_dir).report
+    return report.select(
+        F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"), "total_events", "duplicates_removed", "past_events_filtered", "invalid_events_filtered", "fallback_used", "degraded", "degraded_reason", F.array_join("degraded_sources", ",").alias("degraded_sources"), "last_good_used",
+    )
+
+
+@query(
+    "WITH o AS (SELECT count(*) AS n FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 6 <> 0), t AS (SELECT count(*) FILTER (doc_id % 8 <> 0) AS n FROM documents) "
+    "SELECT 'callink' AS source, least(n, 5000) AS events, '2024-02-01' AS first_day FROM o WHERE n > 0 UNION ALL SELECT 'simons', 1, '2024-02-01' FROM t WHERE n > 0"
+)
+def refresh_from_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed payloads of two sources through scan, union and the whole batch: talks of one title on one day are one event."""
+    rows = P.land({"callink": odata_rows(spark, sf_dir), "simons": talk_rows(spark, sf_dir)}, "2024-01-10T00:00:00Z", {"callink": "https://example.org/event/"})
+    run = P.run_refresh(rows, registry_df(spark), published(spark, sf_dir).limit(0), None, TODAY, datetime(2024, 1, 10, 12))
+    return run.events.groupBy("source").agg(F.count(F.lit(1)).alias("events"), F.min("date").cast("string").alias("first_day"))

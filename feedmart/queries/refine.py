@@ -111,9 +111,9 @@ def merged_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merge_feeds(e).select("uid", "event_id")
 
 
-@query(f"WITH o AS (SELECT user_id, list_sort(list(DISTINCT {LOCAL})) AS dates FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT user_id, len(dates) AS n, len(list_filter(dates, lambda d: d BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 6)) AS coming, len(dates) = date_diff('day', dates[1], dates[len(dates)]) + 1 AS contiguous, len(list_filter(dates, lambda d: d >= DATE '{TODAY}')) > 0 AS future FROM o")
+@query(f"WITH o AS (SELECT user_id, list_sort(list(DISTINCT {LOCAL})) AS dates FROM events GROUP BY user_id) SELECT user_id, len(dates) AS n, len(list_filter(dates, lambda d: d BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 6)) AS coming, len(dates) = date_diff('day', dates[1], dates[len(dates)]) + 1 AS contiguous, len(list_filter(dates, lambda d: d >= DATE '{TODAY}')) > 0 AS future FROM o")
 def run_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select("user_id", F.to_date(D.zone_time("ts")).alias("d")).groupBy("user_id").agg(G.date_set(F.collect_list("d")).alias("dates"))
+    o = table(spark, sf_dir, "events").select("user_id", F.to_date(D.zone_time("ts")).alias("d")).groupBy("user_id").agg(G.date_set(F.collect_list("d")).alias("dates"))
     o = o.withColumn("date", F.get("dates", F.lit(0))).withColumn("end_date", F.lit(None).cast("date"))
     return o.select("user_id", F.size("dates").cast("long").alias("n"), D.in_window("dates", TODAY).cast("long").alias("coming"), D.is_contiguous("dates").alias("contiguous"), R.has_future(TODAY).alias("future"))
 
@@ -141,17 +141,30 @@ def compact_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", D.token_to_iso(F.date_format("o_orderdate", "yyyyMMdd")).alias("day"), D.with_utc_suffix(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("z"))
 
 
-@query(f"WITH {PUB} SELECT id, trim(regexp_replace(regexp_replace(title, '^[\\s\\-–—:]+|[\\s\\-–—:]+$', '', 'g'), '\\s+', ' ', 'g')) AS title, location, CAST(date AS VARCHAR) AS date, time FROM (SELECT id, replace(replace(title, '<', ''), '>', '') AS title, location, date, time FROM pub WHERE title NOT LIKE '%<%' AND title NOT LIKE '%&%')")
+_BARE = "regexp_replace(m, '<[^>]+>', ' ', 'g')"
+for _entity, _char in X.ENTITIES.items():
+    _BARE = "replace({}, '{}', '{}')".format(_BARE, _entity, _char.replace("'", "''"))
+_BARE = f"replace({_BARE}, '&amp;', '&')"
+
+
+@query(
+    f"WITH {PUB}, t AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN '<b>' || title || '</b> &amp; more -' WHEN 1 THEN '&lt;' || title || ' &nbsp;' ELSE title END AS m FROM pub) "
+    f"SELECT id, trim(regexp_replace(trim(regexp_replace(regexp_replace({_BARE}, '[<>]', '', 'g'), '\\s+', ' ', 'g')), '^[\\s\\-–—:]+|[\\s\\-–—:]+$', '', 'g')) AS title, location, CAST(date AS VARCHAR) AS date, time, CASE doc_id % 3 WHEN 0 THEN 'Arts,Sports' WHEN 1 THEN '' ELSE 'Academic' END AS tags FROM t"
+)
 def publish_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = published(spark, sf_dir).filter("title not like '%<%' and title not like '%&%'")
+    """Canonical rows as published, half of the titles with markup, tags of which some are not on the list."""
+    k = F.col("id").cast("long")
+    title = F.when(k % 4 == 0, F.concat(F.lit("<b>"), "title", F.lit("</b> &amp; more -"))).when(k % 4 == 1, F.concat(F.lit("&lt;"), "title", F.lit(" &nbsp;"))).otherwise(F.col("title"))
+    tags = F.when(k % 3 == 0, F.array(*[F.lit(t) for t in ("Arts", "Odd", "Sports", "Arts")])).when(k % 3 == 1, F.array(F.lit("Odd"))).otherwise(F.array(F.lit("Academic")))
+    p = published(spark, sf_dir)
     c = R.to_canonical(
         p.select(
-            F.lit("x").alias("source_name"), F.col("id").alias("source_id"), F.col("url").alias("source_url"), F.col("url").alias("canonical_url"), "title", "description", "organizer", "tags",
+            F.lit("x").alias("source_name"), F.col("id").alias("source_id"), F.col("url").alias("source_url"), F.col("url").alias("canonical_url"), title.alias("title"), "description", "organizer", tags.alias("tags"),
             F.col("date").cast("string").alias("start_at"), F.col("location").alias("venue"), F.col("time"),
         )
     )
     out = S.to_published(c)
-    return out.select(F.substring(F.col("id"), F.lit(3), F.length("id")).alias("id"), "title", "location", F.col("date").cast("string").alias("date")).join(p.select("id", "time"), "id")
+    return out.select(F.substring(F.col("id"), F.lit(3), F.length("id")).alias("id"), "title", "location", F.col("date").cast("string").alias("date"), F.array_join("tags", ",").alias("tags")).join(p.select("id", "time"), "id")
 
 
 @query("SELECT min(n_nationkey) AS pos, 'https://example.org/' || (n_nationkey % 7) AS uri, arg_max(n_name, n_nationkey) AS title FROM nation GROUP BY n_nationkey % 7")
@@ -179,8 +192,8 @@ def clamped_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PUB}, r AS (SELECT id, 2000 + k AS wanted FROM pub, range(1) g(k)) SELECT CAST(p_partkey AS VARCHAR) AS id, pub.source, NULL::VARCHAR AS problem FROM part LEFT JOIN pub ON CAST(p_partkey AS VARCHAR) = pub.id WHERE p_partkey <= 1200"
+    f"WITH {PUB}, r AS (SELECT id, 2000 + k AS wanted FROM pub, range(1) g(k)) SELECT CAST(p_partkey AS VARCHAR) AS id, pub.source, NULL::VARCHAR AS problem FROM part LEFT JOIN pub ON CAST(p_partkey AS VARCHAR) = pub.id"
 )
 def lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "part").filter("p_partkey <= 1200").select(F.col("p_partkey").cast("string").alias("id"))
+    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"))
     return R.by_ids(published(spark, sf_dir).select("id", "source"), wanted).select("id", "source", "problem")
