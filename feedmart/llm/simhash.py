@@ -93,7 +93,10 @@ def index_links(distinct: DataFrame, most: int, pairwise: int = PAIRWISE) -> Dat
     the minimum without tallying those that share fewer bytes. In a posting
     list the shared bytes of each pair are tallied and its distance verified;
     a list gives a star for each group of fingerprints that its verified pairs
-    join (kind 0). Members of lists above ``pairwise`` are given as (kind 1).
+    join (kind 0). Members of lists above ``pairwise`` are given as (kind 1):
+    their links come from ``midpoint_links``, which needs no pairs, so the work
+    of a list grows with its length only. Both ways give the same links; the
+    tests run each way alone.
     """
     shared = BYTES - most
     choices = [*combinations(range(BYTES), shared)]
@@ -199,7 +202,8 @@ def near_duplicates(
     Documents with equal fingerprints collapse to one node before anything is
     compared, so exact copies cost nothing further. Distinct fingerprints are
     linked at ``most`` or fewer differing bits through the inverted index (see
-    ``index_links``), large posting lists through midpoints, and components
+    ``index_links``), those of large posting lists through midpoints, which
+    needs an even ``most`` (an odd one raises ``ValueError``), and components
     are the closure of the links. ``component_id`` is the smallest id that is
     reachable. No link is capped or lost.
 

@@ -134,3 +134,23 @@ def test_near_stage_equals_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t in texts.items()], "doc_id long, text string, source string")
     out = corpus_pipeline.remove_near_copies(spark, docs.repartition(3), SF)
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(low.values()))
+
+
+def test_stages_with_repeated_and_null_ids(spark):
+    """A row is its id and text: what one row loses, another row of that id keeps; null ids take part."""
+    rng = np.random.default_rng(8)
+    text = lambda n=120: [f"v{w}" for w in rng.integers(0, 9000, n)]
+    near = lambda words: [*words[:-1], "changed"]
+    a, b, c, d = text(), text(), text(), text()
+    join = " ".join
+    rows = [(1, join(a)), (5, join(near(a))), (5, join(b)), (None, join([*a[:-1], "other"])), (None, join(c)), (None, join(near(c))), (7, join(d)), (7, join(near(d))), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.remove_near_copies(spark, docs.repartition(3), SF).collect()]
+    assert (1, join(a)) in kept and (5, join(b)) in kept and (5, join(near(a))) not in kept
+    assert sum(i is None for i, _ in kept) == 1 and sum(i == 7 for i, _ in kept) == 1 and sum(i in (8, 9) for i, _ in kept) == 1 and len(kept) == 5
+    exact = corpus_pipeline.remove_copies(spark, docs.unionByName(docs), SF)
+    assert exact.count() == len(rows) - 1  # null and empty are one text
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and {(r.doc_id, r.text) for r in mixed.collect()} <= set(rows)
+    packed = corpus_pipeline.pack_sequences(spark, docs, SF)
+    assert packed.groupBy("doc_id").count().count() == len({i for i, _ in rows})
