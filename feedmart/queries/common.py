@@ -29,11 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as published events: the text's first 80 characters are the title."""
+    """Documents as published events: the text's first line is the title."""
     d = table(spark, sf_dir, "documents")
     hour = (F.col("doc_id") % 12 + 1).cast("string")
     return d.select(
-        F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 80).alias("title"), F.concat(F.lit("unit "), "source").alias("organizer"),
+        F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.concat(F.lit("unit "), "source").alias("organizer"),
         F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 60).cast("int")).alias("date"),
         F.when(F.col("doc_id") % 7 == 0, "All day").when(F.col("doc_id") % 11 == 0, "TBD").otherwise(F.concat(hour, F.lit(":"), F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"), F.when(F.col("doc_id") % 2 == 0, " PM").otherwise(" AM"))).alias("time"),
         F.concat(F.lit("hall "), "lang").alias("location"), F.col("text").alias("description"), F.array("lang").alias("tags"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"), "source",
@@ -42,7 +42,7 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PUB = """pub AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 80) AS title, 'unit ' || source AS organizer, CAST(DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS DATE) AS date,
+  SELECT CAST(doc_id AS VARCHAR) AS id, string_split(text, chr(10))[1] AS title, 'unit ' || source AS organizer, CAST(DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS DATE) AS date,
     CASE WHEN doc_id % 7 = 0 THEN 'All day' WHEN doc_id % 11 = 0 THEN 'TBD' ELSE (doc_id % 12 + 1) || ':' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') || CASE WHEN doc_id % 2 = 0 THEN ' PM' ELSE ' AM' END END AS time,
     CASE WHEN doc_id % 7 = 0 THEN -1 WHEN doc_id % 11 = 0 THEN 99999 ELSE ((doc_id % 12 + 1) % 12 + CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 0 END) * 60 + doc_id % 60 END AS mins,
     'hall ' || lang AS location, text AS description, [lang] AS tags, lang, 'https://example.org/' || doc_id AS url, source, doc_id

@@ -134,7 +134,7 @@ def status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT doc_id, substr(text, 1, 80) AS title, source, doc_id % 10 < 9 AS tagged FROM documents WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, substr(text, 1, 80), source, doc_id % 10 < 9 FROM documents WHERE doc_id % 7 = 0 AND doc_id % 2 = 0) "
+    "WITH p AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, source, doc_id % 10 < 9 AS tagged FROM documents WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, string_split(text, chr(10))[1], source, doc_id % 10 < 9 FROM documents WHERE doc_id % 7 = 0 AND doc_id % 2 = 0) "
     "SELECT * FROM (SELECT 'unique ids' AS invariant, count(*) - count(DISTINCT doc_id) AS violations FROM p UNION ALL SELECT 'title', count(*) FILTER (coalesce(len(title), 0) < 2) FROM p UNION ALL SELECT 'url', 0 UNION ALL SELECT 'source', count(*) FILTER (source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7')) FROM p "
     "UNION ALL SELECT 'tags', count(*) FILTER (NOT tagged) FROM p UNION ALL SELECT 'date', 0 UNION ALL SELECT 'position has one id', 0 UNION ALL SELECT 'position has a row', 0 UNION ALL SELECT 'chronological', 0 UNION ALL SELECT 'positions unique', 0 UNION ALL SELECT 'positions in range', 0 UNION ALL SELECT 'total', CASE WHEN count(*) <> 1000 THEN 1 ELSE 0 END FROM p)"
 )

@@ -51,19 +51,19 @@ def valid_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT event_type AS source_name, user_id || '-' || event_type AS source_id, count(DISTINCT d) AS days, CAST(min(d) AS VARCHAR) AS first_day, CASE WHEN count(DISTINCT d) > 1 THEN CAST(max(d) AS VARCHAR) END AS end_at, arg_min(event_id, struct_pack(d := d, e := event_id)) AS first_event "
-    f"FROM (SELECT *, {LOCAL} AS d FROM events WHERE event_id % 40 <> 0) GROUP BY user_id, event_type"
+    "SELECT event_type AS source_name, user_id || '-' || event_type AS source_id, greatest(count(DISTINCT d), 1) AS days, CASE WHEN NOT bool_or(d IS NULL) THEN CAST(min(d) AS VARCHAR) END AS first_day, CASE WHEN count(DISTINCT d) > 1 THEN CAST(max(d) AS VARCHAR) END AS end_at, "
+    f"arg_min(event_id, struct_pack(d := coalesce(d, DATE '0001-01-01'), e := event_id)) AS first_event FROM (SELECT *, CASE WHEN event_id % 40 <> 0 THEN {LOCAL} END AS d FROM events) GROUP BY user_id, event_type"
 )
 def collapse_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = occurrences(spark, sf_dir).filter("start_at <> 'soon'")
-    out, _ = G.collapse_multi_day(rows)
+    """Series with unreadable starts among theirs, which come first and are on no day."""
+    out, _ = G.collapse_multi_day(occurrences(spark, sf_dir))
     first = D.local_date("start_at")
     return out.select("source_name", "source_id", F.greatest(F.coalesce(F.size("occurrence_dates"), F.lit(1)), F.lit(1)).cast("long").alias("days"), first.cast("string").alias("first_day"), "end_at", F.col("ingest_seq").alias("first_event"))
 
 
-@query(f"SELECT CAST(sum(n - 1) AS BIGINT) AS rows_eliminated, count(*) FILTER (d > 1) AS multi_day_events FROM (SELECT count(*) AS n, count(DISTINCT {LOCAL}) AS d FROM events WHERE event_id % 40 <> 0 GROUP BY user_id, event_type)")
+@query(f"SELECT CAST(sum(n - 1) AS BIGINT) AS rows_eliminated, count(*) FILTER (d > 1) AS multi_day_events FROM (SELECT count(*) AS n, count(DISTINCT CASE WHEN event_id % 40 <> 0 THEN {LOCAL} END) AS d FROM events GROUP BY user_id, event_type)")
 def collapse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.collapse_multi_day(occurrences(spark, sf_dir).filter("start_at <> 'soon'"))[1]
+    return G.collapse_multi_day(occurrences(spark, sf_dir))[1]
 
 
 NORMAL = f"array_to_string(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({STOPS})), ' ')"
