@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedmart import registry
@@ -145,3 +146,30 @@ def test_export_and_snapshot(spark, tmp_path):
     S.publish({"events": df.filter("id = 'run'")}, path, "r2")
     assert [r.id for r in S.load_snapshot(spark, path)["events"].collect()] == ["run"]
     assert S.load_snapshot(spark, path)["meta"].first()["data_age_hours"] == 0.0
+
+
+def test_pointer_is_replaced_in_one_step(spark, tmp_path):
+    """The newest snapshot is read; a failing one leaves the pointer alone; no other pointer file stays."""
+    from feedmart.schema import PUBLISHED_DDL
+    from feedmart.sources import snapshot as S
+
+    none = spark.createDataFrame([], PUBLISHED_DDL)
+    one = spark.createDataFrame([("a", "t", "o", None, "", "", "", ["Arts"], "u", "s", None, None)], PUBLISHED_DDL)
+    path = str(tmp_path / "out")
+    S.publish({"events": none}, path, "r1")
+    S.publish({"events": one}, path, "r2")
+    assert S.current(spark, path).endswith("r2") and S.read_snapshot(spark, path)[0].count() == 1
+    with pytest.raises(Exception, match="no"):
+        S.publish({"events": none, "bad": one.selectExpr("raise_error('no') as x")}, path, "r3")
+    assert S.current(spark, path).endswith("r2") and not (tmp_path / "out" / "snapshot=r3").exists()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("CURRENT")) == ["CURRENT"]
+
+
+def test_invariants_at_block_edges(spark):
+    """A day that falls back exactly where a block of positions ends is seen."""
+    days = [dt.date(2024, 1, 2), dt.date(2024, 1, 1), dt.date(2024, 1, 3)]
+    rows = [(str(i), "title", "https://x.org/a", "s", ["Arts"], d) for i, d in enumerate(days)]
+    events = spark.createDataFrame(rows, "id string, title string, url string, source string, tags array<string>, date date")
+    postings = spark.createDataFrame([("t", "w", p, str(i)) for i, p in enumerate((99_999, 100_000, 100_001))], "field string, token string, pos long, id string")
+    got = {r.invariant: r.violations for r in H.check_invariants(events, postings, sources=["s"]).collect()}
+    assert got["chronological"] == 1 and got["unique ids"] == 0
