@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut as _cut
+from ..plans.lineage import shared_folder
 
 #: Characters that end a word of ``words_of``: blanks and ASCII control blanks.
 BLANKS = r"\x20\x09-\x0D"
@@ -45,3 +46,38 @@ def cut(df: DataFrame) -> DataFrame:
     The files survive the loss of executors.
     """
     return _cut(df)
+
+
+class Tables:
+    """Tables of a loop in the shared folder, each dropped as soon as no later one needs it.
+
+    A checkpointed table keeps the size that the optimizer guessed for it. Over
+    the rounds of a loop with joins the guesses multiply to numbers of so many
+    digits that planning takes minutes; a written table has its true size.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.count = spark, shared_folder(spark, name), 0
+        self.paths: dict[DataFrame, str] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[out] = path
+        return out
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self._delete(self.paths.pop(t))
+
+    def close(self, result: DataFrame) -> DataFrame:
+        """The result, cut, and all tables gone."""
+        out = cut(result)
+        self._delete(self.folder)
+        return out

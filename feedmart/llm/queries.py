@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chunks, exact_dedup, licenses, mixing, packing, pii, simhash, toxicity
+from . import ann, centroids, chat, chunks, exact_dedup, licenses, mixing, packing, pii, setsketch, simhash, spelling, toxicity
 from .common import table
 
 #: Session setting that holds the key of surrogates, and what stands in where it is unset.
@@ -65,6 +65,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, least=0.8)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024, salt="3:")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii_surrogates, op2_license_scan, op3_packing, op4_exact_dedup, op5_substring_dedup, op6_simhash, op7_chat_formatting, op8_rp_forest, op9_toxicity, op10_mixing, pipeline]
+    found = [op1_pii_surrogates, op2_license_scan, op3_packing, op4_exact_dedup, op5_substring_dedup, op6_simhash, op7_chat_formatting, op8_rp_forest, op9_toxicity, op10_mixing, op11_spelling_variants, op12_setsketch, op13_centroids, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -115,5 +127,43 @@ FROM (SELECT *, CAST(('0x' || substr(md5('mix:' || source), 1, 8)) AS BIGINT)::D
 """
 
 
+OP12_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), t AS MATERIALIZED (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS node, w FROM d WHERE len(w) > 0
+), s AS MATERIALIZED (
+  SELECT DISTINCT node, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS shingle FROM t WHERE doc_id = node
+), n AS MATERIALIZED (SELECT node, count(*) AS n FROM s GROUP BY node
+), pairs AS (SELECT a.node AS u, b.node AS v, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.node < b.node GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT u, v FROM pairs JOIN n x ON x.node = u JOIN n y ON y.node = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), step AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(node, low) AS (
+  SELECT node, node FROM n UNION SELECT step.v, reach.low FROM reach JOIN step ON step.u = reach.node WHERE reach.low < step.v
+), c AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, d.doc_id = coalesce(c.low, d.doc_id) AS kept
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN n ON n.node = t.node LEFT JOIN c ON c.node = t.node
+"""
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Each round is a pair of tables: vectors with their nearest centroid, and the centroids that follow."""
+    tables = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v AS c FROM v QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), v) <= 8)",
+    ]
+    for r in range(rounds + 1):
+        gap = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+        tables.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, unnest(x) FROM (SELECT vec_id, v, min({{'d': {gap}, 'k': k}}) AS x FROM v, c{r} GROUP BY vec_id, v))")
+        if r < rounds:
+            sums = f"SELECT k, i, floor(sum(x) / count(*)) AS m FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY k, i"
+            tables.append(f"c{r + 1} AS MATERIALIZED (SELECT k, list(m ORDER BY i) AS c FROM ({sums}) GROUP BY k UNION ALL SELECT k, c FROM c{r} WHERE k NOT IN (SELECT k FROM a{r}))")
+    joined = "array_to_string(list_transform(c, lambda x: x::BIGINT), ',')"
+    return "WITH " + ", ".join(tables) + (
+        f" SELECT vec_id, k::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256({joined}) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op10_mixing": OP10_SQL, "op12_setsketch": OP12_SQL, "op13_centroids": _centroid_sql(10)}
