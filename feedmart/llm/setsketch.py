@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.groups import top_n
 from .common import cut, filled
 from .components import components
-from .near_copies import shingle_hashes, verified
+from .shingles import shingle_hashes, verified
 
 #: Registers, their base, their rate and the largest value of one.
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65535
@@ -20,10 +21,10 @@ REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65535
 BAND = 5
 BANDS = REGISTERS // BAND
 #: A pair is sifted out where twice the gap of log-likelihood between its best similarity and the wanted one is above this: a true
-#: pair goes so once in 10^13. Pairs of fewer shingles than ``FEW`` together are never sifted.
-GAP, FEW = 55.0, 64
-#: Texts of one band that are compared at once.
-BLOCK = 64
+#: pair goes so once in 4 * 10^9. Pairs of fewer shingles than ``FEW`` together are never sifted.
+GAP, FEW = 40.0, 64
+#: Texts of one band that are compared at once, and how many partners in other components a text is verified with, round by round; the last is every one.
+BLOCK, PARTNERS = 64, (4, 32, None)
 
 
 def enough(least: float) -> float:
@@ -162,8 +163,8 @@ def _sift_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u long, v long, like double")
 
 
-def _between(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """``u, v, cu, cv, like`` of pairs in one band's list that are in different components and whose sketches allow the similarity.
+def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int | None) -> DataFrame:
+    """``u, v, like`` of pairs in one band's list that are in different components and whose sketches allow the similarity; of each ``u`` the likeliest ``partners``.
 
     Lists are cut into blocks of about ``BLOCK`` texts, and pairs of blocks are
     compared inside a task, register by register; only what stays is handed on.
@@ -213,11 +214,18 @@ def _between(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                     some = np.flatnonzero((equal.sum(axis=1) >= enough(least)) & (whole.argmax(axis=1) == band))
                     i, j = i[some], j[some]
                     stays, like = sifted(sx[i], sy[j], x.field(2).to_numpy()[i], y.field(2).to_numpy()[j], least)
-                    i, j = pa.array(i[stays]), pa.array(j[stays])
-                    yield pa.RecordBatch.from_arrays([x.field(0).take(i), y.field(0).take(j), x.field(1).take(i), y.field(1).take(j), pa.array(like[stays])], names=["u", "v", "cu", "cv", "like"])
+                    i, j, like = i[stays], j[stays], like[stays]
+                    if partners is not None and len(i):
+                        order = np.lexsort((-like, i))
+                        i, j, like = i[order], j[order], like[order]
+                        start = np.flatnonzero(np.diff(i, prepend=-1))
+                        ahead = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+                        i, j, like = (c[ahead < partners] for c in (i, j, like))
+                    yield pa.RecordBatch.from_arrays([x.field(0).take(pa.array(i)), y.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
 
     pairs = side("u").join(side("v"), ["band", "key"]).filter("b_u <= b_v").select("band", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
-    return pairs.mapInArrow(run, "u long, v long, cu long, cv long, like double")
+    found = pairs.mapInArrow(run, "u long, v long, like double")
+    return found if partners is None else top_n(found, ["u"], [F.col("like").desc(), "v"], partners)
 
 
 def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -226,10 +234,11 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
     First each band's list is compared with its smallest member, for each text
     only with the likeliest one, which joins large groups of copies by as many
     comparisons as they have texts. Then the lists that still hold several
-    components are searched for every pair between two of them that the
-    sketches allow; the likeliest pair of each two components is verified
-    first, then all pairs whose components that has not joined. So no pair
-    that shares a band and may be linked between components goes unread.
+    components are searched for pairs between two of them that the sketches
+    allow: each text's likeliest few are verified and joined first, then more,
+    and in the end every pair whose components that has not joined. So no pair
+    that shares a band and may be linked between components goes unread, and a
+    large group is joined before its pairs are many.
     """
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.substr(F.col("sketch"), k * (2 * BAND) + 1, F.lit(2 * BAND))).alias("key")))
     postings = nodes.select("node", F.explode(bands).alias("b")).select("node", "b.band", "b.key")
@@ -240,17 +249,15 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
     likely = cut(likely.groupBy("v").agg(F.max(F.struct("like", "u")).alias("best")).select("best.u", "v"))
     links = cut(verified(likely, nodes, rows, shingle, least))
     joined = cut(components(links, "u", "v"))
-    for best_only in (True, False):
+    for partners in PARTNERS:
         marked = shared.select("band", "key", "node").join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         marked = cut(marked)
         mixed = cut(marked.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "key"))
-        open_pairs = _between(marked.join(mixed.hint("merge"), ["band", "key"]), nodes, least)
-        if best_only:
-            two = [F.least("cu", "cv"), F.greatest("cu", "cv")]
-            open_pairs = open_pairs.groupBy(*two).agg(F.max(F.struct("like", "u", "v")).alias("best")).select("best.u", "best.v")
-        more = cut(verified(cut(open_pairs.select("u", "v")), nodes, rows, shingle, least))
-        links = links.unionByName(more)
+        tried = cut(_between(marked.join(mixed.hint("merge"), ["band", "key"]), nodes, least, partners).select("u", "v"))
+        links = links.unionByName(cut(verified(tried, nodes, rows, shingle, least)))
         joined = cut(components(links, "u", "v"))
+        if partners is None or not tried.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= partners).limit(1).count():
+            break  # no text has partners left
     return joined
 
 

@@ -42,10 +42,11 @@ def test_queue_and_depth():
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         forest = A.fit_forest(x, 8, int(np.log2(n / 32)), 1.0)
         leaves, needed = forest.leaves(x), []
-        assert leaves.max() == 2**forest.depth - 1 and np.bincount(leaves[:, 0]).max() <= 40
+        assert leaves.max() == 2**forest.depth - 1 and np.bincount(leaves[:, 0]).max() <= 64  # depth is rounded down, so leaves hold 32 to 63 rows
         for q in x[:20]:
             order = forest.queue_order(q, 60)
-            assert sorted(order) == forest.search(q, 60).tolist()
+            bounds = forest.bounds(q).ravel()  # leaves may have one bound, that of a cut above both, so places may differ at the end
+            assert np.allclose(bounds[order], np.sort(bounds[forest.search(q, 60)])) and len({*order}) == 60
             rank = np.empty((8, 2**forest.depth), int)
             rank.ravel()[np.argsort(forest.bounds(q).ravel(), kind="stable")] = np.arange(rank.size)
             best = rank[np.arange(8), leaves].min(axis=1)
