@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as X
 from ..operators import rows as R
-from ..operators.groups import with_rank
+from ..operators.groups import top_n, with_rank
+from .grams import holding
+from .intervals import runs_of_day, runs_of_range
+from .lineage import cut
 from .search import search
 
 RANGES = ["today", "tomorrow", "week", "upcoming"]
@@ -45,10 +48,12 @@ def tool_search(requests: DataFrame, events: DataFrame, today: date | str, by_ti
 
     Requests have ``request_id, query, category, source, preset, start, end,
     limit``. Those with a source meet events by it, those with a category by
-    it; only such as have neither meet every event, as their text may stand
-    anywhere in a row. The limit per request keeps a task from passing on more
-    than it. Without ``by_title`` rows of one minute come in the order of their
-    ids.
+    it. Of the others, such as have a text meet the events that hold it by the
+    text's grams, and such as have none meet the first rows of each run of
+    days (no more than the highest limit) by the runs that make up their days;
+    no request is compared with every event. The limit per request keeps a task
+    from passing on more than it. Without ``by_title`` rows of one minute come
+    in the order of their ids, which are unique.
     """
     req = requests.withColumn("_b", R.bounds(F.col("preset"), F.col("start"), F.col("end"), today)).withColumn("_limit", R.clamp_limit("limit"))
     req = req.select("request_id", F.lower(F.coalesce("query", F.lit(""))).alias("q_text"), F.lower(F.coalesce("category", F.lit(""))).alias("q_category"), F.coalesce("source", F.lit("")).alias("q_source"), "_b", "_limit")
@@ -58,15 +63,32 @@ def tool_search(requests: DataFrame, events: DataFrame, today: date | str, by_ti
     tagged = texts.withColumn("_tag", F.explode(F.array_distinct(F.transform("tags", lambda t: F.lower(t)))))
     of_source = valid.filter("q_source <> ''").join(texts, (F.col("source") == F.col("q_source")) & on & ((F.col("q_category") == "") | R.has_tag(F.col("q_category"))))
     of_category = valid.filter("q_source = '' and q_category <> ''").join(tagged, (F.col("_tag") == F.col("q_category")) & on).drop("_tag")
-    others = valid.filter("q_source = '' and q_category = ''").join(texts, on)
-    found = of_source.unionByName(of_category).unionByName(others)
-    found = with_rank(found, ["request_id"], [c for i, c in enumerate(tool_order()) if by_title or i != 2]).filter(F.col("rank") <= F.col("_limit"))
+    order = [c for i, c in enumerate(tool_order()) if by_title or i != 2]
+    others = cut(valid.filter("q_source = '' and q_category = ''"))
+    worded, blank = others.filter("q_text <> ''"), others.filter("q_text = ''")
+    held = holding(worded, events, "request_id", "q_text", "id", R.haystack())
+    by_text = worded.join(held, "request_id").join(texts, "id").filter(days)
+    found = of_source.unionByName(of_category).unionByName(by_text).unionByName(first_of_days(blank, texts, order))
+    found = with_rank(found, ["request_id"], order).filter(F.col("rank") <= F.col("_limit"))
     matched = F.get(F.filter("tags", lambda t: F.lower(t) == F.col("q_category")), F.lit(0))
     shown = found.select("request_id", "rank", "id", "title", "date", "time", "location", "organizer", F.coalesce(matched, F.get("tags", F.lit(0))).alias("category"), matched.alias("matched_category"), "tags", "source", "url", F.lit(None).cast("string").alias("error"))
     bad = req.filter("_b.invalid").select("request_id", F.lit("startDate must be earlier than or equal to endDate").alias("error"))
     return shown.unionByName(bad, allowMissingColumns=True)
 
 
+def first_of_days(requests: DataFrame, events: DataFrame, order: list[Column], most: int = 50) -> DataFrame:
+    """Requests of days ``_b.first`` to ``_b.last`` with events that can be among their first ``most`` in the order.
+
+    The first rows of a range of days are among the first of the runs of days
+    that make it up, so each run keeps ``most`` rows, and requests meet them by
+    run: rows grow with requests, whatever the events of their days.
+    """
+    span = events.agg(F.min("date").alias("_earliest"), F.max("date").alias("_latest"))  # one row
+    heads = top_n(events.withColumn("_run", F.explode(runs_of_day(F.col("date")))), ["_run"], order, most)
+    asked = requests.crossJoin(F.broadcast(span)).withColumn("_run", F.explode(runs_of_range(F.col("_b.first"), F.col("_b.last"), F.col("_earliest"), F.col("_latest"))))
+    return asked.drop("_earliest", "_latest").join(heads, "_run").drop("_run")
+
+
 def derive_range(user: str | Column, interpreted: str | Column, dismissed: str | Column, default: str = "today") -> Column:
     """A request's range: the user's own, else the query's unless dismissed, else the default."""
     gone = F.exists(F.coalesce(X.col(dismissed), F.array().cast("array<string>")), lambda k: k.startswith("dateRange:"))

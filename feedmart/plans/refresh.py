@@ -13,7 +13,9 @@ from ..operators import groups as G
 from ..operators import health as H
 from ..operators import rows as R
 from ..sources import snapshot as S
+from .blocks import best_scores
 from .browse import publish_keys
+from .grams import holding
 from .index import build_index
 from .lineage import cut
 
@@ -93,13 +95,20 @@ def publish_refresh(run: Refresh, path: str, run_id: str) -> str | None:
     return S.publish({"events": run.events, "index": run.postings, "meta": run.meta}, path, run_id)
 
 
-def eval_golden(queries: DataFrame, postings: DataFrame, events: DataFrame, n: int = 10) -> DataFrame:
-    """``query_id, id, rank, score``: the plain weighted look-up against which a snapshot's golden queries are judged."""
+def eval_golden(queries: DataFrame, blocks: DataFrame, events: DataFrame, n: int = 10) -> DataFrame:
+    """``query_id, id, rank, score``: the plain weighted look-up against which a snapshot's golden queries are judged.
+
+    ``blocks`` are those of ``impact_blocks``, best stored by ``store_blocks``;
+    ``events`` has ``id, title`` and ``pos``, the position in the index. Titles
+    that hold a query as it is are found by its grams; blocks that cannot hold
+    one of a query's ``n`` best are not read.
+    """
     from ..functions import text as X
 
-    tokens = queries.select("query_id", "query", F.size(X.tokenize("query")).alias("n_tokens"), F.explode(X.tokenize("query")).alias("token"))
-    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in L.FIELD_WEIGHTS.items()])
-    hits = tokens.join(postings, "token").groupBy("query_id", "query", "n_tokens", "id").agg(F.sum(weight).alias("points"))
-    joined = hits.join(events.select("id", "title"), "id")
-    score = F.col("points") + F.when(F.lower("title").contains(F.lower("query")), L.TITLE_PHRASE * F.col("n_tokens")).otherwise(0.0)
-    return G.with_rank(joined.withColumn("score", score), ["query_id"], [F.col("score").desc(), "id"]).filter(F.col("rank") <= n).select("query_id", "id", "rank", "score")
+    asked = queries.select("query_id", F.lower("query").alias("low"), X.tokenize("query").alias("tokens")).filter(F.size("tokens") > 0)
+    asked = cut(asked)
+    titles = events.select("pos", "title")
+    held = holding(asked, titles, "query_id", "low", "pos", F.lower("title"))
+    bonus = cut(held.join(asked.select("query_id", (F.size("tokens") * L.TITLE_PHRASE).alias("points")), "query_id"))
+    scores, _, _ = best_scores(asked.select("query_id", F.explode("tokens").alias("token"), F.lit(1.0).alias("factor")), blocks, n, bonus)
+    return G.with_rank(scores.join(events.select("pos", "id"), "pos"), ["query_id"], [F.col("score").desc(), "id"]).filter(F.col("rank") <= n).select("query_id", "id", "rank", "score")

@@ -10,11 +10,12 @@ from ..functions import text as X
 from ..operators import classify as C
 from ..operators import groups as G
 from ..operators import rows as R
+from ..plans import blocks as K
 from ..plans import browse as B
 from ..plans import refresh as P
 from ..plans import search as S
 from ..plans.index import build_index, token_weights
-from ..plans.lineage import cut
+from ..plans.lineage import cut, shared_folder
 from .common import PUB, TODAY, published, query, sql_tokens, table
 from .search_sql import browse_sql, dismissed_ctes, plan_ctes, search_sql
 
@@ -35,8 +36,8 @@ def tokenize_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.token_rows(published(spark, sf_dir), ["id"], "title")
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_index(published(spark, sf_dir).withColumn("pos", F.col("id").cast("long")), pos="pos", aliases=False)
+def _postings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return build_index((published(spark, sf_dir) if events is None else events).withColumn("pos", F.col("id").cast("long")), pos="pos", aliases=False)
 
 
 POST = (
@@ -73,7 +74,23 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM s) WHERE rank <= 10"
 )
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.eval_golden(query_log(spark, sf_dir), cut(_postings(spark, sf_dir)), published(spark, sf_dir))
+    events = published(spark, sf_dir).select("id", "title", F.col("id").cast("long").alias("pos"))
+    return P.eval_golden(query_log(spark, sf_dir), _stored_blocks(spark, sf_dir), events)
+
+
+def _stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as a bucketed table in the shared folder."""
+    return K.store_blocks(K.impact_blocks(_postings(spark, sf_dir)), K.table_name(spark, "blocks"), shared_folder(spark, "blocks"))
+
+
+@query(
+    f"WITH {PUB}, {POST}, one AS (SELECT token, CAST(id AS BIGINT) AS pos, sum(CASE field WHEN 't' THEN 60 WHEN 'g' THEN 45 WHEN 'o' THEN 30 WHEN 'l' THEN 20 ELSE 10 END)::DOUBLE AS impact FROM post GROUP BY token, id) "
+    f"SELECT token, pos // {K.WIDTH} AS block, count(*) AS n, max(impact) AS top, string_agg(CAST(pos AS VARCHAR) || ':' || CAST(CAST(impact AS INT) AS VARCHAR), ' ' ORDER BY impact DESC, pos DESC) AS entries FROM one GROUP BY token, pos // {K.WIDTH}"
+)
+def index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index read back: every block with its greatest impact, and its entries in the order of impact."""
+    entry = lambda e: F.concat((F.col("block") * K.WIDTH + e["at"]).cast("string"), F.lit(":"), e["impact"].cast("int").cast("string"))
+    return _stored_blocks(spark, sf_dir).select("token", "block", "n", "top", F.array_join(F.transform("entries", entry), " ").alias("entries"))
 
 
 #: What searches ask for before their words; the first conversation asks for nothing else.
@@ -133,7 +150,7 @@ def query_plans_dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {PUB}, {LOG}, q AS ({sql_tokens('log', 'query_id', 'query')}), v AS (SELECT DISTINCT token AS term FROM ({TITLES})) "
-    "SELECT query_id, token, term, levenshtein(a, b) / len(token) AS distance FROM (SELECT query_id, token, term, regexp_replace(token, '[^\\x00-\\x7F]', '~', 'g') AS a, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g') AS b FROM q JOIN v ON left(token, 1) = left(term, 1) AND abs(len(token) - len(term)) <= 2) WHERE levenshtein(a, b) <= CASE WHEN len(token) < 5 THEN 1 ELSE 2 END"
+    "SELECT query_id, token, term, levenshtein(a, b) / len(token) AS distance FROM (SELECT query_id, token, term, regexp_replace(token, '[^\\x00-\\x7F]', '~', 'g') AS a, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g') AS b FROM q JOIN v ON abs(len(token) - len(term)) <= 2) WHERE levenshtein(a, b) <= CASE WHEN len(token) < 5 THEN 1 ELSE 2 END"
 )
 def fuzzy_title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     # SQL counts edits in bytes, so it reads letters of several bytes as one sign.
