@@ -23,8 +23,10 @@ BANDS = REGISTERS // BAND
 #: A pair is sifted out where twice the gap of log-likelihood between its best similarity and the wanted one is above this: a true
 #: pair goes so once in 4 * 10^9. Pairs of fewer shingles than ``FEW`` together are never sifted.
 GAP, FEW = 40.0, 64
+#: Cells over which a set's hashes are counted, in a byte each: two sets share no more than the sum of the smaller counts.
+CELLS = 512
 #: Texts of one band that are compared at once, and how many partners in other components a text is verified with, round by round; the last is every one.
-BLOCK, PARTNERS = 64, (4, 32, None)
+BLOCK, PARTNERS = 64, (8, None)
 
 
 def enough(least: float) -> float:
@@ -86,6 +88,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
         return np.clip(np.floor(1 - np.log(least) / log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def cell_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((_mix(hashes.view(np.uint64)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
 def likelihood_gap(greater: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(similarity of greatest likelihood, twice the log-likelihood it has above that of similarity ``least``, 0 where it is larger itself).
 
@@ -112,15 +118,24 @@ def likelihood_gap(greater: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v:
     return best, np.where(most < least - 1e-9, np.inf, gap)
 
 
-def sifted(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(which pairs of sketches stay, their estimated similarity)."""
+def sifted(a: np.ndarray, b: np.ndarray, cells_a: np.ndarray, cells_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs stay, their estimated similarity): by the likelihood of their registers, and by what their cells let them share at most.
+
+    The second bound is no estimate: no pair of similarity ``least`` falls to
+    it. A count of 255 stands for any larger one, so with it there is no bound.
+    """
     best, gap = likelihood_gap((a > b).sum(axis=1), (a < b).sum(axis=1), n_a.astype(float), n_b.astype(float), least)
     near = np.minimum(n_a, n_b) >= least * np.maximum(n_a, n_b) - 1e-9
-    return near & ((gap <= GAP) | (n_a + n_b < FEW)), best
+    stays = near & ((gap <= GAP) | (n_a + n_b < FEW))
+    some = np.flatnonzero(stays)
+    most = np.minimum(cells_a[some], cells_b[some]).sum(axis=1, dtype=np.int64)
+    whole = (cells_a[some].max(axis=1, initial=0) == 255) | (cells_b[some].max(axis=1, initial=0) == 255)
+    stays[some] = whole | (most >= least * (n_a[some] + n_b[some] - most) - 1e-6)
+    return stays, best
 
 
 def sketched(rows: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, raw, norm, n, sketch`` of every row ``doc_id, raw, text``: MD5 of its words, number of shingles, registers; no words give null ones."""
+    """``doc_id, raw, norm, n, sketch`` of every row ``doc_id, raw, text``: MD5 of its words, number of shingles, registers and cells; no words give null ones."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +153,17 @@ def sketched(rows: DataFrame, shingle: int) -> DataFrame:
                     if len(held) >= 1000:
                         held.clear()
                     own = shingle_hashes(line, shingle)
-                    held[norm] = len(own), sketch(own).tobytes()
+                    held[norm] = len(own), sketch(own).tobytes() + cell_counts(own).tobytes()
                 norms.append(norm), sizes.append(held[norm][0]), made.append(held[norm][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(norms, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "raw", "norm", "n", "sketch"])
 
     return rows.select("doc_id", "raw", "text").mapInArrow(run, "doc_id long, raw binary, norm binary, n long, sketch binary")
 
 
-def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Registers and cells."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * REGISTERS + CELLS)
+    return np.ascontiguousarray(both[:, : 2 * REGISTERS]).view(np.uint16), both[:, 2 * REGISTERS :]
 
 
 def _sift_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -156,7 +173,8 @@ def _sift_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                stays, like = sifted(_registers(batch.column(4)), _registers(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), least)
+                (a, cells_a), (b, cells_b) = _parts(batch.column(4)), _parts(batch.column(5))
+                stays, like = sifted(a, b, cells_a, cells_b, batch.column(2).to_numpy(), batch.column(3).to_numpy(), least)
                 stays = pa.array(stays)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(stays), batch.column(1).filter(stays), pa.array(like).filter(stays)], names=["u", "v", "like"])
 
@@ -205,7 +223,7 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
             if not batch.num_rows:
                 continue
             x, y = (batch.column(k).values for k in (2, 3))
-            sx, sy = _registers(x.field(3)), _registers(y.field(3))
+            (sx, cx), (sy, cy) = _parts(x.field(3)), _parts(y.field(3))
             for every in gathered(pairs_of(batch)):
                 for at in range(0, len(every[0]), 8192):
                     i, j, band = (c[at : at + 8192] for c in every)
@@ -213,7 +231,7 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
                     whole = equal[:, : BANDS * BAND].reshape(len(i), BANDS, BAND).all(axis=2)
                     some = np.flatnonzero((equal.sum(axis=1) >= enough(least)) & (whole.argmax(axis=1) == band))
                     i, j = i[some], j[some]
-                    stays, like = sifted(sx[i], sy[j], x.field(2).to_numpy()[i], y.field(2).to_numpy()[j], least)
+                    stays, like = sifted(sx[i], sy[j], cx[i], cy[j], x.field(2).to_numpy()[i], y.field(2).to_numpy()[j], least)
                     i, j, like = i[stays], j[stays], like[stays]
                     if partners is not None and len(i):
                         order = np.lexsort((-like, i))
@@ -231,7 +249,8 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
 def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
     """``node, component`` of the nodes that have links; ``nodes`` has ``node, key, n, sketch``, ``rows`` ``key, text`` of each node's text.
 
-    First each band's list is compared with its smallest member, for each text
+    First each band's list is compared with its member that shares the most
+    lists with others (of copies of one text that is that text), for each text
     only with the likeliest one, which joins large groups of copies by as many
     comparisons as they have texts. Then the lists that still hold several
     components are searched for pairs between two of them that the sketches
@@ -242,20 +261,25 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
     """
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.substr(F.col("sketch"), k * (2 * BAND) + 1, F.lit(2 * BAND))).alias("key")))
     postings = nodes.select("node", F.explode(bands).alias("b")).select("node", "b.band", "b.key")
-    lists = cut(postings.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "key", "low"))
-    shared = cut(postings.join(lists.hint("merge"), ["band", "key"]))
-    first = shared.filter("node <> low").groupBy(F.col("low").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("bands")).select("u", "v")
+    lists = postings.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut(postings.join(cut(lists).hint("merge"), ["band", "key"]))
+    met = shared.groupBy("node").agg(F.sum(F.col("size") - 1).alias("met"))
+    hubs = shared.join(cut(met).hint("merge"), "node").groupBy("band", "key").agg(F.max(F.struct("met", "node")).alias("hub")).select("band", "key", F.col("hub.node").alias("hub"))
+    first = shared.join(cut(hubs).hint("merge"), ["band", "key"]).filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "node").groupBy("a", "b").agg(F.min("node").alias("v"))
+    first = first.select(F.when(F.col("v") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("u"), "v")
     likely = _sift_pairs(first, nodes, least)
     likely = cut(likely.groupBy("v").agg(F.max(F.struct("like", "u")).alias("best")).select("best.u", "v"))
     links = cut(verified(likely, nodes, rows, shingle, least))
-    joined = cut(components(links, "u", "v"))
+    joined = components(links, "u", "v")
     for partners in PARTNERS:
         marked = shared.select("band", "key", "node").join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         marked = cut(marked)
         mixed = cut(marked.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "key"))
         tried = cut(_between(marked.join(mixed.hint("merge"), ["band", "key"]), nodes, least, partners).select("u", "v"))
-        links = links.unionByName(cut(verified(tried, nodes, rows, shingle, least)))
-        joined = cut(components(links, "u", "v"))
+        more = cut(verified(tried, nodes, rows, shingle, least))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            joined = components(links, "u", "v")
         if partners is None or not tried.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= partners).limit(1).count():
             break  # no text has partners left
     return joined
