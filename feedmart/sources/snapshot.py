@@ -102,7 +102,7 @@ def write_status(report: DataFrame, path: str) -> None:
 
 def write_index(postings: DataFrame, path: str) -> None:
     """Postings by field, sorted by token inside files, so that a token's look-up skips most of them."""
-    postings.repartition("field", F.substring("token", 1, 1)).sortWithinPartitions("field", "token", "pos").write.partitionBy("field").mode("overwrite").parquet(path)
+    postings.repartitionByRange("field", "token", "pos").sortWithinPartitions("field", "token", "pos").write.partitionBy("field").mode("overwrite").parquet(path)
 
 
 def to_published(df: DataFrame) -> DataFrame:
