@@ -26,7 +26,7 @@ GAP, FEW = 40.0, 64
 #: Cells over which a set's hashes are counted, in a byte each: two sets share no more than the sum of the smaller counts.
 CELLS = 512
 #: Texts of one band that are compared at once, and how many partners in other components a text is verified with, round by round; the last is every one.
-BLOCK, PARTNERS = 64, (8, None)
+BLOCK, PARTNERS = 64, (64, None)
 
 
 def enough(least: float) -> float:
@@ -191,8 +191,7 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
     counts = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(counts, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = placed.join(nodes.select("node", "n", "sketch"), "node")
-    blocks = cut(held.groupBy("band", "key", "block").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("held")))
-    side = lambda name: blocks.select("band", "key", F.col("block").alias(f"b_{name}"), F.col("held").alias(f"h_{name}"))
+    blocks = cut(held.groupBy("band", "key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("held")))
 
     def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         """Places of texts that are to be compared, and their band, from one pair of blocks after the other."""
@@ -241,7 +240,12 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
                         i, j, like = (c[ahead < partners] for c in (i, j, like))
                     yield pa.RecordBatch.from_arrays([x.field(0).take(pa.array(i)), y.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
 
+    # A list of one block is compared with itself where it stands; only longer lists send blocks to each other.
+    alone = blocks.filter("blocks = 1").select("band", F.lit(True).alias("same"), F.col("held").alias("h_u"), F.col("held").alias("h_v"))
+    several = blocks.filter("blocks > 1")
+    side = lambda name: several.select("band", "key", F.col("block").alias(f"b_{name}"), F.col("held").alias(f"h_{name}"))
     pairs = side("u").join(side("v"), ["band", "key"]).filter("b_u <= b_v").select("band", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
+    pairs = alone.unionByName(pairs)
     found = pairs.mapInArrow(run, "u long, v long, like double")
     return found if partners is None else top_n(found, ["u"], [F.col("like").desc(), "v"], partners)
 
