@@ -48,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return _cut(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of frames that are gone, on all executors.
+
+    Spark deletes them once the driver's collector has found their frames
+    unreachable, which may be half an hour later; a step that shuffles much
+    after others asks for it, so that what is held at once is its own.
+    """
+    spark._jvm.System.gc()
+
+
 class Tables:
     """Tables of a loop in the shared folder, each dropped as soon as no later one needs it.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.groups import top_n
-from .common import cut, filled
+from .common import cut, filled, release
 from .components import components
 from .shingles import shingle_hashes, verified
 
@@ -192,6 +192,8 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
     placed = members.join(counts, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = placed.join(nodes.select("node", "n", "sketch"), "node")
     blocks = cut(held.groupBy("band", "key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("held")))
+    del held
+    release(nodes.sparkSession)
 
     def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         """Places of texts that are to be compared, and their band, from one pair of blocks after the other."""
@@ -275,11 +277,13 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
     likely = cut(likely.groupBy("v").agg(F.max(F.struct("like", "u")).alias("best")).select("best.u", "v"))
     links = cut(verified(likely, nodes, rows, shingle, least))
     joined = components(links, "u", "v")
+    release(nodes.sparkSession)
     for partners in PARTNERS:
         marked = shared.select("band", "key", "node").join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         marked = cut(marked)
         mixed = cut(marked.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "key"))
         tried = cut(_between(marked.join(mixed.hint("merge"), ["band", "key"]), nodes, least, partners).select("u", "v"))
+        release(nodes.sparkSession)
         more = cut(verified(tried, nodes, rows, shingle, least))
         if more.limit(1).count():
             links = links.unionByName(more)
@@ -291,6 +295,7 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
 
 def near_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, raw, n, node`` of every row, ``node, component`` of nodes with links); rows without words have no node."""
+    release(docs.sparkSession)
     text = filled(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("raw"), text.alias("text"))
     placed = cut(sketched(rows, shingle))
