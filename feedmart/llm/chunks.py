@@ -116,7 +116,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``REACH`` bytes before it (four words at most) and is met within
     ``within`` words, so a shared passage of 51 words keeps 51 - 4 - 2 * 12 =
     23 between its first and last boundary, wherever it stands; shorter
-    repeats are not found reliably and not returned. The counts per digest are
+    repeats are not found reliably and not returned. Boundaries stand at blanks
+    only: text without blanks (Han or Japanese writing, long hexadecimals,
+    minified code) is one chunk of one word, so what repeats inside it is not
+    found. The counts per digest are
     combined before their shuffle, and chunks meet them in a join that Spark
     may split, so a digest of any frequency is spread.
 

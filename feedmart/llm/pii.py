@@ -188,7 +188,10 @@ def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     professor's title), script (Latin, Cyrillic, Greek or Han; any other
     counts as Latin) and case. Distinct entities get distinct surrogates (see
     ``assign``). Names without a form of address anywhere in their text and
-    postal addresses are not found.
+    postal addresses are not found. A name under several forms of address, or
+    as a first name here and a last name there, is an entity for each and so
+    gets several surrogates; where a person's name is also a common word
+    written with a capital (May), that word is replaced in the same text, too.
 
     Only rows with a mention are shuffled. Returns ``doc_id, n_mentions, kinds,
     mentions, text``, one row per input row; ``mentions`` lists kind, start

@@ -1,4 +1,9 @@
-"""Toxicity scores from the nearest labelled examples by TF-IDF cosine."""
+"""Toxicity scores from the nearest labelled examples by the cosine of label-weighted TF-IDF vectors.
+
+A departure from plain TF-IDF: a word's idf is raised by its tie to the label
+(``TIE``), so neighbours, cosines and evidence are those of such vectors. Words
+are runs of letters and apostrophes; digits and signs are in no word.
+"""
 
 from __future__ import annotations
 
@@ -145,7 +150,7 @@ class Examples:
 
 
 class Model:
-    """Votes of the nearest examples by the cosine of TF-IDF vectors over all words.
+    """Votes of the nearest examples by the cosine of label-weighted TF-IDF vectors over all words.
 
     A word's weight in a text is ``(1 + log count) * idf``, and the words that
     toxic examples hold more often than others weigh more, by their z-score. A
@@ -294,7 +299,7 @@ def toxicity(
     never learnt from. Of the others the ``max_examples`` with the smallest
     hash of the id are the examples: a bounded sample, which makes the index
     and all that is broadcast bounded. Every text is searched by all its words
-    (``Model``) for the ``k`` examples of largest cosine, exactly, through a
+    (``Model``) for the ``k`` examples of largest label-weighted cosine, exactly, through a
     block-max index; document frequencies count all rows. The votes of the
     neighbours are weighted by distance and calibrated (``calibration``).
 
