@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.groups import top_n
-from .common import cut, filled, release
+from .common import Tables, cut, filled, release
 from .components import components
 from .shingles import shingle_hashes, verified
 
@@ -191,9 +191,7 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
     counts = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(counts, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = placed.join(nodes.select("node", "n", "sketch"), "node")
-    blocks = cut(held.groupBy("band", "key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("held")))
-    del held
-    release(nodes.sparkSession)
+    blocks = held.groupBy("band", "key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("held"))
 
     def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         """Places of texts that are to be compared, and their band, from one pair of blocks after the other."""
@@ -242,7 +240,8 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
                         i, j, like = (c[ahead < partners] for c in (i, j, like))
                     yield pa.RecordBatch.from_arrays([x.field(0).take(pa.array(i)), y.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
 
-    # A list of one block is compared with itself where it stands; only longer lists send blocks to each other.
+    # A list of one block is compared with itself where it stands; only longer lists send blocks to each other. Blocks are
+    # not written: each kind is shuffled once, both sides of the longer ones share their shuffle, and sketches are the bulk of it.
     alone = blocks.filter("blocks = 1").select("band", F.lit(True).alias("same"), F.col("held").alias("h_u"), F.col("held").alias("h_v"))
     several = blocks.filter("blocks > 1")
     side = lambda name: several.select("band", "key", F.col("block").alias(f"b_{name}"), F.col("held").alias(f"h_{name}"))
@@ -298,13 +297,16 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, leas
     release(docs.sparkSession)
     text = filled(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("raw"), text.alias("text"))
-    placed = cut(sketched(rows, shingle))
+    # Sketches are most of what is held: rows' own are dropped once texts of the same words are one node, nodes' own at the end.
+    tables = Tables(docs.sparkSession, "sketches")
+    placed = tables.write(sketched(rows, shingle))
     worded = placed.filter("n > 0")
     nodes = worded.groupBy("norm").agg(F.min(F.struct("raw", "n", "sketch")).alias("x"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "norm", F.hex("x.raw").alias("key"), "x.n", "x.sketch"))
+    nodes = tables.write(nodes.select(F.monotonically_increasing_id().alias("node"), "norm", F.hex("x.raw").alias("key"), "x.n", "x.sketch"))
+    known = cut(placed.join(nodes.select("norm", "node"), "norm", "left").select("doc_id", "raw", "n", "node"))
+    tables.drop(placed)
     found = node_components(nodes, rows.select(F.hex("raw").alias("key"), "text"), shingle, least)
-    known = placed.select("doc_id", "raw", "norm", "n").join(nodes.select("norm", "node"), "norm", "left")
-    return known.select("doc_id", "raw", "n", "node"), found
+    return known, tables.close(found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, least: float = 0.8) -> DataFrame:
