@@ -27,6 +27,8 @@ GAP, FEW = 40.0, 64
 CELLS = 512
 #: Texts of one band that are compared at once, and how many partners in other components a text is verified with, round by round; the last is every one.
 BLOCK, PARTNERS = 64, (64, None)
+#: Blocks of one list that a task compares with others.
+RUN = 16
 
 
 def enough(least: float) -> float:
@@ -241,11 +243,15 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
                     yield pa.RecordBatch.from_arrays([x.field(0).take(pa.array(i)), y.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
 
     # A list of one block is compared with itself where it stands; only longer lists send blocks to each other. Blocks are
-    # not written: each kind is shuffled once, both sides of the longer ones share their shuffle, and sketches are the bulk of it.
+    # not written, as sketches are the bulk of what is held.
     alone = blocks.filter("blocks = 1").select("band", F.lit(True).alias("same"), F.col("held").alias("h_u"), F.col("held").alias("h_v"))
+    # Runs of ``RUN`` blocks meet all blocks from their own on; as many tasks share a list as it has runs. Both sides are dealt
+    # here, as a join that Spark splits by size on both sides makes tasks by the square of a list's size.
     several = blocks.filter("blocks > 1")
-    side = lambda name: several.select("band", "key", F.col("block").alias(f"b_{name}"), F.col("held").alias(f"h_{name}"))
-    pairs = side("u").join(side("v"), ["band", "key"]).filter("b_u <= b_v").select("band", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
+    keys, run_of = ["band", "key", "run"], lambda c: F.floor(F.col(c) / RUN).cast("int")
+    one = several.select("band", "key", run_of("block").alias("run"), F.col("block").alias("b_u"), F.col("held").alias("h_u"))
+    other = several.select("band", "key", F.explode(F.sequence(F.lit(0), run_of("block"))).alias("run"), F.col("block").alias("b_v"), F.col("held").alias("h_v"))
+    pairs = one.repartition(*keys).join(other.repartition(*keys).hint("merge"), keys).filter("b_u <= b_v").select("band", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
     pairs = alone.unionByName(pairs)
     found = pairs.mapInArrow(run, "u long, v long, like double")
     return found if partners is None else top_n(found, ["u"], [F.col("like").desc(), "v"], partners)
