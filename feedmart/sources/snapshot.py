@@ -151,18 +151,26 @@ def export_ics(df: DataFrame, tz: str = X.L.TIME_ZONE) -> DataFrame:
     return rows.select("id", "n", vevent.alias("vevent"))
 
 
-def write_ics(entries: DataFrame, path: str) -> None:
-    """A calendar per task that has entries: one frame around all of them, as text with CRLF lines."""
+def write_ics(entries: DataFrame, path: str, most: int = 1 << 22) -> None:
+    """Calendars of about ``most`` characters, a file each: one frame around its entries, as text with CRLF lines.
+
+    A calendar is read back whole, so its size is bounded whatever a task
+    holds; an entry is never cut, and a longer one has a calendar of its own.
+    """
+    head, foot = "BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//events//EN\r\n", "END:VCALENDAR\r"
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = lambda values: pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
-        begun = False
+        calendar = lambda values: pa.RecordBatch.from_arrays([pa.array([f"{head}{''.join(values)}{foot}"], pa.string())], names=["value"])
+        held, size = [], 0
         for batch in batches:
-            if batch.num_rows and not begun:
-                begun = True
-                yield text(["BEGIN:VCALENDAR\r", "VERSION:2.0\r", "PRODID:-//events//EN\r"])
-            yield text([f"{v}\r" for v in batch.column(0).to_pylist()])
-        if begun:
-            yield text(["END:VCALENDAR\r"])
-
-    entries.select("vevent").mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+            for value in batch.column(0):
+                text = f"{value.as_py()}\r\n"
+                if held and size + len(text) > most:
+                    yield calendar(held)
+                    held, size = [], 0
+                held.append(text)
+                size += len(text)
+        if held:
+            yield calendar(held)
+
+    entries.select("vevent").mapInArrow(framed, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)

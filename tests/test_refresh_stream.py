@@ -44,3 +44,20 @@ def test_stream(spark, tmp_path):
     q = refine_stream(stream, lambda ok, bad, n: out.append((ok.count(), bad.count()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [sum(x) for x in zip(*out, strict=True)] == [6, 1]
+
+
+def test_calendars_are_bounded(spark, tmp_path):
+    """One task's entries become several files of bounded size, each one frame, and all entries come back."""
+    from pyspark.sql import functions as F
+
+    from feedmart.sources import ical as I
+    from feedmart.sources import snapshot as S
+
+    rows = spark.createDataFrame([(k, ("x" * 900_000 + " ") * (8 if k == 3 else 1)) for k in range(12)], "k long, text string").coalesce(1)
+    entries = rows.select(F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:u"), "k"), F.lit("DTSTART:20240201T180000Z"), F.concat(F.lit("DESCRIPTION:"), "text"), F.lit("END:VEVENT")).alias("vevent"))
+    S.write_ics(entries, f"{tmp_path}/ics")
+    files = [r.payload for r in I.read_payloads(spark, f"{tmp_path}/ics").collect() if r.payload]
+    assert len(files) >= 4 and sorted(len(f) > 4_200_000 for f in files)[:-1] == [False] * (len(files) - 1)
+    assert all(f.startswith("BEGIN:VCALENDAR\r\n") and f.endswith("END:VCALENDAR\r\n") and f.count("VCALENDAR") == 2 for f in files)
+    got = I.read_ics(spark, f"{tmp_path}/ics").select("uid", F.length("description").alias("n")).collect()
+    assert {r.uid: r.n for r in got} == {f"u{k}": 900_000 if k != 3 else 8 * 900_001 - 1 for k in range(12)}
