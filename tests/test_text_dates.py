@@ -79,3 +79,16 @@ def test_url_state(spark):
     got = one(spark, B.parse_state(F.lit("https://x.org/?date=week&q=+jazz+night+&category=Nope&source=src1"), ["Arts"], ["src1"]))[0]
     assert (got.date_range, got.query, got.category, got.source, got.explicit) == ("week", "jazz night", "All", "src1", True)
     assert one(spark, B.build_state(F.lit("week"), F.lit("a b"), F.lit("All"), F.lit("src1"))) == ["date=week&q=a+b&source=src1"]
+
+
+def test_stems_in_two_passes(spark):
+    """Stems are those of the plain rule, and no ending is looked for more than twice in a word."""
+    from feedmart.functions import text as X
+    from feedmart.plans.search import _stem_word
+
+    words = sorted({a + b for a in ("x", "ab", "run", "runn", "class", "fizz", "stor", "bus", "éclai", "speed") for b in ("", "s", "ss", "us", "sses", "ies", "ing", "ings", "ed", "eds", "nning", "tted", "inged")})
+    df = spark.createDataFrame([(" ".join(words),)], "text string").select(X.tokenize("text").alias("t"))
+    kept = list(dict.fromkeys(_stem_word(w) for w in words if len(w) >= 2 and w not in X.L.STOP_WORDS))
+    folded = [w.replace("é", "e") for w in kept]
+    assert df.first().t == list(dict.fromkeys(w for w in folded if len(w) >= 2))
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("endswith(") <= 10
