@@ -13,7 +13,7 @@ from ..operators import groups as G
 from ..operators import health as H
 from ..operators import rows as R
 from ..sources import snapshot as S
-from .blocks import best_scores
+from .blocks import shard_best
 from .browse import publish_keys
 from .grams import holding
 from .index import build_index
@@ -100,8 +100,8 @@ def eval_golden(queries: DataFrame, blocks: DataFrame, events: DataFrame, n: int
 
     ``blocks`` are those of ``impact_blocks``, best stored by ``store_blocks``;
     ``events`` has ``id, title`` and ``pos``, the position in the index. Titles
-    that hold a query as it is are found by its grams; blocks that cannot hold
-    one of a query's ``n`` best are not read.
+    that hold a query as it is are found by its grams; queries and blocks meet in
+    shards of positions, of which each hands on a query's ``n`` best.
     """
     from ..functions import text as X
 
@@ -110,5 +110,5 @@ def eval_golden(queries: DataFrame, blocks: DataFrame, events: DataFrame, n: int
     titles = events.select("pos", "title")
     held = holding(asked, titles, "query_id", "low", "pos", F.lower("title"))
     bonus = cut(held.join(asked.select("query_id", (F.size("tokens") * L.TITLE_PHRASE).alias("points")), "query_id"))
-    scores, _, _ = best_scores(asked.select("query_id", F.explode("tokens").alias("token"), F.lit(1.0).alias("factor")), blocks, n, bonus)
+    scores = shard_best(asked.select("query_id", F.explode("tokens").alias("token"), F.lit(1.0).alias("factor")), blocks, n, events, bonus)
     return G.with_rank(scores.join(events.select("pos", "id"), "pos"), ["query_id"], [F.col("score").desc(), "id"]).filter(F.col("rank") <= n).select("query_id", "id", "rank", "score")
