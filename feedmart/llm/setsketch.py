@@ -27,7 +27,7 @@ GAP, FEW = 40.0, 64
 CELLS = 512
 #: Texts of one band that are compared at once, and how many partners in other components a text is verified with, round by round; the last is every one.
 BLOCK, PARTNERS = 64, (64, None)
-#: Blocks of one list that a task compares with others.
+#: Blocks of one list that a task compares with others; a list of no more blocks is compared with itself in one row.
 RUN = 16
 
 
@@ -186,14 +186,15 @@ def _sift_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int | None) -> DataFrame:
     """``u, v, like`` of pairs in one band's list that are in different components and whose sketches allow the similarity; of each ``u`` the likeliest ``partners``.
 
-    Lists are cut into blocks of about ``BLOCK`` texts, and pairs of blocks are
-    compared inside a task, register by register; only what stays is handed on.
-    A pair is looked at in the first band that it shares, so it comes once.
+    Lists of up to ``RUN * BLOCK`` texts are compared with themselves inside a
+    task, register by register; longer ones are cut into blocks of about
+    ``BLOCK`` texts, and pairs of blocks are compared. Only what stays is handed
+    on. A pair is looked at in the first band that it shares, so it comes once.
     """
     counts = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(counts, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = placed.join(nodes.select("node", "n", "sketch"), "node")
-    blocks = held.groupBy("band", "key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("held"))
+    gathered_rows = F.collect_list(F.struct("node", "component", "n", "sketch"))
 
     def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         """Places of texts that are to be compared, and their band, from one pair of blocks after the other."""
@@ -242,16 +243,17 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
                         i, j, like = (c[ahead < partners] for c in (i, j, like))
                     yield pa.RecordBatch.from_arrays([x.field(0).take(pa.array(i)), y.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
 
-    # A list of one block is compared with itself where it stands; only longer lists send blocks to each other. Blocks are
-    # not written, as sketches are the bulk of what is held.
-    alone = blocks.filter("blocks = 1").select("band", F.lit(True).alias("same"), F.col("held").alias("h_u"), F.col("held").alias("h_v"))
+    # Sketches are the bulk of what is held, so they are dealt once: a list of up to ``RUN`` blocks meets in one row, blocks of
+    # longer ones are gathered where they are compared, and neither is written.
+    alone = held.filter(F.col("blocks") <= RUN).groupBy("band", "key").agg(gathered_rows.alias("h_u")).select("band", F.lit(True).alias("same"), "h_u", F.col("h_u").alias("h_v"))
     # Runs of ``RUN`` blocks meet all blocks from their own on; as many tasks share a list as it has runs. Both sides are dealt
     # here, as a join that Spark splits by size on both sides makes tasks by the square of a list's size.
-    several = blocks.filter("blocks > 1")
-    keys, run_of = ["band", "key", "run"], lambda c: F.floor(F.col(c) / RUN).cast("int")
-    one = several.select("band", "key", run_of("block").alias("run"), F.col("block").alias("b_u"), F.col("held").alias("h_u"))
-    other = several.select("band", "key", F.explode(F.sequence(F.lit(0), run_of("block"))).alias("run"), F.col("block").alias("b_v"), F.col("held").alias("h_v"))
-    pairs = one.repartition(*keys).join(other.repartition(*keys).hint("merge"), keys).filter("b_u <= b_v").select("band", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
+    several = held.filter(F.col("blocks") > RUN).withColumn("run", F.floor(F.col("block") / RUN).cast("int"))
+    keys = ["band", "key", "run"]
+    dealt = lambda rows, block, name: rows.repartition(*keys).groupBy(*keys, "block").agg(gathered_rows.alias(name)).withColumnRenamed("block", block)
+    one = dealt(several, "b_u", "h_u")
+    other = dealt(several.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("run")))), "b_v", "h_v")
+    pairs = one.join(other.hint("merge"), keys).filter("b_u <= b_v").select("band", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
     pairs = alone.unionByName(pairs)
     found = pairs.mapInArrow(run, "u long, v long, like double")
     return found if partners is None else top_n(found, ["u"], [F.col("like").desc(), "v"], partners)

@@ -146,6 +146,21 @@ def test_near_duplicates(spark, near, block, monkeypatch):
     assert len(set(want)) < len(near) - 20
 
 
+def test_long_lists(spark, near, monkeypatch):
+    """Lists of several runs of blocks give what lists in one row give, and no sketch is dealt twice on the way to either."""
+    monkeypatch.setattr(M, "BLOCK", 3)
+    monkeypatch.setattr(M, "RUN", 2)
+    ids = list(range(len(near)))
+    df = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in zip(ids, near, strict=True)], DDL).repartition(3)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df).collect()}
+    assert got == dict(zip(ids, brute_components(near, ids), strict=True))
+    nodes = spark.createDataFrame([], "node long, n long, sketch binary")
+    plan = M._between(spark.createDataFrame([], "band int, key long, node long, component long"), nodes, 0.8, None)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(band" in line]
+    # Three forms of lists, each dealt once with its sketches, and before that twice by rows without sketches.
+    assert len(dealt) == 9
+
+
 def test_near_duplicates_edges(spark):
     """No rows; null and repeated ids."""
     empty = spark.createDataFrame([], DDL)
