@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
@@ -14,6 +14,7 @@ from ..operators.groups import top_n
 from .common import Tables, cut, filled, release
 from .components import components
 from .shingles import shingle_hashes, verified
+from .simhash import fingerprint
 
 #: Registers, their base, their rate and the largest value of one.
 REGISTERS, BASE, RATE, TOP = 256, 1.001, 20.0, 65535
@@ -136,18 +137,18 @@ def sifted(a: np.ndarray, b: np.ndarray, cells_a: np.ndarray, cells_b: np.ndarra
     return stays, best
 
 
-def sketched(rows: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, raw, norm, n, sketch`` of every row ``doc_id, raw, text``: MD5 of its words, number of shingles, registers and cells; no words give null ones."""
+def sketched(rows: DataFrame, shingle: int, simhash: bool = False) -> DataFrame:
+    """``doc_id, raw, norm, n, sketch, fp`` of every row ``doc_id, raw, text``: MD5 of its words, number of shingles, registers and cells, SimHash if asked for; no words give null ones."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, bytes]] = {}
+        held: dict[bytes, tuple[int, bytes, int | None]] = {}
         for batch in batches:
-            norms, sizes, made = [], [], []
+            norms, sizes, made, prints = [], [], [], []
             for value in batch.column(2):
                 words = value.as_py().lower().split()
                 if not words:
-                    norms.append(None), sizes.append(0), made.append(None)
+                    norms.append(None), sizes.append(0), made.append(None), prints.append(None)
                     continue
                 line = b" ".join(words)
                 norm = hashlib.md5(line).digest()
@@ -155,11 +156,13 @@ def sketched(rows: DataFrame, shingle: int) -> DataFrame:
                     if len(held) >= 1000:
                         held.clear()
                     own = shingle_hashes(line, shingle)
-                    held[norm] = len(own), sketch(own).tobytes() + cell_counts(own).tobytes()
-                norms.append(norm), sizes.append(held[norm][0]), made.append(held[norm][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(norms, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "raw", "norm", "n", "sketch"])
+                    bits = int(np.uint64(fingerprint(line, shingle)).view(np.int64)) if simhash else None
+                    held[norm] = len(own), sketch(own).tobytes() + cell_counts(own).tobytes(), bits
+                norms.append(norm), sizes.append(held[norm][0]), made.append(held[norm][1]), prints.append(held[norm][2])
+            columns = [pa.array(norms, pa.binary()), pa.array(sizes, pa.int64()), pa.array(made, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "raw", "norm", "n", "sketch", "fp"])
 
-    return rows.select("doc_id", "raw", "text").mapInArrow(run, "doc_id long, raw binary, norm binary, n long, sketch binary")
+    return rows.select("doc_id", "raw", "text").mapInArrow(run, "doc_id long, raw binary, norm binary, n long, sketch binary, fp long")
 
 
 def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -259,9 +262,12 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
     return found if partners is None else top_n(found, ["u"], [F.col("like").desc(), "v"], partners)
 
 
-def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: float, proposed: DataFrame | None = None) -> DataFrame:
     """``node, component`` of the nodes that have links; ``nodes`` has ``node, key, n, sketch``, ``rows`` ``key, text`` of each node's text.
 
+    Pairs ``u, v`` that another method proposes are verified before all else;
+    what they join is not compared again.
+
     First each band's list is compared with its member that shares the most
     lists with others (of copies of one text that is that text), for each text
     only with the likeliest one, which joins large groups of copies by as many
@@ -280,9 +286,16 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
     hubs = shared.join(cut(met).hint("merge"), "node").groupBy("band", "key").agg(F.max(F.struct("met", "node")).alias("hub")).select("band", "key", F.col("hub.node").alias("hub"))
     first = shared.join(cut(hubs).hint("merge"), ["band", "key"]).filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "node").groupBy("a", "b").agg(F.min("node").alias("v"))
     first = first.select(F.when(F.col("v") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("u"), "v")
+    begun = None
+    if proposed is not None:
+        begun = cut(verified(cut(proposed), nodes, rows, shingle, least))
+        known = components(begun, "u", "v")
+        at = lambda name: known.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+        first = first.join(at("u").hint("merge"), "u", "left").join(at("v").hint("merge"), "v", "left").filter("c_u is null or c_v is null or c_u <> c_v").select("u", "v")
     likely = _sift_pairs(first, nodes, least)
     likely = cut(likely.groupBy("v").agg(F.max(F.struct("like", "u")).alias("best")).select("best.u", "v"))
     links = cut(verified(likely, nodes, rows, shingle, least))
+    links = links if begun is None else links.unionByName(begun)
     joined = components(links, "u", "v")
     release(nodes.sparkSession)
     for partners in PARTNERS:
@@ -300,20 +313,21 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
     return joined
 
 
-def near_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, raw, n, node`` of every row, ``node, component`` of nodes with links); rows without words have no node."""
+def near_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, proposing: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, raw, n, node`` of every row, ``node, component`` of nodes with links); rows without words have no node. ``proposing`` gives pairs from the nodes' ``node, fp``."""
     release(docs.sparkSession)
     text = filled(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("raw"), text.alias("text"))
     # Sketches are most of what is held: rows' own are dropped once texts of the same words are one node, nodes' own at the end.
     tables = Tables(docs.sparkSession, "sketches")
-    placed = tables.write(sketched(rows, shingle))
+    placed = tables.write(sketched(rows, shingle, proposing is not None))
     worded = placed.filter("n > 0")
-    nodes = worded.groupBy("norm").agg(F.min(F.struct("raw", "n", "sketch")).alias("x"))
-    nodes = tables.write(nodes.select(F.monotonically_increasing_id().alias("node"), "norm", F.hex("x.raw").alias("key"), "x.n", "x.sketch"))
+    nodes = worded.groupBy("norm").agg(F.min(F.struct("raw", "n", "sketch", "fp")).alias("x"))
+    nodes = tables.write(nodes.select(F.monotonically_increasing_id().alias("node"), "norm", F.hex("x.raw").alias("key"), "x.n", "x.sketch", "x.fp"))
     known = cut(placed.join(nodes.select("norm", "node"), "norm", "left").select("doc_id", "raw", "n", "node"))
     tables.drop(placed)
-    found = node_components(nodes, rows.select(F.hex("raw").alias("key"), "text"), shingle, least)
+    proposed = None if proposing is None else proposing(nodes.select("node", "fp"))
+    found = node_components(nodes, rows.select(F.hex("raw").alias("key"), "text"), shingle, least, proposed)
     return known, tables.close(found)
 
 

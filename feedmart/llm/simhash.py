@@ -194,6 +194,13 @@ def midpoint_links(members: DataFrame, most: int) -> DataFrame:
     return dealt.mapInArrow(link, "u long, v long")
 
 
+def fingerprint_links(distinct: DataFrame, most: int, pairwise: int = PAIRWISE) -> DataFrame:
+    """``u, v`` links that join the distinct fingerprints ``fp`` as all pairs within ``most`` bits would."""
+    found = cut(index_links(distinct, most, pairwise).distinct())
+    many = found.filter("kind = 1").select(F.col("u").alias("fp"))
+    return found.filter("kind = 0").select("u", "v").unionByName(midpoint_links(many, most).distinct())
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, pairwise: int = PAIRWISE
 ) -> DataFrame:
@@ -213,10 +220,7 @@ def near_duplicates(
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    found = cut(index_links(nodes.select("fp"), most, pairwise).distinct())
-    many = found.filter("kind = 1").select(F.col("u").alias("fp"))
-    links = found.filter("kind = 0").select("u", "v").unionByName(midpoint_links(many, most).distinct())
-    joined = components(links, "u", "v")
+    joined = components(fingerprint_links(nodes.select("fp"), most, pairwise), "u", "v")
     named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     named = cut(named)
     lowest = cut(named.groupBy("component").agg(F.min("low").alias("component_id")))  # cut, so that the join can be split

@@ -137,6 +137,20 @@ def test_near_stage_equals_brute_force(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(low.values()))
 
 
+def test_near_stage_goes_by_fingerprints(spark, monkeypatch):
+    """SimHash links alone join copies with one changed word among many; without bands these are all that is found."""
+    from feedmart.llm import setsketch
+
+    monkeypatch.setattr(setsketch, "_between", lambda members, *_: members.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("like")))
+    monkeypatch.setattr(setsketch, "_sift_pairs", lambda pairs, *_: pairs.select("u", "v", F.lit(0.0).alias("like")).filter("false"))
+    rng = np.random.default_rng(5)
+    a, b = ([f"w{w}" for w in rng.integers(0, 9000, 1500)] for _ in range(2))
+    texts = [" ".join(w) for w in (a, [*a[:-1], "changed"], ["other", *a[1:]], b)]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    out = corpus_pipeline.remove_near_copies(spark, docs.repartition(2), SF)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 3]
+
+
 def test_stages_with_repeated_and_null_ids(spark):
     """A row is its id and text: what one row loses, another row of that id keeps; null ids take part."""
     rng = np.random.default_rng(8)
