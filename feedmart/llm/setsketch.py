@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.groups import top_n
 from .common import Tables, cut, filled, release
 from .components import components
-from .shingles import shingle_hashes, verified
+from .shingles import among, shingle_hashes, verified
 from .simhash import fingerprint
 
 #: Registers, their base, their rate and the largest value of one.
@@ -95,6 +95,16 @@ def cell_counts(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((_mix(hashes.view(np.uint64)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
 
 
+#: Equal half-bytes in an exclusive or of two bytes.
+_ALIKE = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
+
+
+def marks(registers: np.ndarray) -> np.ndarray:
+    """The lowest four bits of each register, two in a byte: equal registers have equal ones, so these are no fewer."""
+    low = (registers & 15).astype(np.uint8)
+    return low[:, ::2] | (low[:, 1::2] << 4)
+
+
 def likelihood_gap(greater: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(similarity of greatest likelihood, twice the log-likelihood it has above that of similarity ``least``, 0 where it is larger itself).
 
@@ -173,7 +183,8 @@ def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sift_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """``u, v, like`` of the pairs ``u, v`` whose sketches allow the similarity."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    known = among(nodes.select("node", "n", "sketch"), "node", pairs.select(F.explode(F.array("u", "v")).alias("node")))
+    side = lambda name: known.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,69 +197,19 @@ def _sift_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u long, v long, like double")
 
 
-def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int | None) -> DataFrame:
-    """``u, v, like`` of pairs in one band's list that are in different components and whose sketches allow the similarity; of each ``u`` the likeliest ``partners``.
+def _block_pairs(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """``band, key, same, h_u, h_v``: pairs of blocks of one band's list, with what ``parts`` has of each member.
 
-    Lists of up to ``RUN * BLOCK`` texts are compared with themselves inside a
-    task, register by register; longer ones are cut into blocks of about
-    ``BLOCK`` texts, and pairs of blocks are compared. Only what stays is handed
-    on. A pair is looked at in the first band that it shares, so it comes once.
+    Lists of up to ``RUN * BLOCK`` texts are one block that meets itself; longer
+    ones are cut into blocks of about ``BLOCK`` texts.
     """
     counts = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(counts, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = placed.join(nodes.select("node", "n", "sketch"), "node")
-    gathered_rows = F.collect_list(F.struct("node", "component", "n", "sketch"))
-
-    def pairs_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        """Places of texts that are to be compared, and their band, from one pair of blocks after the other."""
-        one, other = batch.column(2), batch.column(3)
-        component = [c.values.field(1).to_numpy() for c in (one, other)]
-        size = [c.values.field(2).to_numpy() for c in (one, other)]
-        ends = [c.offsets.to_numpy() for c in (one, other)]
-        for row, (band, same) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            (a, b), (c, d) = (e[row : row + 2] for e in ends)
-            x, y = size[0][a:b, None], size[1][None, c:d]
-            near = (component[0][a:b, None] != component[1][None, c:d]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9)
-            i, j = np.nonzero(np.triu(near, 1) if same else near)
-            yield i + a, j + c, np.full(len(i), band)
-
-    def gathered(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
-        """The same in portions of bounded size."""
-        held: list[tuple[np.ndarray, ...]] = []
-        for p in pairs:
-            held.append(p)
-            if sum(len(h[0]) for h in held[-64:]) >= 8192 or len(held) >= 4096:
-                yield [np.concatenate(c) for c in zip(*held, strict=True)]
-                held = []
-        if held:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (batch.column(k).values for k in (2, 3))
-            (sx, cx), (sy, cy) = _parts(x.field(3)), _parts(y.field(3))
-            for every in gathered(pairs_of(batch)):
-                for at in range(0, len(every[0]), 8192):
-                    i, j, band = (c[at : at + 8192] for c in every)
-                    equal = sx[i] == sy[j]
-                    whole = equal[:, : BANDS * BAND].reshape(len(i), BANDS, BAND).all(axis=2)
-                    some = np.flatnonzero((equal.sum(axis=1) >= enough(least)) & (whole.argmax(axis=1) == band))
-                    i, j = i[some], j[some]
-                    stays, like = sifted(sx[i], sy[j], cx[i], cy[j], x.field(2).to_numpy()[i], y.field(2).to_numpy()[j], least)
-                    i, j, like = i[stays], j[stays], like[stays]
-                    if partners is not None and len(i):
-                        order = np.lexsort((-like, i))
-                        i, j, like = i[order], j[order], like[order]
-                        start = np.flatnonzero(np.diff(i, prepend=-1))
-                        ahead = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-                        i, j, like = (c[ahead < partners] for c in (i, j, like))
-                    yield pa.RecordBatch.from_arrays([x.field(0).take(pa.array(i)), y.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
-
+    held = placed.join(among(parts, "node", members), "node")
+    gathered_rows = F.collect_list(F.struct("node", "component", *[c for c in parts.columns if c != "node"]))
     # Sketches are the bulk of what is held, so they are dealt once: a list of up to ``RUN`` blocks meets in one row, blocks of
     # longer ones are gathered where they are compared, and neither is written.
-    alone = held.filter(F.col("blocks") <= RUN).groupBy("band", "key").agg(gathered_rows.alias("h_u")).select("band", F.lit(True).alias("same"), "h_u", F.col("h_u").alias("h_v"))
+    alone = held.filter(F.col("blocks") <= RUN).groupBy("band", "key").agg(gathered_rows.alias("h_u")).select("band", "key", F.lit(True).alias("same"), "h_u", F.col("h_u").alias("h_v"))
     # Runs of ``RUN`` blocks meet all blocks from their own on; as many tasks share a list as it has runs. Both sides are dealt
     # here, as a join that Spark splits by size on both sides makes tasks by the square of a list's size.
     several = held.filter(F.col("blocks") > RUN).withColumn("run", F.floor(F.col("block") / RUN).cast("int"))
@@ -256,9 +217,104 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
     dealt = lambda rows, block, name: rows.repartition(*keys).groupBy(*keys, "block").agg(gathered_rows.alias(name)).withColumnRenamed("block", block)
     one = dealt(several, "b_u", "h_u")
     other = dealt(several.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("run")))), "b_v", "h_v")
-    pairs = one.join(other.hint("merge"), keys).filter("b_u <= b_v").select("band", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
-    pairs = alone.unionByName(pairs)
-    found = pairs.mapInArrow(run, "u long, v long, like double")
+    pairs = one.join(other.hint("merge"), keys).filter("b_u <= b_v").select("band", "key", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
+    return alone.unionByName(pairs)
+
+
+def _pairs_of(batch: pa.RecordBatch, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places of texts that are to be compared, in different components and of like size, and their row, from one pair of blocks after the other."""
+    one, other = batch.column(3), batch.column(4)
+    component = [c.values.field(1).to_numpy() for c in (one, other)]
+    size = [c.values.field(2).to_numpy() for c in (one, other)]
+    ends = [c.offsets.to_numpy() for c in (one, other)]
+    for row, same in enumerate(batch.column(2).to_pylist()):
+        (a, b), (c, d) = (e[row : row + 2] for e in ends)
+        x, y = size[0][a:b, None], size[1][None, c:d]
+        near = (component[0][a:b, None] != component[1][None, c:d]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9)
+        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        yield i + a, j + c, np.full(len(i), row)
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """The same in portions of bounded size."""
+    held: list[tuple[np.ndarray, ...]] = []
+    portion = lambda: [np.concatenate(c) for c in zip(*held, strict=True)]
+    for p in pairs:
+        held.append(p)
+        if sum(len(h[0]) for h in held[-64:]) >= 8192 or len(held) >= 4096:
+            every, held = portion(), []
+            yield from ([c[at : at + 8192] for c in every] for at in range(0, len(every[0]), 8192))
+    if held:
+        every = portion()
+        yield from ([c[at : at + 8192] for c in every] for at in range(0, len(every[0]), 8192))
+
+
+def _partnered(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """``band, key, node`` of the members of lists that may have a link there to another component: by the marks of their sketches, an eighth of these.
+
+    Most texts that meet in a list by chance have no partner in it, so their
+    sketches are not dealt. Equal marks are no fewer than equal registers, so
+    no pair goes here that ``_between`` would keep.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = marks(_parts(batch.column(2))[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "n", "mark"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = [batch.column(k).values for k in (3, 4)]
+            x, y = (np.frombuffer(b"".join(s.field(3).to_pylist()), np.uint8).reshape(-1, REGISTERS // 2) for s in sides)
+            met = [np.zeros(len(s), bool) for s in sides]
+            for i, j, _ in _gathered(_pairs_of(batch, least)):
+                new = ~(met[0][i] & met[1][j])
+                i, j = i[new], j[new]
+                some = _ALIKE[x[i] ^ y[j]].sum(axis=1, dtype=np.int64) >= enough(least)
+                met[0][i[some]], met[1][j[some]] = True, True
+            for k, column, side in zip(range(2), (3, 4), sides, strict=True):
+                at = np.flatnonzero(met[k])
+                row = pa.array(np.searchsorted(batch.column(column).offsets.to_numpy(), at, "right") - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), side.field(0).take(pa.array(at))], names=["band", "key", "node"])
+
+    parts = among(nodes.select("node", "n", "sketch"), "node", members).mapInArrow(marked, "node long, n long, mark binary")
+    return _block_pairs(members, parts).mapInArrow(run, "band int, key long, node long").distinct()
+
+
+def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int | None) -> DataFrame:
+    """``u, v, like`` of pairs in one band's list that are in different components and whose sketches allow the similarity; of each ``u`` the likeliest ``partners``.
+
+    Blocks of lists are compared inside a task, register by register. Only what
+    stays is handed on. A pair is looked at in the first band that it shares,
+    so it comes once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (batch.column(k).values for k in (3, 4))
+            (sx, cx), (sy, cy) = _parts(x.field(3)), _parts(y.field(3))
+            bands = batch.column(0).to_numpy()
+            for i, j, row in _gathered(_pairs_of(batch, least)):
+                equal = sx[i] == sy[j]
+                whole = equal[:, : BANDS * BAND].reshape(len(i), BANDS, BAND).all(axis=2)
+                some = np.flatnonzero((equal.sum(axis=1) >= enough(least)) & (whole.argmax(axis=1) == bands[row]))
+                i, j = i[some], j[some]
+                stays, like = sifted(sx[i], sy[j], cx[i], cy[j], x.field(2).to_numpy()[i], y.field(2).to_numpy()[j], least)
+                i, j, like = i[stays], j[stays], like[stays]
+                if partners is not None and len(i):
+                    order = np.lexsort((-like, i))
+                    i, j, like = i[order], j[order], like[order]
+                    start = np.flatnonzero(np.diff(i, prepend=-1))
+                    ahead = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+                    i, j, like = (c[ahead < partners] for c in (i, j, like))
+                yield pa.RecordBatch.from_arrays([x.field(0).take(pa.array(i)), y.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
+
+    found = _block_pairs(members, nodes.select("node", "n", "sketch")).mapInArrow(run, "u long, v long, like double")
     return found if partners is None else top_n(found, ["u"], [F.col("like").desc(), "v"], partners)
 
 
@@ -273,7 +329,8 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
     only with the likeliest one, which joins large groups of copies by as many
     comparisons as they have texts. Then the lists that still hold several
     components are searched for pairs between two of them that the sketches
-    allow: each text's likeliest few are verified and joined first, then more,
+    allow: members that their marks leave a partner there are compared by whole
+    sketches, each text's likeliest few are verified and joined first, then more,
     and in the end every pair whose components that has not joined. So no pair
     that shares a band and may be linked between components goes unread, and a
     large group is joined before its pairs are many.
@@ -292,24 +349,34 @@ def node_components(nodes: DataFrame, rows: DataFrame, shingle: int, least: floa
         known = components(begun, "u", "v")
         at = lambda name: known.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
         first = first.join(at("u").hint("merge"), "u", "left").join(at("v").hint("merge"), "v", "left").filter("c_u is null or c_v is null or c_u <> c_v").select("u", "v")
-    likely = _sift_pairs(first, nodes, least)
+    likely = _sift_pairs(cut(first), nodes, least)
     likely = cut(likely.groupBy("v").agg(F.max(F.struct("like", "u")).alias("best")).select("best.u", "v"))
     links = cut(verified(likely, nodes, rows, shingle, least))
     links = links if begun is None else links.unionByName(begun)
     joined = components(links, "u", "v")
     release(nodes.sparkSession)
+    may = shared.select("band", "key", "node")
     for partners in PARTNERS:
-        marked = shared.select("band", "key", "node").join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        marked = cut(marked)
+        marked = cut(may.join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")))
         mixed = cut(marked.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "key"))
-        tried = cut(_between(marked.join(mixed.hint("merge"), ["band", "key"]), nodes, least, partners).select("u", "v"))
+        met = cut(marked.join(mixed.hint("merge"), ["band", "key"]))
+        if partners == PARTNERS[0]:  # components only grow, so who has no partner now has none later
+            may = cut(_partnered(met, nodes, least))
+            met = cut(met.join(may.hint("merge"), ["band", "key", "node"]))
+        tried = cut(_between(met, nodes, least, partners).select("u", "v"))
         release(nodes.sparkSession)
         more = cut(verified(tried, nodes, rows, shingle, least))
         if more.limit(1).count():
             links = links.unionByName(more)
             joined = components(links, "u", "v")
-        if partners is None or not tried.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= partners).limit(1).count():
-            break  # no text has partners left
+        if partners is None:
+            break
+        # A pair that was left out has a text with all its partners tried, so only such texts' lists are searched again.
+        full = cut(tried.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= partners).select(F.col("u").alias("node")))
+        if not full.limit(1).count():
+            break
+        again = cut(may.join(full.hint("merge"), "node").select("band", "key").distinct())
+        may = cut(may.join(again.hint("merge"), ["band", "key"]).select("band", "key", "node"))
     return joined
 
 

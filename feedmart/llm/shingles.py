@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -34,18 +35,36 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
+
+
+def _bitmap(need: DataFrame, column: str) -> Broadcast[np.ndarray]:
+    """``BITS`` hash values of the column, packed: all that is gathered, whatever the number of rows."""
+    bits = np.zeros(BITS, bool)
+    bits[need.select(_slot(column).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    return need.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+def among(rows: DataFrame, column: str, need: DataFrame) -> DataFrame:
+    """The rows without most of those whose ``column`` is not in ``need``, before they are shuffled; rows that meet a bit by chance fall out in the join."""
+    shared, names = _bitmap(need, column), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            chosen = batch.filter(pa.array(held[batch.column(batch.num_columns - 1).to_numpy()]))
+            yield pa.RecordBatch.from_arrays(chosen.columns[:-1], names=names)
+
+    return rows.withColumn("_slot", _slot(column)).mapInArrow(run, rows.schema)
+
+
 def maybe_needed(rows: DataFrame, need: DataFrame) -> DataFrame:
     """Rows ``key, text`` without most of those whose key is not in ``need``, before texts are shuffled.
 
-    A bitmap of ``BITS`` hash values is all that is gathered, whatever the
-    number of keys; rows that meet a bit by chance fall out in the join. Of
-    equal keys a task hands on one.
+    A bitmap stands for the keys, as in ``among``. Of equal keys a task hands on one.
     """
-    slot = F.pmod(F.xxhash64("key"), F.lit(BITS))
-    found = need.select(slot.cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    bits = np.zeros(BITS, bool)
-    bits[found] = True
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = _bitmap(need, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = np.unpackbits(shared.value).astype(bool), set()
@@ -59,7 +78,7 @@ def maybe_needed(rows: DataFrame, need: DataFrame) -> DataFrame:
             chosen = chosen.filter(pa.array(fresh, pa.bool_()))
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["key", "text"])
 
-    return rows.select("key", "text", slot.cast("int").alias("slot")).mapInArrow(run, "key string, text binary")
+    return rows.select("key", "text", _slot("key").alias("slot")).mapInArrow(run, "key string, text binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:

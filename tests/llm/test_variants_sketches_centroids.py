@@ -161,6 +161,41 @@ def test_long_lists(spark, near, monkeypatch):
     assert len(dealt) == 9
 
 
+def test_sketches_go_to_partners_only(spark, monkeypatch):
+    """Of texts that meet in bands by chance, only those with a likely partner there hand on whole sketches; again only in lists of a text whose partners were too many."""
+    rng = random.Random(3)
+    monkeypatch.setattr(M, "BAND", 1)  # nearly all texts meet
+    monkeypatch.setattr(M, "BANDS", 20)
+    common = [f"c{k}" for k in range(40)]
+    texts = [" ".join([*common, *(f"w{rng.randrange(10**6)}" for _ in range(100))]) for _ in range(40)]
+    words = [f"x{k}" for k in range(120)]
+    group = []
+    for k in range(6):  # a chain: each is near the next one only
+        group.append(" ".join(words[10 * k :] + [f"y{j}" for j in range(10 * k)]))
+    texts += group
+    seen, between = [], M._between
+
+    def counted(members, nodes, least, partners):
+        seen.append((partners, members.select("node").distinct().count()))
+        return between(members, nodes, least, partners)
+
+    monkeypatch.setattr(M, "_between", counted)
+    monkeypatch.setattr(M, "PARTNERS", (1, None))
+    df = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in enumerate(texts)], DDL).repartition(2)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df).collect()}
+    assert got == dict(enumerate(brute_components(texts, list(range(len(texts))))))
+    assert seen and all(n <= len(group) for _, n in seen)
+
+
+def test_marks():
+    """Equal marks are no fewer than equal registers."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 65536, (200, M.REGISTERS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.6, a, rng.integers(0, 65536, a.shape)).astype(np.uint16)
+    met = M._ALIKE[M.marks(a) ^ M.marks(b)].sum(axis=1, dtype=np.int64)
+    assert (met == ((a & 15) == (b & 15)).sum(axis=1)).all() and (met >= (a == b).sum(axis=1)).all()
+
+
 def test_near_duplicates_edges(spark):
     """No rows; null and repeated ids."""
     empty = spark.createDataFrame([], DDL)
