@@ -175,10 +175,16 @@ def sketched(rows: DataFrame, shingle: int, simhash: bool = False) -> DataFrame:
     return rows.select("doc_id", "raw", "text").mapInArrow(run, "doc_id long, raw binary, norm binary, n long, sketch binary, fp long")
 
 
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A row of ``width`` bytes for each value, with no Python object made of any."""
+    own = column.cast(pa.binary(width))
+    return np.frombuffer(own.buffers()[1], np.uint8)[own.offset * width : (own.offset + len(own)) * width].reshape(-1, width)
+
+
 def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Registers and cells."""
-    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * REGISTERS + CELLS)
-    return np.ascontiguousarray(both[:, : 2 * REGISTERS]).view(np.uint16), both[:, 2 * REGISTERS :]
+    both = _bytes(column, 2 * REGISTERS + CELLS)
+    return both.view(np.uint16)[:, :REGISTERS], both[:, 2 * REGISTERS :]
 
 
 def _sift_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -198,18 +204,21 @@ def _sift_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """``band, key, same, h_u, h_v``: pairs of blocks of one band's list, with what ``parts`` has of each member.
+    """``band, key, first, held``: pairs of blocks of one band's list, with what ``parts`` has of each member.
 
-    Lists of up to ``RUN * BLOCK`` texts are one block that meets itself; longer
-    ones are cut into blocks of about ``BLOCK`` texts.
+    ``held`` has the members of both blocks, those of the one before those of
+    the other, and ``first`` how many the one has; it is 0 for a block that
+    meets itself, which is held once. ``parts`` may have more rows than those
+    of members. Lists of up to ``RUN * BLOCK`` texts are one block that meets
+    itself; longer ones are cut into blocks of about ``BLOCK`` texts.
     """
     counts = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(counts, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = placed.join(among(parts, "node", members), "node")
+    held = placed.join(parts, "node")
     gathered_rows = F.collect_list(F.struct("node", "component", *[c for c in parts.columns if c != "node"]))
     # Sketches are the bulk of what is held, so they are dealt once: a list of up to ``RUN`` blocks meets in one row, blocks of
     # longer ones are gathered where they are compared, and neither is written.
-    alone = held.filter(F.col("blocks") <= RUN).groupBy("band", "key").agg(gathered_rows.alias("h_u")).select("band", "key", F.lit(True).alias("same"), "h_u", F.col("h_u").alias("h_v"))
+    alone = held.filter(F.col("blocks") <= RUN).groupBy("band", "key").agg(gathered_rows.alias("held")).select("band", "key", F.lit(0).alias("first"), "held")
     # Runs of ``RUN`` blocks meet all blocks from their own on; as many tasks share a list as it has runs. Both sides are dealt
     # here, as a join that Spark splits by size on both sides makes tasks by the square of a list's size.
     several = held.filter(F.col("blocks") > RUN).withColumn("run", F.floor(F.col("block") / RUN).cast("int"))
@@ -217,21 +226,23 @@ def _block_pairs(members: DataFrame, parts: DataFrame) -> DataFrame:
     dealt = lambda rows, block, name: rows.repartition(*keys).groupBy(*keys, "block").agg(gathered_rows.alias(name)).withColumnRenamed("block", block)
     one = dealt(several, "b_u", "h_u")
     other = dealt(several.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("run")))), "b_v", "h_v")
-    pairs = one.join(other.hint("merge"), keys).filter("b_u <= b_v").select("band", "key", (F.col("b_u") == F.col("b_v")).alias("same"), "h_u", "h_v")
+    same = F.col("b_u") == F.col("b_v")
+    first = F.when(same, 0).otherwise(F.size("h_u")).alias("first")
+    pairs = one.join(other.hint("merge"), keys).filter("b_u <= b_v").select("band", "key", first, F.when(same, F.col("h_u")).otherwise(F.concat("h_u", "h_v")).alias("held"))
     return alone.unionByName(pairs)
 
 
 def _pairs_of(batch: pa.RecordBatch, least: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Places of texts that are to be compared, in different components and of like size, and their row, from one pair of blocks after the other."""
-    one, other = batch.column(3), batch.column(4)
-    component = [c.values.field(1).to_numpy() for c in (one, other)]
-    size = [c.values.field(2).to_numpy() for c in (one, other)]
-    ends = [c.offsets.to_numpy() for c in (one, other)]
-    for row, same in enumerate(batch.column(2).to_pylist()):
-        (a, b), (c, d) = (e[row : row + 2] for e in ends)
-        x, y = size[0][a:b, None], size[1][None, c:d]
-        near = (component[0][a:b, None] != component[1][None, c:d]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9)
-        i, j = np.nonzero(np.triu(near, 1) if same else near)
+    held = batch.column(3)
+    component, size = (held.values.field(k).to_numpy() for k in (1, 2))
+    ends = held.offsets.to_numpy()
+    for row, first in enumerate(batch.column(2).to_pylist()):
+        a, d = ends[row : row + 2]
+        b, c = (a + first, a + first) if first else (d, a)
+        x, y = size[a:b, None], size[None, c:d]
+        near = (component[a:b, None] != component[None, c:d]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9)
+        i, j = np.nonzero(near if first else np.triu(near, 1))
         yield i + a, j + c, np.full(len(i), row)
 
 
@@ -257,30 +268,27 @@ def _partnered(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     no pair goes here that ``_between`` would keep.
     """
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = marks(_parts(batch.column(2))[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "n", "mark"])
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = marks(_parts(batch.column(2))[0])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "n", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sides = [batch.column(k).values for k in (3, 4)]
-            x, y = (np.frombuffer(b"".join(s.field(3).to_pylist()), np.uint8).reshape(-1, REGISTERS // 2) for s in sides)
-            met = [np.zeros(len(s), bool) for s in sides]
+            held = batch.column(3)
+            mark = _bytes(held.values.field(3), REGISTERS // 2)
+            met = np.zeros(len(mark), bool)
             for i, j, _ in _gathered(_pairs_of(batch, least)):
-                new = ~(met[0][i] & met[1][j])
+                new = ~(met[i] & met[j])
                 i, j = i[new], j[new]
-                some = _ALIKE[x[i] ^ y[j]].sum(axis=1, dtype=np.int64) >= enough(least)
-                met[0][i[some]], met[1][j[some]] = True, True
-            for k, column, side in zip(range(2), (3, 4), sides, strict=True):
-                at = np.flatnonzero(met[k])
-                row = pa.array(np.searchsorted(batch.column(column).offsets.to_numpy(), at, "right") - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), side.field(0).take(pa.array(at))], names=["band", "key", "node"])
-
-    parts = among(nodes.select("node", "n", "sketch"), "node", members).mapInArrow(marked, "node long, n long, mark binary")
+                some = _ALIKE[mark[i] ^ mark[j]].sum(axis=1, dtype=np.int64) >= enough(least)
+                met[i[some]] = met[j[some]] = True
+            at = np.flatnonzero(met)
+            row = pa.array(np.searchsorted(held.offsets.to_numpy(), at, "right") - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), held.values.field(0).take(pa.array(at))], names=["band", "key", "node"])
+
+    parts = among(nodes.select("node", "n", "sketch"), "node", members, marked, "node long, n long, mark binary")
     return _block_pairs(members, parts).mapInArrow(run, "band int, key long, node long").distinct()
 
 
@@ -296,15 +304,16 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (batch.column(k).values for k in (3, 4))
-            (sx, cx), (sy, cy) = _parts(x.field(3)), _parts(y.field(3))
+            held = batch.column(3).values
+            registers, cells = _parts(held.field(3))
+            size = held.field(2).to_numpy()
             bands = batch.column(0).to_numpy()
             for i, j, row in _gathered(_pairs_of(batch, least)):
-                equal = sx[i] == sy[j]
+                equal = registers[i] == registers[j]
                 whole = equal[:, : BANDS * BAND].reshape(len(i), BANDS, BAND).all(axis=2)
                 some = np.flatnonzero((equal.sum(axis=1) >= enough(least)) & (whole.argmax(axis=1) == bands[row]))
                 i, j = i[some], j[some]
-                stays, like = sifted(sx[i], sy[j], cx[i], cy[j], x.field(2).to_numpy()[i], y.field(2).to_numpy()[j], least)
+                stays, like = sifted(registers[i], registers[j], cells[i], cells[j], size[i], size[j], least)
                 i, j, like = i[stays], j[stays], like[stays]
                 if partners is not None and len(i):
                     order = np.lexsort((-like, i))
@@ -312,9 +321,9 @@ def _between(members: DataFrame, nodes: DataFrame, least: float, partners: int |
                     start = np.flatnonzero(np.diff(i, prepend=-1))
                     ahead = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
                     i, j, like = (c[ahead < partners] for c in (i, j, like))
-                yield pa.RecordBatch.from_arrays([x.field(0).take(pa.array(i)), y.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
+                yield pa.RecordBatch.from_arrays([held.field(0).take(pa.array(i)), held.field(0).take(pa.array(j)), pa.array(like)], names=["u", "v", "like"])
 
-    found = _block_pairs(members, nodes.select("node", "n", "sketch")).mapInArrow(run, "u long, v long, like double")
+    found = _block_pairs(members, among(nodes.select("node", "n", "sketch"), "node", members)).mapInArrow(run, "u long, v long, like double")
     return found if partners is None else top_n(found, ["u"], [F.col("like").desc(), "v"], partners)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,17 +46,24 @@ def _bitmap(need: DataFrame, column: str) -> Broadcast[np.ndarray]:
     return need.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
 
-def among(rows: DataFrame, column: str, need: DataFrame) -> DataFrame:
-    """The rows without most of those whose ``column`` is not in ``need``, before they are shuffled; rows that meet a bit by chance fall out in the join."""
+def among(rows: DataFrame, column: str, need: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, ddl: str = "") -> DataFrame:
+    """The rows without most of those whose ``column`` is not in ``need``, before they are shuffled; rows that meet a bit by chance fall out in the join.
+
+    ``change`` makes rows of ``ddl`` of what stays of a batch, in the same
+    pass: a Python step upon another takes a worker more for each core of an
+    executor, and Spark keeps these for the stages that follow.
+    """
     shared, names = _bitmap(need, column), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             chosen = batch.filter(pa.array(held[batch.column(batch.num_columns - 1).to_numpy()]))
-            yield pa.RecordBatch.from_arrays(chosen.columns[:-1], names=names)
+            if chosen.num_rows:
+                chosen = pa.RecordBatch.from_arrays(chosen.columns[:-1], names=names)
+                yield chosen if change is None else change(chosen)
 
-    return rows.withColumn("_slot", _slot(column)).mapInArrow(run, rows.schema)
+    return rows.withColumn("_slot", _slot(column)).mapInArrow(run, rows.schema if change is None else ddl)
 
 
 def maybe_needed(rows: DataFrame, need: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from feedmart.llm import centroids as K
@@ -196,6 +197,53 @@ def test_marks():
     assert (met == ((a & 15) == (b & 15)).sum(axis=1)).all() and (met >= (a == b).sum(axis=1)).all()
 
 
+def stacked(plan: str) -> int:
+    """The most Python steps upon each other in one stage of a plan: a task runs a Python worker for each."""
+    most, path = 0, []
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-*")
+        depth = len(line) - len(name)
+        path = [(d, n) for d, n in path if d < depth]
+        above = path[-1][1] if path else 0
+        path.append((depth, 0 if "Exchange" in name[:20] else above + ("MapInArrow" in name[:20])))
+        most = max(most, path[-1][1])
+    return most
+
+
+def test_one_python_worker_a_task(spark):
+    """No step on lists of sketches puts Python steps upon each other, and a block that meets itself is held once."""
+    nodes = spark.createDataFrame([(k, 5, bytes(2 * M.REGISTERS + M.CELLS)) for k in range(4)], "node long, n long, sketch binary")
+    members = spark.createDataFrame([(0, 1, k, k) for k in range(3)], "band int, key long, node long, component long")
+    for step in (M._partnered(members, nodes, 0.8), M._between(members, nodes, 0.8, 64)):
+        assert stacked(step._jdf.queryExecution().executedPlan().toString()) == 1
+    rows = M._block_pairs(members, nodes).collect()
+    assert [(r.first, sorted(h.node for h in r.held)) for r in rows] == [(0, [0, 1, 2])]
+
+
+@pytest.mark.parametrize("run", [2, 1000])
+def test_pairs_of_lists(spark, run, monkeypatch):
+    """Each two texts of a list in different components come once, whether their blocks meet in one row or several."""
+    monkeypatch.setattr(M, "BLOCK", 2)
+    monkeypatch.setattr(M, "RUN", run)
+    members = spark.createDataFrame([(b, 7, k, k % 9) for b in (0, 1) for k in range(20 - 15 * b)], "band int, key long, node long, component long")
+    met = []
+    for batch in M._block_pairs(members, spark.createDataFrame([(k, 5) for k in range(20)], "node long, n long")).toArrow().to_batches():
+        node, band = batch.column(3).values.field(0).to_pylist(), batch.column(0).to_pylist()
+        met += [(band[r], *sorted((node[i], node[j]))) for p in M._pairs_of(batch, 0.8) for i, j, r in zip(*map(np.ndarray.tolist, p), strict=True)]
+    assert sorted(met) == [(b, u, v) for b in (0, 1) for u in range(20 - 15 * b) for v in range(u + 1, 20 - 15 * b) if u % 9 != v % 9]
+
+
+def test_parts():
+    """Registers and cells come back from a slice of a column as they were written."""
+    rng = np.random.default_rng(2)
+    registers, cells = rng.integers(0, 65536, (5, M.REGISTERS)).astype(np.uint16), rng.integers(0, 256, (5, M.CELLS)).astype(np.uint8)
+    column = pa.array([a.tobytes() + b.tobytes() for a, b in zip(registers, cells, strict=True)])
+    for kind in (pa.binary(), pa.large_binary()):
+        a, b = M._parts(column.cast(kind).slice(1, 3))
+        assert (a == registers[1:4]).all() and (b == cells[1:4]).all()
+    assert M._parts(column.slice(2, 0))[0].shape == (0, M.REGISTERS)
+
+
 def test_near_duplicates_edges(spark):
     """No rows; null and repeated ids."""
     empty = spark.createDataFrame([], DDL)
