@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows of one block of a tree's leaves, and queries of one block, that meet in one group.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2048
+#: Rows of one block, and queries of one block, that meet in one group, at most on the average; blocks of rows at least.
+BLOCK_ROWS, BLOCK_QUERIES, BLOCKS = 65_536, 32_768, 16
+#: Queries whose bounds are formed at once.
+TOGETHER = 16
 #: Queries, at most, whose true neighbours are found by brute force to set how many leaves a search visits.
 PROBES = 128
 
@@ -49,15 +51,27 @@ class Forest:
                 out[:, t] = 2 * out[:, t] + (values[:, t, level] > self.cuts[t, 2**level - 1 + out[:, t]])
         return out
 
-    def bounds(self, query: np.ndarray) -> np.ndarray:
-        """[tree, leaf]: the largest margin by which a way to the leaf lies on the other side of a cut than the query."""
-        values = self.values(query[None, :], added=False)[0]
-        bound = np.full((len(self.planes), 1), -math.inf)
+    def bounds_of(self, queries: np.ndarray) -> np.ndarray:
+        """[query, tree, leaf]: the largest margin by which a way to the leaf lies on the other side of a cut than the query."""
+        values = self.values(queries, added=False)
+        bound = np.full((len(queries), len(self.planes), 1), -math.inf)
         for level in range(self.depth):
-            margin = values[:, level, None] - self.cuts[:, 2**level - 1 : 2 ** (level + 1) - 1]
-            bound = np.stack((np.maximum(bound, margin), np.maximum(bound, -margin)), axis=2).reshape(len(bound), -1)
+            margin = values[:, :, level, None] - self.cuts[None, :, 2**level - 1 : 2 ** (level + 1) - 1]
+            bound = np.stack((np.maximum(bound, margin), np.maximum(bound, -margin)), axis=3).reshape(*bound.shape[:2], -1)
         return bound
 
+    def bounds(self, query: np.ndarray) -> np.ndarray:
+        """The same of one query: [tree, leaf]."""
+        return self.bounds_of(query[None, :])[0]
+
+    def reached(self, queries: np.ndarray, visits: int) -> np.ndarray:
+        """[query, ``tree * leaves + leaf``]: whether a leaf is among the first ``visits`` of the queue; leaves that tie with the last are."""
+        bound = self.bounds_of(queries).reshape(len(queries), -1)
+        if visits >= bound.shape[1]:
+            return np.ones(bound.shape, bool)
+        last = np.partition(bound, visits - 1, axis=1)[:, visits - 1]
+        return bound <= (last + 1e-9 * (1.0 + abs(last)))[:, None]
+
     def search(self, query: np.ndarray, visits: int) -> np.ndarray:
         """Numbers ``tree * leaves + leaf`` of the first leaves that a priority queue over all trees gives, smallest bound first.
 
@@ -107,15 +121,20 @@ def fit_forest(sample: np.ndarray, trees: int, depth: int, reach: float, seed: i
     return forest
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of packed doubles as a matrix; shorter vectors end in zeros."""
+def _matrix(column: pa.Array, dim: int, kind: type = np.float64) -> np.ndarray:
+    """Rows of packed components as a matrix of doubles; shorter vectors end in zeros."""
     out = np.zeros((len(column), dim))
     for k, v in enumerate(column):
-        x = np.frombuffer(v.as_buffer(), np.float64)
+        x = np.frombuffer(v.as_buffer(), kind)
         out[k, : len(x)] = x
     return out
 
 
+def component_type(rows: DataFrame, vector_col: str) -> type:
+    """What components are packed as: floats stay floats, all else becomes doubles."""
+    return np.float32 if dict(rows.dtypes)[vector_col] == "array<float>" else np.float64
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indexes of the k largest scores, ties to the smaller id; all that tie at the cut are looked at."""
     if k < len(scores):
@@ -126,12 +145,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def usable_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, v`` (packed doubles), ``norm`` of vectors that take part.
+    """``vec_id, v`` (components packed as ``component_type``), ``norm`` of vectors that take part.
 
     Null, empty and zero vectors and such with null or non-finite components
     take no part.
     """
 
+    kind = component_type(rows, vector_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, packed, norms = [], [], []
@@ -143,7 +164,7 @@ def usable_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 norm = float(np.sqrt((x * x).sum()))
                 if math.isfinite(norm) and norm > 0:
                     ids.append(i)
-                    packed.append(x.tobytes())
+                    packed.append(x.astype(kind).tobytes())
                     norms.append(norm)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(norms, pa.float64())], names=["vec_id", "v", "norm"])
 
@@ -151,21 +172,21 @@ def usable_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return chosen.filter("vec_id is not null and vector is not null").mapInArrow(run, "vec_id long, v binary, norm double")
 
 
-def probe_leaves(entries: DataFrame, dim: int, k: int, forest: Forest, recall: float) -> int:
+def probe_leaves(entries: DataFrame, dim: int, k: int, forest: Forest, recall: float, kind: type = np.float64) -> int:
     """The fewest visits with which a bounded number of queries find the share ``recall`` of their true ``k`` neighbours.
 
     The probes are the entries with the smallest hash; their neighbours come
     from one pass over all entries that keeps ``k`` a task.
     """
     probes = entries.orderBy(F.xxhash64("v", F.lit(1)), "entry").limit(PROBES).select("entry", "v").collect()
-    own, q = np.array([r["entry"] for r in probes]), _matrix(pa.array([bytes(r["v"]) for r in probes], pa.binary()), dim)
+    own, q = np.array([r["entry"] for r in probes]), _matrix(pa.array([bytes(r["v"]) for r in probes], pa.binary()), dim, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[float, int, bytes]]] = [[] for _ in own]
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(0).to_numpy()
-                dots = q @ _matrix(batch.column(1), dim).T
+                dots = q @ _matrix(batch.column(1), dim, kind).T
                 for p in range(len(own)):
                     dots[p, ids == own[p]] = -math.inf
                     found = _best(dots[p], ids, k)
@@ -179,7 +200,7 @@ def probe_leaves(entries: DataFrame, dim: int, k: int, forest: Forest, recall: f
     place = F.row_number().over(Window.partitionBy("p").orderBy("down", "entry"))
     near = near.withColumn("n", place).filter(F.col("n") <= k).select("p", "v").toArrow()  # PROBES * k rows at most
     visits = []
-    p_of, leaves = near["p"].to_numpy(), forest.leaves(_matrix(near["v"].combine_chunks(), dim)) if near.num_rows else np.empty((0, 1), np.int64)
+    p_of, leaves = near["p"].to_numpy(), forest.leaves(_matrix(near["v"].combine_chunks(), dim, kind)) if near.num_rows else np.empty((0, 1), np.int64)
     for p in range(len(own)):
         bound = forest.bounds(q[p])
         rank = np.empty(bound.size, np.int64)
@@ -213,102 +234,97 @@ def nearest(
     large share of all rows, which falls slowly as rows grow (figures in the
     README).
 
-    A tree's leaves are dealt out by runs of neighbours, about ``BLOCK_ROWS``
-    rows each; a query goes once to each run that holds leaves for it and
-    brings back one list of the best ``k + 1``, in which all ties at the cut
-    were looked at. Runs and queries beyond the block sizes are split.
+    Every row is dealt once, with its leaves in all trees, to one of a number
+    of blocks of rows; a query meets each block, so that neither its leaves nor
+    a row per tree are ever written. A task sorts its block by leaf in each
+    tree, finds the query's leaves, scores each row in them once, and hands on
+    one list of the best ``k + 1``, in which all ties at the cut were looked
+    at. What is shuffled is the rows once a block of ``BLOCK_QUERIES`` queries
+    and the queries and their lists once a block of ``BLOCK_ROWS`` rows.
 
     Equal vectors are one entry of the index with their ``k + 1`` smallest
     ids, and equal queries are searched once, so copies neither fill leaves nor
-    crowd out anything. Vectors of different lengths are compared as if the
+    crowd out anything. A query takes part if some row has its vector. Vectors of different lengths are compared as if the
     shorter ended in zeros; memory goes by the longest.
 
     Returns ``query_id, rank, vec_id, score``; ties go to the smaller id; fewer
     rows where there are fewer candidates found. See ``usable_vectors`` for
     rows that take no part. Of rows that repeat an id and vector one counts.
     """
-    vectors = cut(usable_vectors(rows, id_col, vector_col).distinct())
-    few = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    entries = vectors.withColumn("n", few).filter(F.col("n") <= k + 1).groupBy("v", "norm").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = cut(entries.select(F.element_at("ids", 1).alias("entry"), "v", "norm", "ids"))
-    n, reach, dim = entries.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.length("v") / 8)).first()
-    if not n:
+    kind = component_type(rows, vector_col)
+    queries = queries.select(F.col(id_col), F.col(vector_col).cast(rows.schema[vector_col].dataType).alias(vector_col))
+    asked = usable_vectors(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), "v")
+    few = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    entries = usable_vectors(rows, id_col, vector_col).withColumn("n", few).filter(F.col("n") <= k + 1).groupBy("v", "norm").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    entries = entries.join(asked.select("v", F.lit(True).alias("wanted")).distinct(), "v", "left")
+    entries = cut(entries.select(F.element_at("ids", 1).alias("entry"), "v", "norm", "ids", F.col("wanted").isNotNull().alias("wanted")))
+    n, reach, dim, searched = entries.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.length("v") / np.dtype(kind).itemsize), F.count_if("wanted")).first()
+    if not n or not searched:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = int(dim)
-    sampled = entries.orderBy(F.xxhash64("v"), "entry").limit(max_sample).select("v").toArrow()
-    sample = _matrix(sampled["v"].combine_chunks(), dim)
+    dim, order = int(dim), F.xxhash64("v")
+    share = (max_sample + 8 * math.sqrt(max_sample)) / n  # of the hashes, so that not every task hands on max_sample rows
+    few = entries.filter(order <= F.lit(int((2 * share - 1) * 2**63))) if share < 1 else entries
+    sampled = few.orderBy(order, "entry").limit(max_sample).select("v").toArrow()
+    sample = _matrix(sampled["v"].combine_chunks(), dim, kind)
     depth = max(0, min(math.floor(math.log2(n / leaf_rows)), math.floor(math.log2(max(1, len(sample) / 8)))))
     fitted = fit_forest(sample, trees if depth else 1, depth, float(reach))
-    visits, leaves = probe_leaves(entries, dim, k, fitted, recall), 2**depth
+    visits, leaves = probe_leaves(entries, dim, k, fitted, recall, kind), 2**depth
     forest, used = rows.sparkSession.sparkContext.broadcast(fitted), len(fitted.planes)
-    runs = min(leaves, 2 ** max(2, math.ceil(math.log2(n / BLOCK_ROWS))))  # runs of leaves in a tree
-    per_run, row_blocks = leaves // runs, max(1, math.ceil(n / runs / BLOCK_ROWS))
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id")).dropna().distinct()
-    asked = asked.join(vectors.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-    heads = cut(asked.join(entries.select("v", "entry"), "v").select("query_id", "entry"))
-    wanted = cut(heads.select("entry").distinct().join(entries.select("entry", "v"), "entry"))
-    query_blocks = max(1, math.ceil(wanted.count() / BLOCK_QUERIES))
-    shape = {"tree": pa.int64(), "run": pa.int64(), "rb": pa.int64(), "qb": pa.int64(), "leaf": pa.int64(), "leaves": pa.list_(pa.int64()), "entry": pa.int64(), "v": pa.binary()}
+    code = np.uint16 if leaves <= 1 << 16 else np.uint32
+    row_blocks, query_blocks = max(BLOCKS, math.ceil(n / BLOCK_ROWS)), math.ceil(searched / BLOCK_QUERIES)
+    heads = asked.join(entries.filter("wanted").select("v", "entry"), "v").select("query_id", "entry").distinct()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, leaf, m = batch.column(0).to_numpy(), forest.value.leaves(_matrix(batch.column(1), dim)), batch.num_rows
-            for t in range(used):
-                for b in range(query_blocks):
-                    columns = [np.full(m, t), leaf[:, t] // per_run, ids % row_blocks, np.full(m, b), leaf[:, t]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(m, shape["leaves"]), batch.column(0), batch.column(1)], names=[*shape])
+            leaf = forest.value.leaves(_matrix(batch.column(1), dim, kind)).astype(code)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in leaf], pa.binary())], names=["entry", "v", "leaf"])
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for entry, packed, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _matrix(batch.column(1), dim), strict=True):
-                found = forest.value.search(x, visits)
-                groups = found // leaves * runs + found % leaves // per_run
-                for at in np.split(np.arange(len(found)), np.flatnonzero(np.diff(groups)) + 1):
-                    t, run = divmod(int(groups[at[0]]), runs)
-                    own = (found[at] % leaves).tolist()
-                    out += [(t, run, rb, entry % query_blocks, None, own, entry, packed) for rb in range(row_blocks)]
-            columns = [*zip(*out, strict=True)] if out else [()] * len(shape)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape.values(), strict=True)], names=[*shape])
-
-    ddl = "tree long, run long, rb long, qb long, leaf long, leaves array<long>, entry long, v binary"
-    members = entries.select("entry", "v").mapInArrow(index, ddl)
-    seekers = wanted.repartition(32, "entry").select("entry", "v").mapInArrow(visit, ddl)
-    lists = {"query": pa.int64(), "entries": pa.list_(pa.int64()), "scores": pa.list_(pa.float64())}
+    block = lambda of, seed, blocks: F.pmod(F.xxhash64(of, F.lit(seed)), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    members = entries.select("entry", "v").mapInArrow(index, "entry long, v binary, leaf binary")
+    members = members.select(block("entry", 1, row_blocks).alias("rb"), every(query_blocks).alias("qb"), "entry", "v", "leaf")
+    seekers = entries.filter("wanted").select(every(row_blocks).alias("rb"), block("entry", 2, query_blocks).alias("qb"), "entry", "v")
+    found_type = pa.list_(pa.struct([("down", pa.float64()), ("entry", pa.int64())]))
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        names, out = [], []
         if left.num_rows and right.num_rows:
-            right = right.sort_by("leaf")
-            x, ids, leaf = _matrix(right["v"].combine_chunks(), dim), right["entry"].to_numpy(), right["leaf"].to_numpy()
-            for query, own, q in zip(left["entry"].to_pylist(), left["leaves"], _matrix(left["v"].combine_chunks(), dim), strict=True):
-                wanted_leaves = own.values.to_numpy()
-                starts, ends = np.searchsorted(leaf, wanted_leaves), np.searchsorted(leaf, wanted_leaves, side="right")
-                sizes = ends - starts
-                at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                if not len(at):
-                    continue
-                # Products alone may differ in the last digits by how rows are blocked: all near the cut are scored again, each alone.
-                rough = x[at] @ q
-                if k + 1 < len(at):
-                    at = at[rough >= np.partition(rough, -k - 1)[-k - 1] - 1e-9 * (1.0 + abs(rough).max())]
-                exact = (x[at] * q).sum(axis=1)
-                best = _best(exact, ids[at], k + 1)
-                out.append((query, ids[at][best], exact[best]))
-        columns = [*zip(*out, strict=True)] if out else [()] * 3
-        return pa.table({name: pa.array(c, t) for (name, t), c in zip(lists.items(), columns, strict=True)})
-
-    keys = ["tree", "run", "rb", "qb"]
-    scored = seekers.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(score, "query long, entries array<long>, scores array<double>")
-    scored = scored.select("query", F.explode(F.arrays_zip("entries", "scores")).alias("x")).select("query", F.col("x.entries").alias("entry"), F.col("x.scores").alias("score"))
-    top = Window.partitionBy("query").orderBy(F.col("score").desc(), "entry")
-    scored = scored.distinct().withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + 1).select("query", "entry", "score")
+            x, ids, m = _matrix(right["v"].combine_chunks(), dim, kind), right["entry"].to_numpy(), right.num_rows
+            leaf = np.frombuffer(b"".join(right["leaf"].to_pylist()), code).reshape(m, used)
+            # Rows by leaf, tree after tree; the rows of leaf f of tree t are sizes[t * leaves + f] from starts[t * leaves + f].
+            by_leaf = np.concatenate([np.argsort(leaf[:, t], kind="stable").astype(np.int32) for t in range(used)])
+            sizes = np.concatenate([np.bincount(leaf[:, t], minlength=leaves) for t in range(used)])
+            starts, seen = np.cumsum(sizes) - sizes, np.zeros(m, bool)
+            theirs, wide = left["v"].combine_chunks(), visits > leaves / 16  # one product of matrices is quicker than many rows picked
+            for begin in range(0, left.num_rows, TOGETHER):
+                q = _matrix(theirs[begin : begin + TOGETHER], dim, kind)
+                products = q @ x.T if wide else None
+                for b, (query, reached) in enumerate(zip(left["entry"][begin : begin + TOGETHER].to_pylist(), forest.value.reached(q, visits), strict=True)):
+                    own = np.flatnonzero(reached & (sizes > 0))
+                    number = sizes[own]
+                    seen[by_leaf[np.repeat(starts[own] - (np.cumsum(number) - number), number) + np.arange(number.sum())]] = True
+                    at = np.flatnonzero(seen)
+                    seen[at] = False
+                    if not len(at):
+                        continue
+                    # Products alone may differ in the last digits by how rows are blocked: all near the cut are scored again, each alone.
+                    rough = products[b, at] if wide else x[at] @ q[b]
+                    if k + 1 < len(at):
+                        at = at[rough >= np.partition(rough, -k - 1)[-k - 1] - 1e-9 * (1.0 + abs(rough).max())]
+                    exact = (x[at] * q[b]).sum(axis=1)
+                    best = _best(exact, ids[at], k + 1)
+                    names.append(query)
+                    out.append([{"down": -s, "entry": i} for s, i in zip(exact[best].tolist(), ids[at][best].tolist(), strict=True)])
+        return pa.table({"query": pa.array(names, pa.int64()), "found": pa.array(out, found_type)})
+
+    keys = ["rb", "qb"]
+    lists = seekers.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(score, "query long, found array<struct<down:double,entry:long>>")
+    scored = lists.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
+    scored = scored.select("query", F.explode("found").alias("x")).select("query", "x.entry", (-F.col("x.down")).alias("score"))
     scored = scored.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
     placed = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("n") <= k + 1)
     found = placed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))).alias("found"))
-    out = heads.join(cut(found), F.col("entry") == F.col("query")).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    out = heads.join(found, F.col("entry") == F.col("query")).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     return out.select("query_id", F.posexplode("found").alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.down")).alias("score")
     )

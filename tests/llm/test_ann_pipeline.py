@@ -72,6 +72,27 @@ def test_lengths_and_ties(spark):
     assert [v for _, v in got[900]] == [i for i in range(900)][:9] + [9]
 
 
+def test_vectors_are_not_dealt_by_tree(spark, monkeypatch):
+    """Vectors are shuffled a few times, not once a tree and block of queries, and results don't depend on the sizes of blocks."""
+    x = np.random.default_rng(6).standard_normal((4000, 64)).astype(np.float32)
+    x[3990:] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4).cache()
+    queries, bus = df.filter("vec_id % 10 = 0"), spark.sparkContext._jsc.sc().listenerBus()
+    df.count()
+
+    def written() -> int:
+        bus.waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    rows = lambda: sorted(map(tuple, A.nearest(df, queries, k=5).collect()))
+    before = written()
+    first = rows()
+    assert written() - before < 8 * x.nbytes and len(first) == 5 * 400
+    monkeypatch.setattr(A, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(A, "BLOCK_QUERIES", 90)
+    assert rows() == first
+
+
 def test_copies_and_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(40, [0.0, 1.0]), (41, None), (42, [0.0, 0.0]), (43, [float("nan"), 1.0]), (44, [None, 1.0]), (45, []), (46, [0.5, 0.5]), (46, [0.5, 0.5]), (None, [1.0, 1.0])]
     df = spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<double>, rank string")
