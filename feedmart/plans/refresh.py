@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
@@ -100,7 +100,7 @@ def eval_golden(queries: DataFrame, blocks: DataFrame, events: DataFrame, n: int
 
     ``blocks`` are those of ``impact_blocks``, best stored by ``store_blocks``;
     ``events`` has ``id, title`` and ``pos``, the position in the index. Titles
-    that hold a query as it is are found by its grams; queries and blocks meet in
+    that hold a query as it is are found by their runs of bytes; queries and blocks meet in
     shards of positions, of which each hands on a query's ``n`` best.
     """
     from ..functions import text as X
@@ -111,4 +111,5 @@ def eval_golden(queries: DataFrame, blocks: DataFrame, events: DataFrame, n: int
     held = holding(asked, titles, "query_id", "low", "pos", F.lower("title"))
     bonus = cut(held.join(asked.select("query_id", (F.size("tokens") * L.TITLE_PHRASE).alias("points")), "query_id"))
     scores = shard_best(asked.select("query_id", F.explode("tokens").alias("token"), F.lit(1.0).alias("factor")), blocks, n, events, bonus)
-    return G.with_rank(scores.join(events.select("pos", "id"), "pos"), ["query_id"], [F.col("score").desc(), "id"]).filter(F.col("rank") <= n).select("query_id", "id", "rank", "score")
+    best = scores.withColumn("_n", F.rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).filter(F.col("_n") <= n).drop("_n")  # ties with the last stay until their ids are known
+    return G.with_rank(best.join(events.select("pos", "id"), "pos"), ["query_id"], [F.col("score").desc(), "id"]).filter(F.col("rank") <= n).select("query_id", "id", "rank", "score")
